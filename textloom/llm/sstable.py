@@ -6,7 +6,8 @@ A shard is one file, written once, in key order:
 
 Data block: entries (varint shared key bytes, varint further key bytes, varint
 value bytes, key suffix, value), then the places of the restart entries (which
-share nothing; one in RESTART entries) as uint32 and their number as uint32.
+share nothing; one in RESTART entries) as uint32 and their number as uint32;
+the whole block is one zstandard frame.
 Index block: for each data block its last key (uint16 length, bytes), its
 place (uint64) and size (uint32).  Bloom filter: uint32 number of hashes, then
 the bits.  Footer: eight little-endian uint64: place and size of the index and
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +83,7 @@ class ShardWriter:
 
     def __init__(self, out, block_bytes: int = 65_536):
         self.out, self.block_bytes = out, block_bytes
+        self.packer = zstandard.ZstdCompressor(level=1)
         self.block, self.restarts, self.last, self.entries = bytearray(), [], b"", 0
         self.index, self.hashes, self.at = bytearray(), [], 0
         self.n_docs = self.n_ids = 0
@@ -104,9 +107,10 @@ class ShardWriter:
         if not self.entries:
             return
         self.block += struct.pack(f"<{len(self.restarts) + 1}I", *self.restarts, len(self.restarts))
-        self.index += struct.pack("<H", len(self.last)) + self.last + struct.pack("<QI", self.at, len(self.block))
-        self.out.write(bytes(self.block))
-        self.at += len(self.block)
+        packed = self.packer.compress(self.block)
+        self.index += struct.pack("<H", len(self.last)) + self.last + struct.pack("<QI", self.at, len(packed))
+        self.out.write(packed)
+        self.at += len(packed)
         self.block, self.restarts, self.entries = bytearray(), [], 0
 
     def close(self) -> None:
@@ -153,9 +157,9 @@ class Shard:
     def _block(self, i: int) -> tuple[bytes, int, list[int]]:
         at, size = self.blocks[i]
         self.file.seek(at)
-        raw = self.file.read(size)
-        n = struct.unpack_from("<I", raw, size - 4)[0]
-        end = size - 4 - 4 * n
+        raw = zstandard.decompress(self.file.read(size))
+        n = struct.unpack_from("<I", raw, len(raw) - 4)[0]
+        end = len(raw) - 4 - 4 * n
         return raw, end, list(struct.unpack_from(f"<{n}I", raw, end))
 
     @staticmethod
