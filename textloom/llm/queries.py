@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bands, decontam, packing, simhash, sstable
-from .common import table
+from . import bands, ctw, decontam, langid, linecrf, packing, pii, simhash, sstable, toxicity
+from .common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,14 @@ def op1_sorted_string_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = toxicity.learn_toxicity(docs, labels, ~held_out)
+    scored = toxicity.toxicity(docs, model, "doc_id", "text", held_out.alias("held_out"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.withColumn("items_sha256", F.sha2(F.concat_ws(",", "items"), 256)).drop("items")
@@ -58,11 +66,39 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 3) == 1
+    filters = langid.learn_filters(docs, ~held_out)
+    return langid.identify(docs, filters, "doc_id", "text", held_out.alias("held_out")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ctw.score_documents(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    return scored.withColumn("held_out", ~F.col("trained")).drop("trained")
+
+
+def op8_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = linecrf.learn_quality(docs, labels, ~held_out)
+    scored = linecrf.line_quality(docs, model, "doc_id", "text", held_out.alias("held_out"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(docs, pii.learn_tagger(docs)).drop("redacted")
+
+
 def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.compression_bands(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_sorted_string_table, op3_decontamination, op4_packing, op5_simhash, op10_compression_bands)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_sorted_string_table, op2_toxicity, op3_decontamination, op4_packing, op5_simhash, op6_language_id, op7_context_tree, op8_line_crf, op9_personal_data, op10_compression_bands)
+}
 
 #: Tokenizers, XXH64, zstandard and trained models have no SQL in DuckDB; those queries are tested against brute force.
 SQL: dict[str, str] = {"op3_decontamination": OP3_SQL}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -19,20 +20,29 @@ SPLITS = {
 }
 
 
+#: A word of letters alone, with its blank; with the stops after it, which the tokenizers' patterns cut off as well.
+_WORD = re.compile(r" ?[^\W\d_]+")
+_WORD_AND_STOPS = re.compile(r"( ?[^\W\d_]+)([.,;:!?]+)")
+
+
 class CachedEncoder:
     """Token ids as little-endian uint32 bytes, remembering those of short pieces.
 
     Joined ids of a text's pieces equal the ids of the text, as the tokenizer never merges over the places where
-    `split` cuts.  At most `limit` pieces of up to 48 characters are remembered; then the memory starts afresh.
+    `split` cuts.  At most about `limit` pieces of up to 48 characters are remembered; then the memory starts afresh.
     """
 
-    def __init__(self, path: str, split: str, limit: int = 400_000):
+    def __init__(self, path: str, split: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
         self.pieces = SPLITS[split].findall
+        self.starts = split == "byte_level"  # a token with the blank starts a word; else one with the end mark ends it
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if self.starts else t.endswith("</w>"))]] = True
         self.known: dict[str, bytes] = {}
         self.limit = limit
 
@@ -40,18 +50,49 @@ class CachedEncoder:
         cut = [self.pieces(text) for text in texts]
         if len(self.known) > self.limit:
             self.known.clear()
-        known = self.known
-        new = {p for pieces in cut for p in pieces if p not in known}
-        asked = list(new)
-        brief: dict[str, bytes] = {}
-        for i in range(0, len(asked), 20_000):
-            some = asked[i : i + 20_000]
+        get = self.known.get
+        got = [list(map(get, pieces)) for pieces in cut]
+        new = {p for pieces, ids in zip(cut, got, strict=True) if None in ids for p, i in zip(pieces, ids, strict=True) if i is None}
+        if new:
+            brief = self._learn([p for p in new if len(p) <= 48], [p for p in new if len(p) > 48])
+            for which, (pieces, ids) in enumerate(zip(cut, got, strict=True)):
+                if None in ids:
+                    got[which] = [brief[p] if len(p) > 48 else get(p) for p in pieces]
+        return [b"".join(ids) for ids in got]
+
+    def _learn(self, short: list[str], long: list[str]) -> dict[str, bytes]:
+        """Adds the short pieces to the memory; returns the long ones."""
+        known, composed, asked = self.known, [], set()
+        for p in short:
+            m = _WORD_AND_STOPS.fullmatch(p)
+            if m:
+                composed.append((p, *m.groups()))
+                asked.update(m.groups())
+            else:
+                asked.add(p)
+        words, rest = [], []
+        for p in asked:
+            if p not in known:
+                (words if _WORD.fullmatch(p) and p.startswith(" ") == self.starts else rest).append(p)
+        for i in range(0, len(words), 1000):
+            some = words[i : i + 1000]
+            ids = np.array(self.tokenizer.encode(("" if self.starts else " ").join(some), add_special_tokens=False).ids, "<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) == len(some):  # each word has one edge at least, so each has one
+                bounds = [*edges, len(ids)] if self.starts else [0, *(edges + 1)]
+                raw = ids.tobytes()
+                known.update((p, raw[4 * a : 4 * b]) for p, a, b in zip(some, bounds, bounds[1:], strict=False))
+            else:
+                rest += some
+        known.update(self._each(rest))
+        known.update((p, known[a] + known[b]) for p, a, b in composed)
+        return dict(self._each(long))
+
+    def _each(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        for i in range(0, len(pieces), 20_000):
+            some = pieces[i : i + 20_000]
             for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (known if len(piece) <= 48 else brief)[piece] = np.array(e.ids, "<u4").tobytes()
-        if brief:
-            return [b"".join([known[p] if p in known else brief[p] for p in pieces]) for pieces in cut]
-        get = known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+                yield piece, np.array(e.ids, "<u4").tobytes()
 
 
 _encoders: dict[tuple[str, str], CachedEncoder] = {}
