@@ -2,39 +2,69 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm import decontam, packing, simhash
-from textloom.llm.common import materialize, table
+from textloom.llm import decontam, langid, packing, pii, simhash
+from textloom.llm.common import crc_mod, materialize, table
+
+#: A document whose best language contains less of its n-grams than this is in none of the learned languages.
+LEAST_KNOWN = 0.15
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, and texts in none of the learned languages, go.
+
+    With no labelled language at all nothing can be said, and only texts without a letter go.
+    """
+    filters = langid.learn_filters(docs, crc_mod("doc_id", 3) != 1)
+    columns = [F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns)]
+    told = langid.identify(docs, filters, "doc_id", "text", *columns)
+    if filters.languages:
+        kept = told.where((F.col("lang_pred") != "und") & (F.col("known") >= LEAST_KNOWN))
+    else:
+        kept = told.where(F.col(f"own_{docs.columns.index('text')}").rlike(r"\p{L}"))
+    return kept.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
+    """One document of each near-duplicate group stays: the one of smallest id (of equal ids, the first by text and source)."""
     groups = simhash.near_duplicates(docs)
-    return docs.join(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "doc_id", "left_semi")
+    first = docs.join(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return first.dropDuplicates(["doc_id"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule holds against the benchmark go."""
     hits = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return docs.join(hits.where("contaminated").select("doc_id"), "doc_id", "left_anti")
+    found = hits.where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts becomes [EMAIL], [IP], [CARD] or [PHONE]; every document stays."""
+    columns = [F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns) if c != "text"]
+    found = pii.find_personal_data(docs, pii.learn_tagger(docs), "doc_id", "text", *columns)
+    out = {c: F.col(f"own_{i}") for i, c in enumerate(docs.columns)} | {"text": F.col("redacted")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.length("redacted").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[out[c].alias(c) for c in docs.columns])
+
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 4096 tokens; one row a piece."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("near_dedup", near_dedup), ("decontamination", decontaminate), ("packing", pack)]
+STAGES = [("language", language), ("near_dedup", near_dedup), ("decontamination", decontaminate), ("personal_data", redact), ("packing", pack)]
 
 #: Tokenizers, XXH64 and trained models have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage's result is written and read again."""
+    """The last stage's rows; every stage's result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs, _ = materialize(stage(spark, docs, sf_dir), name)
