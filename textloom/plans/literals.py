@@ -1,0 +1,247 @@
+"""Queries over small literal tables, for formats that the sample tables don't hold."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textloom.functions import cluster as C
+from textloom.functions import text as T
+from textloom.operators import distill, provenance, segment, traces
+from textloom.plans.registry import Registry
+
+R = Registry()
+QUERIES, SQL = R.queries, R.sql
+
+
+class Literal:
+    """Rows for both engines: a DataFrame and a VALUES list."""
+
+    def __init__(self, schema: str, rows: list[tuple]):
+        self.schema, self.rows = schema, rows
+
+    def df(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, self.schema)
+
+    def sql(self, name: str) -> str:
+        def lit(v) -> str:
+            if v is None:
+                return "null"
+            if isinstance(v, bool):
+                return str(v).lower()
+            if isinstance(v, int):
+                return f"{v}::bigint"
+            if isinstance(v, float):
+                return f"{v}::double"
+            if isinstance(v, list):
+                return "[" + ", ".join(map(lit, v)) + "]"
+            return "'" + v.replace("'", "''") + "'"
+
+        names = ", ".join(c.split()[0] for c in self.schema.split(", "))
+        return f"{name}({names}) as (values " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in self.rows) + ")"
+
+
+UNITS = Literal("id long, duration string, size string", [(1, "30", "512M"), (2, "05:30", "2G"), (3, "01:02:03", "1.5T"), (4, "2-12", "2048K"), (5, "1-02:03:04", "100"), (6, "bad", "x"), (7, "UNLIMITED", ""), (8, "3-04:05", "1024G")])
+DAY = r"'^(\d+)-(\d+)(?::(\d+))?(?::(\d+))?$'"
+HMS, MS = r"'^(\d+):(\d+):(\d+(?:\.\d+)?)$'", r"'^(\d+):(\d+(?:\.\d+)?)$'"
+
+
+def _part(p: str, i: int) -> str:
+    return f"coalesce(try_cast(nullif(regexp_extract(duration, {p}, {i}), '') as double), 0)"
+
+
+@R.query(
+    rf"""
+with {UNITS.sql('u')}, m as (select id, case when regexp_matches(duration, {DAY}) then {_part(DAY, 1)} * 86400 + {_part(DAY, 2)} * 3600 + {_part(DAY, 3)} * 60 + {_part(DAY, 4)}
+  when regexp_matches(duration, {HMS}) then {_part(HMS, 1)} * 3600 + {_part(HMS, 2)} * 60 + {_part(HMS, 3)} when regexp_matches(duration, {MS}) then {_part(MS, 1)} * 60 + {_part(MS, 2)}
+  when regexp_matches(duration, '^\d+$') then cast(duration as double) * 60 end as seconds,
+  try_cast(nullif(regexp_extract(size, '^([0-9]+(?:\.[0-9]+)?)([KMGTkmgt]?)[Bb]?$', 1), '') as double) * case upper(regexp_extract(size, '^([0-9]+(?:\.[0-9]+)?)([KMGTkmgt]?)[Bb]?$', 2)) when 'K' then 1 / 1024.0 when 'G' then 1024 when 'T' then 1048576 else 1 end as mb from u)
+select id, seconds, mb, case when floor(mb / 1024) >= 1024 then cast(floor(floor(mb / 1024) / 1024) as bigint)::varchar || ' TB' else cast(floor(mb / 1024) as bigint)::varchar || ' GB' end as pretty from m"""
+)
+def time_and_size(spark: SparkSession, d: str) -> DataFrame:
+    mb = C.megabytes(F.col("size"))
+    return UNITS.df(spark).select("id", C.seconds(F.col("duration")).alias("seconds"), mb.alias("mb"), C.pretty_gb(mb).alias("pretty"))
+
+
+TRES = Literal("id long, tres string", [(1, "cpu=256,gres/gpu:a100=2,gres/gpu:h100=1,gres/gpu=9"), (2, "cpu=4,gres/gpu=3"), (3, "cpu=1,mem=4G"), (4, "")])
+
+
+@R.query(
+    rf"""
+with {TRES.sql('t')}, x as (select id, regexp_extract_all(tres, 'gres/gpu:[^=,]+=(\d+)', 1) as typed, try_cast(nullif(regexp_extract(tres, '(?:^|,)gres/gpu=(\d+)', 1), '') as bigint) as plain from t)
+select id, case when len(typed) > 0 then cast(list_sum(list_transform(typed, lambda n: n::bigint)) as bigint) else coalesce(plain, 0) end as gpus from x"""
+)
+def tres_gpus(spark: SparkSession, d: str) -> DataFrame:
+    return TRES.df(spark).select("id", C.gpus(F.col("tres")).alias("gpus"))
+
+
+SCRIPTS = Literal("id long, script string", [(1, "#!/bin/bash\n#SBATCH --nodes=2\n#SBATCH -t 01:00:00\n#SBATCH --nodes=4\nsrun ./a.out"), (2, "#SBATCH --partition=dev\n#SBATCH --mem=4G"), (3, "echo none")])
+
+
+@R.query(
+    r"""
+with """
+    + SCRIPTS.sql("s")
+    + r""", o as (select id, key, value from s, lateral (select unnest(['nodes', 'time', 'partition', 'mem']) as key, unnest([
+  regexp_extract_all(script, '(?m)^#SBATCH\s+(?:--nodes[= ]|-N ?)\s*(\S+)', 1)[-1], regexp_extract_all(script, '(?m)^#SBATCH\s+(?:--time[= ]|-t ?)\s*(\S+)', 1)[-1],
+  regexp_extract_all(script, '(?m)^#SBATCH\s+(?:--partition[= ]|-p ?)\s*(\S+)', 1)[-1], regexp_extract_all(script, '(?m)^#SBATCH\s+(?:--mem[= ])\s*(\S+)', 1)[-1]]) as value))
+select id, key, value from o where value is not null"""
+)
+def script_options(spark: SparkSession, d: str) -> DataFrame:
+    return SCRIPTS.df(spark).select("id", F.explode(C.script_options(F.col("script"))).alias("key", "value"))
+
+
+@R.query(
+    r"""
+with """
+    + SCRIPTS.sql("s")
+    + r""", a as (select unnest(regexp_extract_all(script, '(?m)^#SBATCH.*$')) as line from s where id = 1), b as (select unnest(regexp_extract_all(script, '(?m)^#SBATCH.*$')) as line from s where id = 2)
+select line, 'removed' as what from a where line not in (select line from b) union select line, 'added' from b where line not in (select line from a)"""
+)
+def script_diff(spark: SparkSession, d: str) -> DataFrame:
+    lines = SCRIPTS.df(spark).select("id", T.matches(F.col("script"), r"(?m)^#SBATCH.*$").alias("l"))
+    both = lines.where("id = 1").select(F.col("l").alias("a")).crossJoin(lines.where("id = 2").select(F.col("l").alias("b")))  # one row each
+    tagged = F.concat(F.transform(F.array_except("a", "b"), lambda x: F.struct(x.alias("line"), F.lit("removed").alias("what"))), F.transform(F.array_except("b", "a"), lambda x: F.struct(x.alias("line"), F.lit("added").alias("what"))))
+    return both.select(F.explode(tagged).alias("t")).select("t.*")
+
+
+ANSWERS = Literal("id long, text string", [(1, "Use:\n```bash\nsbatch job.sh\n```\nthen `squeue -u me`."), (2, "No code here."), (3, "<think>hm</think> Run `sinfo`."), (4, "a ``` b"), (5, "```json\n{\"a\": 1}\n```"), (6, "Ask Provided input: secret"), (7, "Try the GPU_node on Leonardo. Then Use Booster01.")])
+
+
+@R.query(
+    r"""
+with """
+    + ANSWERS.sql("a")
+    + r""", x as (select id, text, regexp_extract_all(text, '(?s)```[^\n]*\n(.*?)```', 1) as f, regexp_extract_all(regexp_replace(text, '(?s)```[^\n]*\n.*?```', '', 'g'), '`([^`\n]+)`', 1) as i from a)
+select id, case when len(f) + len(i) = 0 then text else array_to_string(list_concat(f, i), chr(10)) end as code, regexp_replace(text, '(?s)<think>.*?</think>\s*', '', 'g') as spoken,
+  trim(regexp_replace(text, '(?s)(Provided input|Quoted retrieval results):.*', '')) as question, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda r: length(r))), 0))) as fence,
+  trim(regexp_replace(regexp_replace(text, '^\s*```(?:json)?\s*', ''), '\s*```\s*$', '')) as reply from x"""
+)
+def answer_parts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return ANSWERS.df(spark).select("id", T.code_of_answer(t).alias("code"), T.strip_thinking(t).alias("spoken"), T.question_part(t).alias("question"), segment.quoting_fence(t).alias("fence"), T.reply_json(t).alias("reply"))
+
+
+@R.query(
+    r"""
+with """
+    + ANSWERS.sql("a")
+    + r"""
+select id, unnest(regexp_extract_all(text, '(?s)```([A-Za-z0-9_+-]*)[^\n]*\n(.*?)```', 1)) as lang, unnest(regexp_extract_all(text, '(?s)```([A-Za-z0-9_+-]*)[^\n]*\n(.*?)```', 2)) as body from a"""
+)
+def fenced_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return ANSWERS.df(spark).select("id", F.explode(segment.fenced_blocks(F.col("text"))).alias("b")).select("id", "b.lang", "b.body")
+
+
+CALLS = Literal("id long, text string", [(1, 'ok <tool_call>{"name": "queue", "arguments": {"user": "me"}}</tool_call> done'), (2, "<tool_call>not json</tool_call>"), (3, "plain")])
+
+
+@R.query(
+    r"""
+with """
+    + CALLS.sql("c")
+    + r""", b as (select id, trim(regexp_replace(text, '(?s)<tool_call>.*?</tool_call>', '', 'g')) as outside, regexp_extract_all(text, '(?s)<tool_call>\s*(.*?)\s*</tool_call>', 1) as bodies from c)
+select id, outside, cast(len(bodies) as bigint) as n, case when len(bodies) > 0 and json_valid(bodies[1]) then json_extract_string(bodies[1], '$.name') end as name from b"""
+)
+def hermes_calls(spark: SparkSession, d: str) -> DataFrame:
+    calls = traces.hermes_calls(F.col("text"))
+    return CALLS.df(spark).select("id", traces.outside_calls(F.col("text")).alias("outside"), F.size(calls).cast("long").alias("n"), F.try_element_at(calls, F.lit(1))["name"].alias("name"))
+
+
+FAMILIES = Literal("family string, split string, parents array<string>, lineage_reviewed boolean", [("a", "train", ["b"], True), ("b", "train", ["c", "d"], True), ("c", "development", [], True), ("d", "train", ["d2"], False), ("d2", "train", [], True), ("e", "train", ["zz"], True), ("f", "train", ["g"], True), ("g", "train", ["f"], True), ("h", "train", [], True)])
+CLOSURE = f"""
+with recursive {FAMILIES.sql('fam')}, e as (select family, unnest(parents) as parent from fam),
+r as (select family, family as ancestor from fam union select r.family, e.parent from r join e on r.ancestor = e.family)
+"""
+
+
+@R.query(f"{CLOSURE} select family, ancestor from r")
+def family_closure(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.ancestors(FAMILIES.df(spark))
+
+
+@R.query(
+    f"""
+{CLOSURE}
+select family, 'unknown_parent' as error from e where parent not in (select family from fam)
+union select e.family, 'cycle' from e join r on r.family = e.parent and r.ancestor = e.family
+union select family, 'unreviewed' from fam where not lineage_reviewed"""
+)
+def family_errors(spark: SparkSession, d: str) -> DataFrame:
+    families = FAMILIES.df(spark)
+    return provenance.family_errors(families, provenance.ancestors(families))
+
+
+DOCS = Literal("doc_id long, family string", [(1, "a"), (2, "d"), (3, "h"), (4, "e"), (5, "c"), (6, "f"), (7, "none")])
+
+
+@R.query(
+    f"""
+{CLOSURE}, {DOCS.sql('docs')}, held as (select distinct ancestor from r where family in (select family from fam where split <> 'train')),
+ok as (select r.family, bool_and(coalesce(f.split = 'train', false)) and not bool_or(r.ancestor in (select ancestor from held)) as clean from r left join fam f on f.family = r.ancestor group by r.family)
+select doc_id, docs.family, coalesce(clean, false) as admitted from docs left join ok on ok.family = docs.family"""
+)
+def lineage_admission(spark: SparkSession, d: str) -> DataFrame:
+    families = FAMILIES.df(spark)
+    return provenance.admitted(DOCS.df(spark), families, provenance.ancestors(families))
+
+
+ROWS = Literal("id long, doc_id string, chunk_id string, source_sha256 string", [(1, "d1", "d1#0", "s1"), (2, "d2", "d2#0", "s2"), (3, "d2", "d2#1", "s3"), (4, "d3", "d3#0", "s4"), (5, "d4", "d4#0", "s9")])
+MANIFEST = Literal("entry long, kind string, doc_id string, chunk_id string, source_sha256 string", [(1, "chunk", "d2", "d2#1", "s8"), (2, "document", "d3", None, "s7"), (3, "chunk", "dx", "dx#1", "s1"), (4, "document", "d2", None, "s2")])
+
+
+@R.query(f"with {ROWS.sql('r')}, {MANIFEST.sql('m')} select id, min(entry) as entry from r join m on r.source_sha256 = m.source_sha256 or (kind = 'document' and r.doc_id = m.doc_id) or r.chunk_id = m.chunk_id group by id")
+def source_holdout(spark: SparkSession, d: str) -> DataFrame:
+    m = MANIFEST.df(spark)
+    keyed = [m.select("entry", "source_sha256", "kind", "doc_id", "chunk_id")]
+    return provenance.source_holdout(ROWS.df(spark).select("id", "doc_id", "chunk_id", "source_sha256"), keyed[0]).select("id", "entry")
+
+
+ARGS = Literal("call_id long, tool string, keys array<string>, vals array<string>", [(1, "queue", ["user", "n"], ["me", "3"]), (2, "queue", ["n"], ["x"]), (3, "nope", ["a"], ["b"]), (4, "state", ["s", "extra"], ["ON", "1"]), (5, "state", ["s"], ["BAD"])])
+SCHEMA = Literal("tool string, arg string, kind string, required boolean, allowed array<string>", [("queue", "user", "string", True, [""]), ("queue", "n", "integer", False, [""]), ("state", "s", "string", True, ["ON", "OFF"])])
+
+
+@R.query(
+    f"""
+with {ARGS.sql('a')}, {SCHEMA.sql('s')}, g as (select call_id, tool, unnest(keys) as arg, unnest(vals) as value from a where tool in (select tool from s)),
+j as (select g.*, kind, allowed from g left join s using (tool, arg))
+select call_id, 'unknown_tool' as problem from a where tool not in (select tool from s)
+union all select call_id, 'missing:' || arg from a join s using (tool) where required and not list_contains(keys, arg)
+union all select call_id, problem from (select call_id, case when kind is null then 'extra:' || arg when kind = 'integer' and not regexp_matches(value, '^-?\\d+$') then 'type:' || arg
+  when allowed <> [''] and not list_contains(allowed, value) then 'enum:' || arg end as problem from j) where problem is not null"""
+)
+def argument_problems(spark: SparkSession, d: str) -> DataFrame:
+    calls = ARGS.df(spark).select("call_id", "tool", F.map_from_arrays("keys", "vals").alias("args"))
+    schema = SCHEMA.df(spark).withColumn("allowed", F.filter("allowed", lambda x: x != ""))
+    return traces.argument_problems(calls, schema)
+
+
+LOGITS = Literal("id long, teacher array<double>, student array<double>, hard double", [(1, [-0.1, -2.5, -4.0], [-0.3, -1.5, -3.0], -0.3), (2, [0.0, 0.0], [-1.0, -2.0], -1.0)])
+
+
+@R.query(
+    f"""
+with {LOGITS.sql('l')}, s as (select id, hard, list_transform(teacher, lambda x: exp(x::double) / list_sum(list_transform(teacher, lambda y: exp(y::double)))) as t, list_transform(student, lambda x: exp(x::double) / list_sum(list_transform(student, lambda y: exp(y::double)))) as u from l)
+select id, round(0.5 * -hard + 0.5 * list_sum(list_transform(list_zip(t, u), lambda p: -p[1] * ln(p[2]))), 9)::double as loss from s"""
+)
+def soft_targets(spark: SparkSession, d: str) -> DataFrame:
+    loss = distill.mixed_loss(F.col("hard"), F.col("teacher"), F.col("student"), 0.5)
+    return LOGITS.df(spark).select("id", F.round(loss, 9).alias("loss"))
+
+
+JOBS = Literal("job long, state string, part string, reason string", [(1, "RUNNING", "gpu", None), (2, "PENDING", "cpu", "Priority"), (3, "COMPLETED", "gpu", None), (4, "PENDING", "gpu", "Resources")])
+ACTIONS = Literal("job long, state string", [(2, "CANCELLED"), (4, "RUNNING")])
+
+
+@R.query(f"with {JOBS.sql('j')}, {ACTIONS.sql('a')} select j.job, coalesce(a.state, j.state) as state, part from j left join a using (job) where coalesce(a.state, j.state) in ('PENDING', 'RUNNING')")
+def queue_overlay(spark: SparkSession, d: str) -> DataFrame:
+    overlay = ACTIONS.df(spark).withColumnRenamed("state", "new")
+    return JOBS.df(spark).join(overlay, "job", "left").withColumn("state", F.coalesce("new", "state")).where("state in ('PENDING', 'RUNNING')").select("job", "state", "part")
+
+
+NODES = Literal("node string, part string, gpu string, total long, free long", [("n1", "gpu", "a100", 4, 1), ("n1", "gpu", "a100", 4, 1), ("n1", "dev", "a100", 4, 1), ("n2", "gpu", "h100", 8, 8), ("n3", "cpu", "", 0, 0)])
+
+
+@R.query(f"with {NODES.sql('n')}, u as (select distinct * from n) select part, cast(sum(total) as bigint) as total, cast(sum(free) as bigint) as free, cast(sum(case when free = total and total > 0 then total else 0 end) as bigint) as idle from u group by part")
+def gpu_availability(spark: SparkSession, d: str) -> DataFrame:
+    return NODES.df(spark).dropDuplicates().groupBy("part").agg(F.sum("total").alias("total"), F.sum("free").alias("free"), F.sum(F.when((F.col("free") == F.col("total")) & (F.col("total") > 0), F.col("total")).otherwise(0)).alias("idle"))
