@@ -6,9 +6,7 @@ import posixpath
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,11 +71,12 @@ def with_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> Dat
 
 
 def pick_sample(df: DataFrame, n: int, *keys: str) -> list:
-    """At most n rows, the same ones at every run: those with the smallest hash of the given columns."""
-    return df.orderBy(F.xxhash64(*keys), *keys).limit(n).collect()
+    """At most n different rows, the same ones at every run: those with the smallest hash of the given columns.
 
-
-def rows_to_batches(rows: list[tuple], schema: pa.Schema, size: int = 50_000) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(rows), size):
-        cols = list(zip(*rows[i : i + size], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+    Only hashes are ranked; the rows themselves are then fetched by their hash, so tasks send the driver no row that
+    isn't picked.
+    """
+    marked = df.withColumn("_h", F.xxhash64(*keys))
+    chosen = marked.select("_h").orderBy("_h").limit(n).distinct()
+    rows = marked.join(F.broadcast(chosen), "_h").dropDuplicates(["_h"]).collect()
+    return sorted(rows, key=lambda r: r["_h"])
