@@ -121,7 +121,7 @@ def learn_filters(docs: DataFrame, train: Column, id_col: str = "doc_id", text_c
         def summed() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
                 gram, seen = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(gram.view(np.int64)), pa.array(seen)], names=["lang", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.view(np.int64), pa.int64()), pa.array(seen, pa.int64())], names=["lang", "gram", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(2).to_pylist(), batch.column(1).to_pylist(), strict=True):
