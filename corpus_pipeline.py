@@ -16,12 +16,13 @@ LEAST_KNOWN = 0.15
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and texts in none of the learned languages, go.
 
-    With no labelled language at all nothing can be said, and only texts without a letter go.
+    Where no language is labelled, or none has an n-gram of its own (a handful of documents), nothing can be said, and
+    only texts without a letter go.
     """
     filters = langid.learn_filters(docs, crc_mod("doc_id", 3) != 1)
     columns = [F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns)]
     told = langid.identify(docs, filters, "doc_id", "text", *columns)
-    if filters.languages:
+    if filters.slots.any():
         kept = told.where((F.col("lang_pred") != "und") & (F.col("known") >= LEAST_KNOWN))
     else:
         kept = told.where(F.col(f"own_{docs.columns.index('text')}").rlike(r"\p{L}"))
