@@ -27,7 +27,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     Files are read whole into one partition each (wholetext splits would lose the order), so this is for logs of
     files that fit a task.
     """
-    whole = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
     last = Window.partitionBy("file")
     ended = lines.withColumn("n", F.max("line_no").over(last))
