@@ -263,6 +263,22 @@ def test_context_tree_against_recursion(spark):
     assert np.allclose((10.0**tree.table.astype(float)).sum(1), 1, atol=1e-4)
 
 
+@pytest.mark.parametrize("options", [{}, {"head_cells": 300}])
+def test_every_context_counts_whatever_is_broadcast(spark, options):
+    """More than 24,000 contexts, most of them seen once, and texts with unseen ones."""
+    r = random.Random(5)
+    trained = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz 01é.") for _ in range(2000)) for _ in range(10)]
+    new = [trained[3][500:700] + "\x07 never 你", "", trained[0][:90]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(trained + new)], "doc_id long, text string")
+    got = {x.doc_id: x.score for x in ctw.score_documents(docs, F.col("doc_id") < len(trained), **options).collect()}
+    assert len(got) == len(trained) + len(new)
+    counted = ctw.gather_counts(docs.where(F.col("doc_id") < len(trained))).where("cell is not null").select("cell", "n")
+    tree = ctw.grow_tree(counted, 1 << 40)  # all of it on the driver, itself tested against recursion
+    assert len(tree.table) > 24_000
+    for i, text in enumerate(trained + new):
+        assert got[i] == pytest.approx(tree.log10(text), rel=1e-5)
+
+
 # -- classifiers ---------------------------------------------------------------------
 
 

@@ -6,11 +6,13 @@ the last d bytes, d from 0 to DEPTH, each as one of 32 classes.  Its counts
 give a Krichevsky-Trofimov block probability; a node mixes its own estimate
 half and half with the product of its children's, and so over all depths.
 
-Counts are gathered over all training documents and add up in any order.  The
-tree is grown where they are: the most frequent contexts, at most max_nodes,
-are nodes of their own, and a node's other children share one leaf.  After
-training the mixture is fixed, so the tree compiles into a table of the
-log-probability of each byte at each leaf, a kilobyte a node.
+Counts are gathered over all training documents and add up in any order.
+Every context that occurs is a node of its own, so the model grows with the
+corpus.  Its counts stay in a table in the shared folder: the branches below
+each context of TOP classes are mixed where their counts are, and only the
+sums of these, whose number is fixed, meet on the driver.  After training the
+mixture is fixed; a cell (context and byte) then has one log-probability.  The
+frequent cells' are broadcast, those of all others are joined.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import BLANK_WORD_BYTES, arrow_limits, discard, materialize, with_text
 
 DEPTH, CLASSES, CLASS_BITS = 5, 32, 5
+#: The contexts of so many classes, CLASSES**TOP at most, are mixed on the driver.
+TOP = 2
 
 
 def byte_classes() -> np.ndarray:
@@ -171,7 +175,7 @@ def byte_table(p: np.ndarray) -> np.ndarray:
 
 
 def grow_tree(cell_counts: DataFrame, max_nodes: int) -> ContextTree:
-    """Tree from (cell, n): the counts of every depth are summed up by Spark, and those of the nodes come to the driver.
+    """Tree from (cell, n), on the driver: a small model to test score_documents by, which has no bound on its nodes.
 
     Nodes are all contexts that occur at least as often as the least power of two for which they are max_nodes or
     fewer; a context's parent occurs as often as itself at least, so every node's parent is a node.
@@ -200,6 +204,157 @@ def grow_tree(cell_counts: DataFrame, max_nodes: int) -> ContextTree:
     return ContextTree(levels)
 
 
+def starts_of(ordered: np.ndarray) -> np.ndarray:
+    """Where each different value of an ascending array begins."""
+    return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+
+
+def mixed(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the weighted probability, and the share of the nodes' own estimates."""
+    own = block_probability(zeros, ones)
+    return np.logaddexp(own, below) - np.log(2), 1 / (1 + np.exp(-np.clip(own - below, -700, 700)))
+
+
+class Branches:
+    """The trees below contexts of TOP classes, from their cells and counts; every context is a node.
+
+    A cell may be given more than once, and with count 0 if it is only asked for: a node without counts has weighted
+    probability 1 and passes on half of what it is given, so it changes nothing for the others.
+    """
+
+    def __init__(self, cell: np.ndarray, n: np.ndarray):
+        self.cell, at = np.unique(cell, return_inverse=True)
+        contexts, self.node = np.unique(self.cell >> 8, return_inverse=True)
+        counts = np.zeros((len(contexts), 256), np.int64)
+        counts[self.node, self.cell & 255] = np.bincount(at, n).astype(np.int64)
+        zeros, ones = bit_counts(counts)
+        self.leaf = (ones + 0.5) / (zeros + ones + 1)
+        weighted = block_probability(zeros, ones)
+        self.levels = []  # from the deepest but one up: number of children, share of the own estimate, own estimate
+        for _ in range(DEPTH - 1, TOP, -1):
+            contexts, first, size = self.parents(contexts)
+            zeros, ones, below = (np.add.reduceat(x, first) for x in (zeros, ones, weighted))
+            weighted, share = mixed(zeros, ones, below)
+            self.levels.append((size, share, (ones + 0.5) / (zeros + ones + 1)))
+        self.roots, first, self.in_root = self.parents(contexts)
+        self.sums = tuple(np.add.reduceat(x, first) for x in (zeros, ones, weighted))
+
+    @staticmethod
+    def parents(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        above = contexts >> CLASS_BITS
+        first = starts_of(above)
+        return above[first], first, np.diff(np.append(first, len(above)))
+
+    def log10(self, added: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Log10-probability of each cell, given what the driver's contexts have added and left."""
+        added, left = (np.repeat(x[self.roots], self.in_root, 0) for x in (added, left))
+        for size, share, own in reversed(self.levels):
+            added, left = np.repeat(added + left * share * own, size, 0), np.repeat(left * (1 - share), size, 0)
+        one = added + left * self.leaf
+        out = np.zeros(len(self.cell))
+        byte = self.cell & 255
+        for level in range(8):
+            p = one[self.node, (1 << level) - 1 + (byte >> 8 - level)]
+            out += np.log10(np.where(byte >> 7 - level & 1, p, 1 - p))
+        return out
+
+
+def in_chunks(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Batches in order of cells, in chunks of about so many rows; no context of TOP + 1 classes is in two of them."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            chunk = pa.Table.from_batches(held)
+            key = chunk.column("cell").to_numpy() >> 8 + CLASS_BITS * (DEPTH - TOP - 1)
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield chunk.slice(0, cut)
+            held, size = chunk.slice(cut).to_batches(), size - cut
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def by_branch(cells: DataFrame) -> DataFrame:
+    return cells.repartition(F.expr(f"cell >> {8 + CLASS_BITS * (DEPTH - TOP)}")).sortWithinPartitions("cell")
+
+
+def mix_top(cell_counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(CLASSES**TOP, 255) each: what the contexts of up to TOP classes add to their branches' estimates, and the share left."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in in_chunks(batches):
+            some = Branches(chunk.column("cell").to_numpy(), chunk.column("n").to_numpy())
+            parts = np.stack([x.astype(float) for x in some.sums], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(some.roots, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["root", "sums"])
+
+    total = np.zeros((CLASSES**TOP, 3, 255))
+    for r in by_branch(cell_counts).mapInArrow(sums, "root long, sums binary").toLocalIterator():
+        total[r.root] += np.frombuffer(r.sums).reshape(3, 255)
+    zeros, ones, below = total[:, 0], total[:, 1], total[:, 2]
+    levels = []
+    for _ in range(TOP + 1):
+        weighted, share = mixed(zeros, ones, below)
+        levels.append((share, (ones + 0.5) / (zeros + ones + 1)))
+        if len(zeros) > 1:
+            zeros, ones, below = (x.reshape(-1, CLASSES, 255).sum(1) for x in (zeros, ones, weighted))
+    added, left = np.zeros((1, 255)), np.ones((1, 255))
+    for share, own in reversed(levels):
+        added, left = (np.repeat(x, len(own) // len(x), 0) for x in (added, left))
+        added, left = added + left * share * own, left * (1 - share)
+    return added, left
+
+
+def cell_logs(cell_counts: DataFrame, asked: DataFrame, top: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(cell, log): the log10-probability of each different asked cell, whether it has been counted or not."""
+    sent = cell_counts.sparkSession.sparkContext.broadcast(top)  # 4 MB
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in in_chunks(batches):
+            cell, n, wanted = (chunk.column(c).to_numpy() for c in ("cell", "n", "wanted"))
+            some = Branches(cell, n)
+            hit = np.isin(some.cell, cell[wanted])
+            yield pa.RecordBatch.from_arrays([pa.array(some.cell[hit], pa.int64()), pa.array(some.log10(*sent.value)[hit], pa.float64())], names=["cell", "log"])
+
+    both = cell_counts.select("cell", "n", F.lit(False).alias("wanted")).unionByName(asked.select("cell", F.lit(0).cast("long").alias("n"), F.lit(True).alias("wanted")))
+    return by_branch(both).mapInArrow(logs, "cell long, log double")
+
+
+class CellTable:
+    """Log-probabilities by cell, in a hash table at most half full."""
+
+    def __init__(self, cells_: np.ndarray, logs: np.ndarray):
+        self.bits = max(4, (2 * len(cells_)).bit_length())
+        self.keys, self.logs = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        left, at = np.arange(len(cells_)), self.home(cells_)
+        while len(left):
+            here = at[left]
+            free = self.keys[here] < 0
+            self.keys[here[free]] = cells_[left[free]]
+            won = self.keys[here] == cells_[left]
+            self.logs[here[won]] = logs[left[won]]
+            left = left[~won]
+            at[left] = at[left] + 1 & len(self.keys) - 1
+
+    def home(self, cells_: np.ndarray) -> np.ndarray:
+        return (cells_.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, cells_: np.ndarray) -> np.ndarray:
+        """The log of each cell; nan for those not held."""
+        at = self.home(cells_)
+        key = self.keys[at]
+        out = np.where(key == cells_, self.logs[at], np.nan)
+        left = np.flatnonzero((key != cells_) & (key >= 0))
+        while len(left):
+            at[left] = at[left] + 1 & len(self.keys) - 1
+            key = self.keys[at[left]]
+            hit = key == cells_[left]
+            out[left[hit]] = self.logs[at[left[hit]]]
+            left = left[~hit & (key >= 0)]
+        return out
+
+
 def gather_counts(rows: DataFrame, flush: int = 400_000) -> DataFrame:
     """(word, cell, n): how often each word (lower-cased A-Z) and each tree cell occurs in the texts; one pass, one shuffle.
 
@@ -243,59 +398,74 @@ def gather_counts(rows: DataFrame, flush: int = 400_000) -> DataFrame:
     return rows.select("text").mapInArrow(count, "word binary, cell long, n long").groupBy("word", "cell").agg(F.sum("n").alias("n"))
 
 
-def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", head_words: int = 200_000, max_nodes: int = 24_000) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", head_words: int = 200_000, head_cells: int = 1_000_000) -> DataFrame:
     """For every document: tokens, known tokens, the base (add-one unigram) and the tree's log10-probability.
 
-    Learns from the rows where `train` holds.  Three steps: counts of words and tree cells over all training texts,
-    written to the shared folder; a pass over all texts that scores the tree and the frequent words, of which at most
-    head_words and max_nodes
-    tree nodes are broadcast; a join of the remaining words' occurrences with the remaining counts, which is exact
-    whatever the corpus, and is added up by document.  Null text is the empty one: one end token.  An empty training
-    set gives N = V = 0.  Equal rows come back each.
+    Learns from the rows where `train` holds.  Counts of words and tree cells over all training texts are written to
+    the shared folder; a pass over all texts scores the frequent words and cells, of which at most head_words and
+    head_cells are broadcast; joins of the remaining words' and cells' occurrences with the remaining counts are
+    exact whatever the corpus, and are added up by document.  Null text is the empty one: one end token.  An empty
+    training set gives N = V = 0.  Equal rows come back each.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     counts, _ = materialize(gather_counts(with_text(docs.where(train), id_col, text_col)), "counts")
-    words = counts.where(F.col("word").isNotNull()).select("word", "n")
+    words, tree = counts.where(F.col("word").isNotNull()).select("word", "n"), counts.where(F.col("cell").isNotNull()).select("cell", "n")
     steps = [1 << i for i in range(1, 50)]
-    totals = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), *[F.count(F.when(F.col("n") >= s, 1)).alias(f"s{s}") for s in steps]).first()
-    frequent = next((s for s in steps if totals[f"s{s}"] <= head_words), steps[-1])
+
+    def sizes(of: DataFrame, most: int) -> tuple:
+        """Sum, number, and the least power of two that at most so many counts reach."""
+        r = of.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), *[F.count(F.when(F.col("n") >= s, 1)).alias(f"s{s}") for s in steps]).first()
+        return r["n"], r["v"], next((s for s in steps if r[f"s{s}"] <= most), steps[-1])
+
+    n_words, vocabulary, frequent = sizes(words, head_words)
     head = words.where(F.col("n") >= frequent).toArrow()
-    tree = grow_tree(counts.where(F.col("cell").isNotNull()).select("cell", "n"), max_nodes)
     known = dict(zip(head.column("word").to_pylist(), np.log10(head.column("n").to_numpy() + 1.0).tolist(), strict=True))
-    sent = spark.sparkContext.broadcast((known, tree))
+    arrow_limits(spark, 20_000)  # of cells
+    top = mix_top(tree)
+    frequent_cells = cell_logs(tree, tree.where(F.col("n") >= sizes(tree, head_cells)[2]), top).toArrow()
+    arrow_limits(spark)
+    sent = spark.sparkContext.broadcast((known, CellTable(*(frequent_cells.column(c).to_numpy() for c in ("cell", "log")))))
     rows = with_text(docs, id_col, text_col, F.coalesce(train, F.lit(False)).alias("trained"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, tree = sent.value
+        known, table = sent.value
         row = TaskContext.get().partitionId() << 40
-        names = ["doc_id", "trained", "row", "n_tokens", "head_known", "head_log", "score", "n_bytes", "rest"]
+        names = ["doc_id", "trained", "row", "n_tokens", "head_known", "head_log", "head_score", "n_bytes", "rest", "rest_cells"]
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for text in batch.column(1).to_pylist():
                 found = BLANK_WORD_BYTES.findall(text.encode("utf-8", "replace").lower())
                 found.append(b"")
                 logs = [known[w] for w in found if w in known]
-                values = (len(found), len(logs), sum(logs), tree.log10(text), len(text.encode("utf-8", "replace")), [w for w in found if w not in known])
+                at = cells(text)
+                tree_logs = table.find(at)
+                values = (len(found), len(logs), sum(logs), float(np.nansum(tree_logs)), len(at) - 1, [w for w in found if w not in known], at[np.isnan(tree_logs)])
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary())]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
             number = pa.array(np.arange(row, row + batch.num_rows), pa.int64())
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), number, *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=names)
 
-    scored, _ = materialize(rows.mapInArrow(score, f"doc_id {kind}, trained boolean, row long, n_tokens long, head_known long, head_log double, score double, n_bytes long, rest array<binary>"), "scored")
+    scored, _ = materialize(rows.mapInArrow(score, f"doc_id {kind}, trained boolean, row long, n_tokens long, head_known long, head_log double, head_score double, n_bytes long, rest array<binary>, rest_cells array<long>"), "scored")
     rare = words.where(F.col("n") < frequent)
     asked = scored.select("row", F.explode("rest").alias("word"))
     rest = asked.join(rare, "word").groupBy("row").agg(F.count("*").alias("rest_known"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("rest_log"))
-    of_all = float(np.log10(totals["n"] + totals["v"] + 1))
-    return scored.join(rest, "row", "left").select(
+    asked_cells = scored.select("row", F.explode("rest_cells").alias("cell")).groupBy("row", "cell").agg(F.count("*").alias("times"))
+    arrow_limits(spark, 20_000)
+    rare_cells, _ = materialize(cell_logs(tree, asked_cells.select("cell").distinct(), top), "cells")
+    arrow_limits(spark)
+    rest_cells = asked_cells.join(rare_cells, "cell").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("rest_score"))
+    of_all = float(np.log10(n_words + vocabulary + 1))
+    whole = scored.join(rest, "row", "left").join(rest_cells, "row", "left").withColumn("score", F.col("head_score") + F.coalesce("rest_score", F.lit(0.0)))
+    return whole.select(
         "doc_id",
         "trained",
         "n_tokens",
         (F.col("head_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
-        F.lit(totals["n"]).cast("long").alias("train_tokens"),
+        F.lit(n_words).cast("long").alias("train_tokens"),
         (F.col("head_log") + F.coalesce("rest_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(of_all)).alias("base_score"),
         "score",
         (F.col("score") * F.lit(-1 / np.log10(2)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
