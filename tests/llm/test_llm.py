@@ -303,6 +303,18 @@ def test_classifiers_of_awkward_rows(spark, edge, empty):
         assert linecrf.line_quality(empty, q).count() == toxicity.toxicity(empty, t).count() == 0
 
 
+def test_quality_keeps_the_labels_odds_where_the_sample_is_bounded(spark):
+    """600 good and 60 bad documents that can't be told apart by their lines: 10 to 1, whatever is drawn."""
+    r = random.Random(12)
+    words = "the of a lake river stone under green slow and with many".split()
+    docs = [(i, "\n".join(" ".join(r.choice(words) for _ in range(12)) for _ in range(3)), int(i % 11 > 0)) for i in range(660)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, quality int")
+    for sample in (2000, 60):
+        model = linecrf.learn_quality(df, df, F.lit(True), sample=sample)
+        scores = np.array([x.score for x in linecrf.line_quality(df, model).collect()])
+        assert abs(scores.mean() - 600 / 660) < 0.04 and (scores >= 0.3).mean() > 0.98
+
+
 def test_line_marginals_against_enumeration():
     r = np.random.default_rng(4)
     chains, moves = [r.normal(size=n) for n in (1, 4, 5, 9)], r.normal(size=(2, 2))

@@ -9,8 +9,9 @@ training documents turns that into a probability.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -170,15 +171,22 @@ def learn_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
     """Model from at most `sample` labelled documents of each label for which `train` holds (of the labels' rows).
 
     The fit alone is on a bounded sample, those of smallest id hash, and of their texts on the first max_chars
-    characters; scoring takes whole texts.
+    characters; scoring takes whole texts.  The odds of the sample are put back to those of all training labels, so
+    the score doesn't drift to even odds where the bound binds.
     """
     known = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     rows = []
     for label in (0, 1):
         ids = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         texts = with_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id")
         rows += pick_sample(texts.select("doc_id", F.substring("text", 1, max_chars).alias("text"), "label"), sample, "doc_id", "text")
-    return train_line_model([r.text for r in rows], [r.label for r in rows])
+    model = train_line_model([r.text for r in rows], [r.label for r in rows])
+    drawn = Counter(r.label for r in rows)
+    if drawn[0] and drawn[1]:
+        a, b = model.curve
+        model = replace(model, curve=(a, b + float(np.log(counts[1] / drawn[1]) - np.log(counts[0] / drawn[0]))))
+    return model
 
 
 def line_quality(docs: DataFrame, model: LineModel, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
