@@ -30,17 +30,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one of smallest id (of equal ids, the first by text and source)."""
-    groups = simhash.near_duplicates(docs)
-    first = docs.join(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return first.dropDuplicates(["doc_id"])
+    """One row of each near-duplicate group stays: the one of smallest id (of equal ids, the first by text and source).
+
+    Rows are told apart by their group, not by their id: ids may be repeated or null.
+    """
+    own = [F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns)]
+    rows = simhash.grouped_rows(docs, "doc_id", "text", 4, 4, *own)
+    first = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    by = sorted(range(len(docs.columns)), key=lambda i: (["text", "source"].index(docs.columns[i]) if docs.columns[i] in ("text", "source") else 2, i))
+    kept = first.groupBy("root").agg(F.min(F.struct(*[f"own_{i}" for i in by])).alias("row"))
+    return kept.select(*[F.col(f"row.own_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule holds against the benchmark go."""
-    hits = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    found = hits.where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    """Documents that the contamination rule holds against the benchmark go.
+
+    The rule looks at the text alone, so rows meet their verdict by their text: ids may be repeated or null.
+    """
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    hits = decontam.decontaminate(docs.select(key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), "key")
+    found = hits.where("contaminated").select(F.col("doc_id").alias("hit_key")).distinct()
+    return docs.join(found, key == F.col("hit_key"), "left_anti")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -452,3 +452,18 @@ def test_pipeline_runs_whole_and_on_awkward_rows(spark, edge, empty, documents):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, five, SF).count() >= 1
         assert stage(spark, empty.select(*documents.columns), SF).count() == 0
+
+
+def test_pipeline_tells_rows_of_repeated_and_null_ids_apart(spark, documents):
+    r = random.Random(21)
+    a, b, c, d = (" ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(4))
+    item = next(x.text for x in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(brute.BLANK.findall(x.text)) >= 13)
+    own = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, d), (None, item), (1, item), (3, None)]
+    rows = spark.createDataFrame([(i, t, "en", f"s{n}", len(t or "")) for n, (i, t) in enumerate(own)], documents.schema)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def kept(name):
+        return sorted(int(x.source[1:]) for x in stages[name](spark, rows, SF).collect())
+
+    assert kept("near_dedup") == [0, 1, 3, 4, 7, 8]
+    assert kept("decontamination") == [0, 1, 2, 3, 4, 5, 8]

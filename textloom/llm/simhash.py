@@ -45,17 +45,18 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp): fp has the fingerprint's bits as a signed long.  Null and empty texts have 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, *more: Column) -> DataFrame:
+    """(doc_id, fp, ...): fp has the fingerprint's bits as a signed long.  Null and empty texts have 0."""
     arrow_limits(docs.sparkSession)
-    rows = with_text(docs, id_col, text_col)
+    rows = with_text(docs, id_col, text_col, *more)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    return rows.mapInArrow(hashed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.schema[2:])
+    return rows.mapInArrow(hashed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long{kept}")
 
 
 class BKTree:
@@ -222,17 +223,22 @@ def linked_groups(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, itself included.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, *more: Column) -> DataFrame:
+    """(doc_id, fp, component_id, ...): component_id is the smallest doc_id reachable over links, itself included.
 
     Equal fingerprints are one node throughout, so exact copies cost nothing beyond their row.  Writes the
     fingerprints and each round of the grouping to the shared folder.  Null and empty texts share fingerprint 0 and
     are linked like any other; equal rows come back each; null ids are the smallest only where a group has no other.
     """
-    rows, _ = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    return grouped_rows(docs, id_col, text_col, width, radius, *more).drop("root")
+
+
+def grouped_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, *more: Column) -> DataFrame:
+    """near_duplicates with each row's group, root: two groups can have the same component_id, where ids are repeated or null."""
+    rows, _ = materialize(fingerprints(docs, id_col, text_col, width, *more), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     groups = linked_groups(hamming_links(nodes.select("fp"), radius))
     rooted = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = rooted.join(smallest, "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", *rows.columns[2:], "root")
