@@ -7,23 +7,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import decontam, langid, packing, pii, simhash
-from textloom.llm.common import crc_mod, materialize, table
+from textloom.llm.common import materialize, table
 
 #: A document whose best language contains less of its n-grams than this is in none of the learned languages.
 LEAST_KNOWN = 0.15
+#: A language of fewer labelled documents than ENOUGH_DOCS, or a text of fewer letters than ENOUGH_LETTERS, is too thin to judge by.
+ENOUGH_DOCS, ENOUGH_LETTERS = 100, 100
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and texts in none of the learned languages, go.
 
     Where no language is labelled, or none has an n-gram of its own (a handful of documents), nothing can be said, and
-    only texts without a letter go.
+    only texts without a letter go.  Nothing is held out from learning here, and no text goes whose label or best
+    candidate is a language of few documents, or that is short.
     """
-    filters = langid.learn_filters(docs, crc_mod("doc_id", 3) != 1)
+    filters = langid.learn_filters(docs, F.lit(True), thin=ENOUGH_DOCS)
+    judged = [r.lang for r in docs.where(F.col("lang").isNotNull()).groupBy("lang").count().where(F.col("count") >= ENOUGH_DOCS).collect()]
     columns = [F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns)]
     told = langid.identify(docs, filters, "doc_id", "text", *columns)
     if filters.slots.any():
-        kept = told.where((F.col("lang_pred") != "und") & (F.col("known") >= LEAST_KNOWN))
+        label, text = (F.col(f"own_{docs.columns.index(c)}") for c in ("lang", "text"))
+        thin = ~F.col("lang_pred").isin(judged) | F.coalesce(~label.isin(judged), F.lit(False))
+        kept = told.where((F.col("lang_pred") != "und") & ((F.col("known") >= LEAST_KNOWN) | thin | (F.length(F.regexp_replace(text, r"\P{L}+", "")) < ENOUGH_LETTERS)))
     else:
         kept = told.where(F.col(f"own_{docs.columns.index('text')}").rlike(r"\p{L}"))
     return kept.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])

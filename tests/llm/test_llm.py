@@ -467,3 +467,22 @@ def test_pipeline_tells_rows_of_repeated_and_null_ids_apart(spark, documents):
 
     assert kept("near_dedup") == [0, 1, 3, 4, 7, 8]
     assert kept("decontamination") == [0, 1, 2, 3, 4, 5, 8]
+
+
+def test_pipeline_keeps_clean_documents_of_rare_languages(spark, documents):
+    r = random.Random(31)
+
+    def prose(letters, n=80, size=40):
+        words = ["".join(r.choice(letters) for _ in range(5)) for _ in range(size)]
+        return lambda: " ".join(r.choice(words) for _ in range(n))
+
+    common, one, few = prose("abcdefg"), prose("ñopqrst"), prose("жзийклм")
+    own = [(common(), "en") for _ in range(300)] + [(one(), "xx"), *((few(), "yy") for _ in range(9)), (few(), None), ("Wyvxz Zuwyv", "en"), ("Wyvxz Zuwyv", None)]
+    junk = [("123 456", "en"), (None, "en"), ("".join(r.choice("αβγδεζηθ ") for _ in range(900)), None)]
+
+    def kept(texts):
+        rows = spark.createDataFrame([(i, t, x, "s", 0) for i, (t, x) in enumerate(texts)], documents.schema)
+        return sorted(x.doc_id for x in corpus_pipeline.language(spark, rows, SF).collect())
+
+    assert kept(own + junk[:2]) == list(range(len(own)))
+    assert kept(own[:300] + junk) == list(range(300))  # every language can be judged

@@ -101,12 +101,13 @@ def build_filters(found: dict[str, np.ndarray], docs_of: dict[str, int], n: int,
     return LanguageFilters(languages, slots, false_rate, max(range(len(languages)), key=lambda i: (docs_of[languages[i]], -i), default=0), n, k)
 
 
-def learn_filters(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n: int = 4, k: int = 3, sample: int = 3000, min_share: float = 0.004) -> LanguageFilters:
+def learn_filters(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n: int = 4, k: int = 3, sample: int = 3000, min_share: float = 0.004, thin: int = 0) -> LanguageFilters:
     """Filters of all languages of the rows where `train` holds and the language isn't null.
 
     The fit is on a bounded sample: of each language about `sample` documents, those of small id hash.  An n-gram is
     the language's if at least max(2, min_share * documents) of its sampled documents hold it, which keeps the words
-    of other languages, names and noise out, and bounds a filter: no more than (n-grams a document) / min_share.
+    of other languages, names and noise out, and bounds a filter: no more than (n-grams a document) / min_share.  Of a
+    language with fewer than `thin` documents every n-gram counts, as there is nothing to tell noise by.
     """
     labelled = docs.where(train & F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).cast("string").alias("lang")).count().collect()}
@@ -134,7 +135,7 @@ def learn_filters(docs: DataFrame, train: Column, id_col: str = "doc_id", text_c
         yield from summed()
 
     sums = chosen.mapInArrow(gather, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    least = F.greatest(F.lit(2.0), F.element_at(F.create_map(*[F.lit(v) for x, c in counts.items() for v in (x, min_share * min(c, sample))]), F.col("lang"))) if counts else F.lit(2.0)
+    least = F.element_at(F.create_map(*[F.lit(v) for x, c in counts.items() for v in (x, 1.0 if c < thin else max(2.0, min_share * min(c, sample)))]), F.col("lang")) if counts else F.lit(2.0)
     kept = sums.where(F.col("n") >= least).select("lang", "gram").toArrow() if counts else None
     found = {}
     if kept is not None:
