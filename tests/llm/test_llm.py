@@ -22,9 +22,7 @@ BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path
 
 
 def plain(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def held_out(doc_id, n, r):
@@ -44,7 +42,7 @@ def auc(rows, label_of):
 def test_pieces_join_to_the_tokenizers_ids(path, split):
     r = random.Random(3)
     chars = "abcdABCéßÄñЖ你ªº²½٣İſ \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 　'’.,!#$%&<>|_-0123̸́😀"
-    bits = ["<|endoftext|>", "'s", "'LL", "don't", " it's", "</w>", "x" * 60, "!" * 70]
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|endoftext|><|endoftext|>", "<|endoftext", "'s", "'LL", "don't", " it's", "</w>", "x" * 60, "!" * 70]
     fuzz = ["".join(r.choice(chars) if r.random() < 0.9 else r.choice(bits) for _ in range(r.randint(0, 50))) for _ in range(3000)]
     e, t = tokens.CachedEncoder(path, split, limit=500), plain(path)
     for i in range(0, len(fuzz), 100):

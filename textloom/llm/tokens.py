@@ -32,8 +32,9 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 class CachedEncoder:
     """Token ids as little-endian uint32 bytes, remembering those of short pieces.
 
-    Joined ids of a text's pieces equal the ids of the text, as the tokenizer never merges over the places where
-    `split` cuts.  At most about `limit` pieces of up to 48 characters are remembered; then the memory starts afresh.
+    Joined ids of a text's pieces equal encode(text, add_special_tokens=False), as the tokenizer never merges over the
+    places where `split` cuts.  As there, the name of an added token in a text is that token: names are cut out first.
+    At most about `limit` pieces of up to 48 characters are remembered; then the memory starts afresh.
     """
 
     def __init__(self, path: str, split: str, limit: int = 600_000):
@@ -41,23 +42,32 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError(f"{path}: an added token that takes in what stands around it")
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        # the leftmost and of these the longest
+        self.names = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.any_pieces, self.plain_pieces = SPLITS[split].findall, PLAIN_SPLITS[split].findall
         self.starts = split == "byte_level"  # a token with the blank starts a word; else one with the end mark ends it
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         self.edge[[i for t, i in vocabulary.items() if (t.startswith("\u0120") if self.starts else t.endswith("</w>"))]] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = dict(self.added)
         self.limit = limit
 
     def pieces(self, text: str) -> list[str]:
-        return (self.any_pieces if _ODD_SPACE.search(text) else self.plain_pieces)(text)
+        find = self.any_pieces if _ODD_SPACE.search(text) else self.plain_pieces
+        if self.names is None or not self.names.search(text):
+            return find(text)
+        return [p for i, part in enumerate(self.names.split(text)) for p in ([part] if i % 2 else find(part))]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(text) for text in texts]
         known = self.known
         if len(known) > self.limit:
             known.clear()
+            known.update(self.added)
         new: set[str] = set()
         for pieces in cut:
             new.update(filterfalse(known.__contains__, pieces))
