@@ -3,12 +3,14 @@
 Two fingerprints within r bits of each other agree in at least b - r of any b
 blocks their bits are cut into.  Every way to choose b - r blocks, with the
 values found there, names a shard; fingerprints that link are together in at
-least one shard, and a shard's size stays small as the corpus grows because b
-is chosen by the number of different fingerprints.  Each shard's fingerprints
-form a BK-tree (children keyed by their distance to the parent), which is
-searched along edges within the radius only.  Links that join nothing new are
-not followed: a branch whose fingerprints already share the group of the one
-searched is skipped, so a shard gives fewer links than it has fingerprints.
+least one shard.  b is the least that keeps a shard to about a thousand evenly
+spread fingerprints, so trees stay bounded as the corpus grows.  Each shard's
+fingerprints form a BK-tree (children keyed by their distance to the parent),
+which all of them search along edges within the radius only.  A shard's tree
+comes to the task that has its fingerprints, by shuffle: broadcasting the trees
+of all shards to all tasks would grow with the corpus.  Links that join nothing
+new are not followed: a branch whose fingerprints all share the group of the
+one searched is skipped, and a shard gives fewer links than fingerprints.
 """
 
 from __future__ import annotations
@@ -59,69 +61,88 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(hashed, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long{kept}")
 
 
-class BKTree:
-    """Fingerprints with the groups found so far (union-find), and the group a whole branch is known to share."""
-
-    def __init__(self, radius: int):
-        self.radius = radius
-        self.value: list[int] = []
-        self.children: list[dict[int, int]] = []
-        self.parent: list[int] = []  # union-find
-        self.shared: list[int] = []  # member of the group that the whole branch below a node has, or -1
-
-    def find(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    def add(self, x: int) -> None:
-        """Join x with all groups that have a fingerprint within the radius, then insert it."""
-        new = len(self.value)
-        if new:
-            self.search(x, new)
-        self.value.append(x)
-        self.children.append({})
-        self.shared.append(new)
-        if not new:
-            self.parent.append(new)
-            return
-        at, root = 0, self.find(new)
-        while True:
-            if self.shared[at] >= 0 and self.find(self.shared[at]) != root:
-                self.shared[at] = -1
-            d = (self.value[at] ^ x).bit_count()
-            if d not in self.children[at]:
-                self.children[at][d] = new
-                return
-            at = self.children[at][d]
-
-    def search(self, x: int, new: int) -> None:
-        self.parent.append(new)
-        r, find, open_ = self.radius, self.find, [0]
-        while open_:
-            at = open_.pop()
-            if self.shared[at] >= 0 and find(self.shared[at]) == find(new):
-                continue
-            d = (self.value[at] ^ x).bit_count()
-            if d <= r:
-                a, b = find(at), find(new)
-                if a != b:
-                    self.parent[max(a, b)] = min(a, b)
-            kids = self.children[at]
-            if len(kids) <= 2 * r + 1:
-                open_ += [k for e, k in kids.items() if d - r <= e <= d + r]
-            else:
-                open_ += [kids[e] for e in range(d - r, d + r + 1) if e in kids]
-
-    def links(self) -> list[tuple[int, int]]:
-        """(fingerprint, one of its group that stands for it), for all that are not their group's own."""
-        return [(v, self.value[r]) for i, v in enumerate(self.value) if (r := self.find(i)) != i]
-
-
-def block_count(n: int, radius: int, aim: int = 4) -> int:
-    """Blocks for n fingerprints: the fewest for which evenly spread ones lie about `aim` to a shard."""
+def joined_groups(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label (each place's smallest fellow) after joining the groups of places a with those of places b."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(shorter := label[label], label):
+            label = shorter
+
+
+class BKTrees:
+    """A BK-tree for each shard, all of them in arrays and searched together; no fingerprint is twice in a shard.
+
+    A node is a fingerprint's place.  Its children are keyed by their distance to it and stored together in the order
+    of that key, so the edges within the radius of a distance are one stretch: first[node, d - r] to first[node, d + r + 1].
+    """
+
+    EDGES = 66
+
+    def __init__(self, shard: np.ndarray, value: np.ndarray):
+        """shard in ascending order, value as uint64."""
+        n = len(value)
+        self.value = value
+        starts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if n else np.empty(0, np.int64)
+        self.root = np.repeat(starts, np.diff(np.append(starts, n)))
+        self.parent, self.edge = np.full(n, -1), np.zeros(n, np.int64)
+        self.levels = [starts]
+        left = np.setdiff1d(np.arange(n), starts, assume_unique=True)
+        at = self.root[left]
+        while len(left):
+            d = np.bitwise_count(value[at] ^ value[left]).astype(np.int64)
+            _, new, where = np.unique(at * self.EDGES + d, return_index=True, return_inverse=True)
+            self.parent[left[new]], self.edge[left[new]] = at[new], d[new]
+            self.levels.append(left[new])
+            at, further = left[new][where], np.ones(len(left), bool)
+            further[new] = False
+            left, at = left[further], at[further]
+        has = np.flatnonzero(self.parent >= 0)
+        key = self.parent[has] * self.EDGES + self.edge[has]
+        self.children = has[np.argsort(key, kind="stable")]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=n * self.EDGES))])
+
+    def of_one_group(self, label: np.ndarray) -> np.ndarray:
+        """Whether a node and all nodes below it are of one group."""
+        out = np.ones(len(label), bool)
+        for nodes in reversed(self.levels[1:]):
+            above = self.parent[nodes]
+            out[above[~out[nodes] | (label[nodes] != label[above])]] = False
+        return out
+
+    def search(self, asked: np.ndarray, radius: int, label: np.ndarray, uniform: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(asked place, place within the radius) pairs; branches whose nodes are all of the asked one's own group are left out."""
+        found, at, edges = [(asked[:0], asked[:0])], self.root[asked], self.EDGES
+        while len(asked):
+            open_ = ~(uniform[at] & (label[at] == label[asked]))
+            asked, at = asked[open_], at[open_]
+            d = np.bitwise_count(self.value[asked] ^ self.value[at]).astype(np.int64)
+            near = d <= radius
+            found.append((asked[near], at[near]))
+            low = self.first[at * edges + np.maximum(d - radius, 0)]
+            size = self.first[at * edges + np.minimum(d + radius, edges - 2) + 1] - low
+            ends = np.cumsum(size)
+            asked = np.repeat(asked, size)
+            at = self.children[np.arange(len(asked)) + np.repeat(low - ends + size, size)]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def groups(self, radius: int, step: int = 1024) -> np.ndarray:
+        """For each place the first place of its group: all links within the radius, inside a shard, are followed."""
+        n = len(self.value)
+        own = np.flatnonzero((self.parent >= 0) & (self.edge <= radius))
+        label = joined_groups(np.arange(n), own, self.parent[own])
+        for i in range(0, n, step):
+            label = joined_groups(label, *self.search(np.arange(i, min(n, i + step)), radius, label, self.of_one_group(label)))
+        return label
+
+
+def block_count(n: int, radius: int, aim: int = 1024) -> int:
+    """Blocks for n fingerprints: the fewest for which evenly spread ones lie about `aim` to a shard at most."""
     for blocks in range(radius + 1, radius + 5):
         if n >> (64 * (blocks - radius) // blocks) <= aim:
             return blocks
@@ -140,6 +161,23 @@ def shard_keys(fp: Column, radius: int, blocks: int) -> Column:
     return F.array(*keys)
 
 
+def whole_shards(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Batches in order of their shards, in tables of about so many rows; no shard is in two of them."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows:
+            table = pa.Table.from_batches(held)
+            shard = table.column("shard").to_numpy()
+            cut = int(np.searchsorted(shard, shard[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            held, size = table.slice(cut).to_batches(), size - cut
+    if size:
+        yield pa.Table.from_batches(held)
+
+
 def hamming_links(distinct: DataFrame, radius: int = 4, shard_limit: int = 4096) -> DataFrame:
     """(a, b) links between different fingerprints (column fp) that make the same groups as all links within radius.
 
@@ -165,38 +203,22 @@ def hamming_links(distinct: DataFrame, radius: int = 4, shard_limit: int = 4096)
     dealt = work.repartition("shard").sortWithinPartitions("shard", "fp")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail_shard, tail_fp = np.empty(0, np.int64), np.empty(0, np.int64)
-        last = False
-        source = iter(batches)
-        while not last:
-            batch = next(source, None)
-            last = batch is None
-            shard = tail_shard if last else np.concatenate([tail_shard, batch.column(1).to_numpy()])
-            fps = tail_fp if last else np.concatenate([tail_fp, batch.column(0).to_numpy()])
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            bounds = np.concatenate([[0], cuts, [len(shard)]]) if len(shard) else np.array([0])
-            if not last and len(bounds) > 1:  # the last shard may go on in the next batch
-                tail_shard, tail_fp = shard[bounds[-2] :], fps[bounds[-2] :]
-                bounds = bounds[:-1]
-            found: list[tuple[int, int]] = []
-            for i in np.flatnonzero(np.diff(bounds) > 1).tolist():
-                tree = BKTree(radius)
-                for x in fps[bounds[i] : bounds[i + 1]].view(np.uint64).tolist():
-                    tree.add(x)
-                found += tree.links()
-            if found:
-                links = np.array(found, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+        for held in whole_shards(batches):
+            fps = held.column("fp").to_numpy()
+            label = BKTrees(held.column("shard").to_numpy(), fps.view(np.uint64)).groups(radius)
+            own = np.flatnonzero(label != np.arange(len(fps)))
+            yield pa.RecordBatch.from_arrays([pa.array(fps[own]), pa.array(fps[label[own]])], names=["a", "b"])
 
     return dealt.select("fp", "shard").mapInArrow(search, "a long, b long").distinct()
 
 
-def linked_groups(links: DataFrame, rounds: int = 60) -> DataFrame:
+def linked_groups(links: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node of the group; for the nodes that have a link.
 
     Large-star and small-star rounds: each hangs a node's neighbours on the smallest node around it.  Minimums are
     summed up before they are shuffled, joins on a crowded node are split by adaptive execution, and each round is
-    written to the shared folder, so nothing of it grows in lineage, on the driver or in one task.
+    written to the shared folder, so nothing of it grows in lineage, on the driver or in one task.  The rounds go on
+    until one changes nothing, which every graph comes to.
     """
     spark = links.sparkSession
     edges, path = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
@@ -205,9 +227,7 @@ def linked_groups(links: DataFrame, rounds: int = 60) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
 
     before = size(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -238,7 +258,8 @@ def grouped_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows, _ = materialize(fingerprints(docs, id_col, text_col, width, *more), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     groups = linked_groups(hamming_links(nodes.select("fp"), radius))
-    rooted = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id", "root")
+    # each join is of tables as they are read, with no aggregate below it: adaptive execution can split a large group
+    rooted, _ = materialize(nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    smallest, _ = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    named, _ = materialize(rooted.join(smallest, "root").select("fp", "component_id", "root"), "named")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id", *rows.columns[2:], "root")
