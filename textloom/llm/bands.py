@@ -33,26 +33,28 @@ class BandLimits:
         (0, 0.0, float("inf")), (128, 0.75, 3.0), (512, 1.15, 4.0), (2048, 1.38, 5.0), (8192, 1.45, 6.0), (32768, 1.5, 8.0),
     )
     chunk_bytes: int = 2048
-    #: For each full chunk.
+    #: For each chunk.
     chunk_low: float = 1.2
     chunk_high: float = 6.0
-    #: Rejected if more than this share of the full chunks is outside of the chunk band.
+    #: Rejected if more than this share of the chunks is outside of the chunk band.
     chunk_share: float = 0.4
     level: int = 3
 
 
 def band_verdict(raw: bytes, limits: BandLimits, packer: zstandard.ZstdCompressor) -> tuple[float, float, bool]:
-    """Ratio of the whole, share of full chunks outside the chunk band, verdict."""
+    """Ratio of the whole, share of chunks outside the chunk band, verdict.
+
+    The last chunk is as long as the others and ends with the text, so every byte is in a chunk; a text shorter than
+    one chunk is judged by the band of its length alone.
+    """
     if not raw:
         return 1.0, 0.0, True
     ratio = len(raw) / len(packer.compress(raw))
     low, high = next((a, b) for at, a, b in reversed(limits.whole) if len(raw) >= at)
-    n = len(raw) // limits.chunk_bytes
-    out = 0
-    for i in range(n):
-        r = limits.chunk_bytes / len(packer.compress(raw[i * limits.chunk_bytes : (i + 1) * limits.chunk_bytes]))
-        out += not limits.chunk_low <= r <= limits.chunk_high
-    share = out / n if n else 0.0
+    size = limits.chunk_bytes
+    starts = [min(at, len(raw) - size) for at in range(0, len(raw), size)] if len(raw) >= size else []
+    out = sum(not limits.chunk_low <= size / len(packer.compress(raw[at : at + size])) <= limits.chunk_high for at in starts)
+    share = out / len(starts) if starts else 0.0
     return ratio, share, low <= ratio <= high and share <= limits.chunk_share
 
 

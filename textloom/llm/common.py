@@ -6,6 +6,8 @@ import posixpath
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ BLANK_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The same on UTF-8 bytes; the bytes of other characters are all above 0x7F.
 BLANK_WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,16 +27,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def arrow_limits(spark: SparkSession, rows: int = 256, mb: int = 24) -> None:
     """Bound what one Arrow batch brings into a Python worker: rows and bytes.
 
-    Documents may be very long, so Spark's default of 10,000 rows a batch is no bound on memory.
+    Documents may be very long, so Spark's default of 10,000 rows a batch is no bound on memory.  A DataFrame takes the
+    session's setting when it runs, after its operator has returned, so the bound has to stay; a lower one of the
+    caller's is left alone.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """So many rows a batch for the jobs run inside, whose rows are short."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset and Spark runs in one process (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured

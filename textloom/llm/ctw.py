@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORD_BYTES, arrow_limits, discard, materialize, with_text
+from .common import BLANK_WORD_BYTES, arrow_limits, arrow_rows, discard, materialize, with_text
 
 DEPTH, CLASSES, CLASS_BITS = 5, 32, 5
 #: The contexts of so many classes, CLASSES**TOP at most, are mixed on the driver.
@@ -277,7 +277,8 @@ def in_chunks(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator
 
 
 def by_branch(cells: DataFrame) -> DataFrame:
-    return cells.repartition(F.expr(f"cell >> {8 + CLASS_BITS * (DEPTH - TOP)}")).sortWithinPartitions("cell")
+    """Dealt by the contexts of TOP + 1 classes, so that no frequent context of TOP classes is one task's; their sums add up."""
+    return cells.repartition(F.expr(f"cell >> {8 + CLASS_BITS * (DEPTH - TOP - 1)}")).sortWithinPartitions("cell")
 
 
 def mix_top(cell_counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -421,10 +422,9 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     n_words, vocabulary, frequent = sizes(words, head_words)
     head = words.where(F.col("n") >= frequent).toArrow()
     known = dict(zip(head.column("word").to_pylist(), np.log10(head.column("n").to_numpy() + 1.0).tolist(), strict=True))
-    arrow_limits(spark, 20_000)  # of cells
-    top = mix_top(tree)
-    frequent_cells = cell_logs(tree, tree.where(F.col("n") >= sizes(tree, head_cells)[2]), top).toArrow()
-    arrow_limits(spark)
+    with arrow_rows(spark, 20_000):  # of cells
+        top = mix_top(tree)
+        frequent_cells = cell_logs(tree, tree.where(F.col("n") >= sizes(tree, head_cells)[2]), top).toArrow()
     sent = spark.sparkContext.broadcast((known, CellTable(*(frequent_cells.column(c).to_numpy() for c in ("cell", "log")))))
     rows = with_text(docs, id_col, text_col, F.coalesce(train, F.lit(False)).alias("trained"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -454,9 +454,8 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     asked = scored.select("row", F.explode("rest").alias("word"))
     rest = asked.join(rare, "word").groupBy("row").agg(F.count("*").alias("rest_known"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("rest_log"))
     asked_cells = scored.select("row", F.explode("rest_cells").alias("cell")).groupBy("row", "cell").agg(F.count("*").alias("times"))
-    arrow_limits(spark, 20_000)
-    rare_cells, _ = materialize(cell_logs(tree, asked_cells.select("cell").distinct(), top), "cells")
-    arrow_limits(spark)
+    with arrow_rows(spark, 20_000):
+        rare_cells, _ = materialize(cell_logs(tree, asked_cells.select("cell").distinct(), top), "cells")
     rest_cells = asked_cells.join(rare_cells, "cell").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("rest_score"))
     of_all = float(np.log10(n_words + vocabulary + 1))
     whole = scored.join(rest, "row", "left").join(rest_cells, "row", "left").withColumn("score", F.col("head_score") + F.coalesce("rest_score", F.lit(0.0)))

@@ -87,17 +87,20 @@ class LanguageFilters:
         return self.languages[best], float(shares[best] / shares.sum()), float(shares[best])
 
 
-def build_filters(found: dict[str, np.ndarray], docs_of: dict[str, int], n: int, k: int) -> LanguageFilters:
+def build_filters(found: dict[str, np.ndarray], docs_of: dict[str, int], n: int, k: int, most_bytes: int = 1 << 30) -> LanguageFilters:
+    """Filters of the n-grams found; an error if they took over most_bytes, as they are broadcast."""
     languages = sorted(docs_of)
     most = max([1, *(len(found[x]) for x in languages if x in found)])
-    n_slots = 1 << min(26, max(10, (16 * most - 1).bit_length()))
+    n_slots = 1 << max(10, (16 * most - 1).bit_length())  # at most k / 16 of the slots are taken
+    if n_slots * 8 * -(-len(languages) // 64) > most_bytes:
+        raise ValueError(f"language filters of over {most_bytes} bytes: {most} n-grams of a language, {len(languages)} languages; raise min_share or lower sample")
     slots = np.zeros((n_slots, max(1, -(-len(languages) // 64))), np.uint64)
     false_rate = np.zeros(len(languages))
     for i, language in enumerate(languages):
         for at in slots_of(found.get(language, np.empty(0, np.uint64)), n_slots, k):
             slots[at, i >> 6] |= np.uint64(1 << (i & 63))
         fill = np.count_nonzero(slots[:, i >> 6] >> np.uint64(i & 63) & np.uint64(1)) / n_slots
-        false_rate[i] = min(fill**k, 0.5)
+        false_rate[i] = fill**k
     return LanguageFilters(languages, slots, false_rate, max(range(len(languages)), key=lambda i: (docs_of[languages[i]], -i), default=0), n, k)
 
 
@@ -107,7 +110,8 @@ def learn_filters(docs: DataFrame, train: Column, id_col: str = "doc_id", text_c
     The fit is on a bounded sample: of each language about `sample` documents, those of small id hash.  An n-gram is
     the language's if at least max(2, min_share * documents) of its sampled documents hold it, which keeps the words
     of other languages, names and noise out, and bounds a filter: no more than (n-grams a document) / min_share.  Of a
-    language with fewer than `thin` documents every n-gram counts, as there is nothing to tell noise by.
+    language with fewer than `thin` documents every n-gram counts, as there is nothing to tell noise by.  An empty
+    table gives filters without a language.
     """
     labelled = docs.where(train & F.col(lang_col).isNotNull())
     counts = {r[0]: r[1] for r in labelled.groupBy(F.col(lang_col).cast("string").alias("lang")).count().collect()}
@@ -152,7 +156,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, id_col: str = "doc_id",
     language, with score 0; without any learned language all are "und".  Equal rows are kept; no shuffle.
     """
     arrow_limits(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(filters)  # 2**26 slots at most; about 16 bits an n-gram of the fullest filter
+    sent = docs.sparkSession.sparkContext.broadcast(filters)  # build_filters() checks its size
     rows = with_text(docs, id_col, text_col, *more)
     rows = rows.select("text", *[c for c in rows.columns if c != "text"])
 
