@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,6 +91,22 @@ def with_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> Dat
     )
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text_col: str, label_col: str, sizes: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, label, text) of at most sizes[label] documents of each label, and how many rows of each label there are.
+
+    Of the label rows for which `train` holds, those of smallest id hash are drawn; an id of several labels has the
+    largest.  Only the drawn ids, whose number is bounded, are broadcast, and the documents are read once.  An id of
+    several texts stands for one of them, the one of smallest hash, so a frequent id is no more than one row.
+    """
+    known, _ = materialize(labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("label")), "labels")
+    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
+    drawn = [known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for label, n in sizes.items()]
+    ids = reduce(DataFrame.unionByName, drawn)
+    texts = with_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id")
+    one = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return one.select("doc_id", "label", F.col("t.text").alias("text")), counts
+
+
 def pick_sample(df: DataFrame, n: int, *keys: str) -> list:
     """At most n different rows, the same ones at every run: those with the smallest hash of the given columns.
 

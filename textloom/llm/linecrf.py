@@ -9,6 +9,7 @@ training documents turns that into a probability.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, pick_sample, with_text
+from .common import arrow_limits, labelled_sample, with_text
 
 _UPPER, _LOWER, _DIGIT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"
 _SYMBOL, _STOP = b"#*$%&|<>{}[]=_~^\\/@+", b".,;:?\"'()-"
@@ -167,20 +168,15 @@ def train_line_model(texts: list[str], labels: list[int], steps: int = 120, rate
     return LineModel(model.mean, model.scale, model.weights, model.moves, logistic_curve(np.log(raw / (1 - raw)), y))
 
 
-def learn_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 2000, max_chars: int = 20_000) -> LineModel:
+def learn_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 2000) -> LineModel:
     """Model from at most `sample` labelled documents of each label for which `train` holds (of the labels' rows).
 
-    The fit alone is on a bounded sample, those of smallest id hash, and of their texts on the first max_chars
-    characters; scoring takes whole texts.  The odds of the sample are put back to those of all training labels, so
-    the score doesn't drift to even odds where the bound binds.
+    The fit alone is on a bounded sample of rows, those of smallest id hash, with their whole texts.  The odds of the
+    sample are put back to those of all training labels, so the score doesn't drift to even odds where the bound
+    binds.  Without labels of both kinds every document gets the share of good ones (with one of each added).
     """
-    known = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["doc_id"])
-    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    rows = []
-    for label in (0, 1):
-        ids = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        texts = with_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id")
-        rows += pick_sample(texts.select("doc_id", F.substring("text", 1, max_chars).alias("text"), "label"), sample, "doc_id", "text")
+    texts, counts = labelled_sample(docs, labels, train, id_col, text_col, label_col, {0: sample, 1: sample})
+    rows = sorted(texts.collect(), key=lambda r: (r.label, zlib.crc32(r.text.encode()), r.text))
     model = train_line_model([r.text for r in rows], [r.label for r in rows])
     drawn = Counter(r.label for r in rows)
     if drawn[0] and drawn[1]:
@@ -192,7 +188,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, train: Column, id_col: str
 def line_quality(docs: DataFrame, model: LineModel, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """(doc_id, ..., score): the probability that the document is good; one row each, no shuffle.
 
-    Null and empty texts are one empty line and get that line's score.  Equal rows are kept.
+    Null and empty texts are one empty line and get that line's score.  Equal rows are kept and score alike; an empty
+    table gives an empty one.
     """
     arrow_limits(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)

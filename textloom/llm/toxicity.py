@@ -6,6 +6,11 @@ that ordinary windows compress to the same length with either.  A window that
 gets shorter with the toxic dictionary has something in common with toxic
 text; how much shorter, for the document's best windows and over all, is held
 against thresholds calibrated by a logistic regression on the training rows.
+
+A window is one word: what toxic texts have in common are short insults, and
+in a window of several words the few bytes that a match saves are lost among
+those by which the two dictionaries happen to match the neighbours (the README
+has the figures).
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORD_BYTES, arrow_limits, pick_sample, with_text
+from .common import BLANK_WORD_BYTES, arrow_limits, labelled_sample, with_text
 
 WINDOW_WORDS = 1
 N_FEATURES = 7
@@ -33,10 +38,7 @@ MARK = bytes(33 + (i * i * 7 + i * 13) % 94 for i in range(48))
 
 
 def windows_of(text: str) -> list[bytes]:
-    """The whole lower-cased text in windows of WINDOW_WORDS words, over-long ones in parts; none for a text without words.
-
-    With one word a window the match of a short insult isn't blurred by how its neighbours happen to be matched.
-    """
+    """The whole lower-cased text in windows of WINDOW_WORDS words, over-long ones in parts; none for a text without words."""
     words = BLANK_WORD_BYTES.findall(text.lower().encode())
     out = [b" %s " % b" ".join(words[i : i + WINDOW_WORDS]) for i in range(0, len(words), WINDOW_WORDS)]
     if any(len(w) > 4096 for w in out):
@@ -127,8 +129,8 @@ class CompressionModel:
             out.append(gain)
         return np.array(out, float)
 
-    def features(self, text: str) -> list[float]:
-        g = np.sort(self.gains(windows_of(text)))[::-1]
+    def features(self, windows: list[bytes]) -> list[float]:
+        g = np.sort(self.gains(windows))[::-1]
         if not len(g):
             return [0.0] * N_FEATURES
         top = np.pad(g[:3], (0, max(0, 3 - len(g))))
@@ -151,17 +153,21 @@ def logistic(x: np.ndarray, y: np.ndarray, pull: float = 1.0, steps: int = 40) -
     return w
 
 
-def train_compression(texts: list[str], labels: list[int], dict_bytes: int = 32_768, toxic_bytes: int = 8_192, folds: int = 4, width: int = 5) -> CompressionModel:
-    """Dictionaries and thresholds.
+def train_compression(cut: list[list[bytes]], labels: list[int], dict_bytes: int = 32_768, toxic_bytes: int = 8_192, folds: int = 4, width: int = 6, dict_windows: int = 200_000) -> CompressionModel:
+    """Dictionaries and thresholds from each document's different windows.
 
-    The thresholds are fitted on documents in folds, each scored with a toxic dictionary that has seen the others only.
+    The ordinary dictionary is trained on about dict_windows windows at most, drawn over the whole of all texts by
+    their hash.  The thresholds are fitted on documents in folds, each scored with a toxic dictionary that has seen
+    the others only.  width and dict_windows were chosen by those folds' scores, on training documents alone: 6 is
+    better than 5 for each of five sizes of sample.
     """
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
         return CompressionModel(b"", b"", [0.0] * N_FEATURES + [float(np.log(share / (1 - share)))], [0.0] * N_FEATURES, [1.0] * N_FEATURES)
-    cut = [windows_of(t) for t in texts]
-    ordinary = trained([w for c, label in zip(cut, labels, strict=True) if not label for w in c[:200]], dict_bytes)
+    plain = [c for c, label in zip(cut, labels, strict=True) if not label]
+    share = dict_windows / max(dict_windows, sum(map(len, plain)))
+    ordinary = trained([w for i, c in enumerate(plain) for w in c if share == 1 or zlib.crc32(w, i) < share * (1 << 32)], dict_bytes)
     whole = [b"".join(c) for c in cut]
     grams = [np.unique(byte_grams(t, width)) for t in whole]
 
@@ -169,32 +175,36 @@ def train_compression(texts: list[str], labels: list[int], dict_bytes: int = 32_
         marks = telling_grams(*([grams[i] for i in chosen if labels[i] == label] for label in (1, 0)))
         return trained([p for i in chosen if labels[i] for p in passages(whole[i], marks, width)], toxic_bytes)
 
-    x = np.zeros((len(texts), N_FEATURES))
+    x = np.zeros((len(cut), N_FEATURES))
     for fold in range(folds):
-        part = CompressionModel(ordinary, toxic_part([i for i in range(len(texts)) if i % folds != fold]), [], [], [])
-        for i in range(fold, len(texts), folds):
-            x[i] = part.features(texts[i])
+        part = CompressionModel(ordinary, toxic_part([i for i in range(len(cut)) if i % folds != fold]), [], [], [])
+        for i in range(fold, len(cut), folds):
+            x[i] = part.features(cut[i])
     mean, scale = x.mean(0), np.maximum(x.std(0), 0.3)
     weights = logistic((x - mean) / scale, y)
-    return CompressionModel(ordinary, toxic_part(list(range(len(texts)))), weights.tolist(), mean.tolist(), scale.tolist())
+    return CompressionModel(ordinary, toxic_part(list(range(len(cut)))), weights.tolist(), mean.tolist(), scale.tolist())
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1500, ordinary_sample: int = 5000, max_chars: int = 20_000) -> CompressionModel:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1500, ordinary_sample: int = 5000) -> CompressionModel:
     """Model from at most `sample` toxic and `ordinary_sample` ordinary documents, of the label rows for which `train` holds.
 
-    The fit alone is on a bounded sample, those of smallest id hash, and of their texts on the first max_chars
-    characters; scoring takes whole texts.  The odds of the sample are put back to those of all training labels.
+    The fit alone is on a bounded sample of rows, those of smallest id hash, and on their whole texts: tasks send the
+    driver each one's different windows.  The odds of the sample are put back to those of all training labels.
+    Without labels of both kinds every document gets the share of toxic ones (with one of each added), so 1/2 for
+    empty tables.
     """
-    known = labels.where(train & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["doc_id"])
-    counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    rows = []
-    for label, n in ((0, ordinary_sample), (1, sample)):
-        ids = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-        texts = with_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id")
-        rows += pick_sample(texts.select("doc_id", F.substring("text", 1, max_chars).alias("text"), "label"), n, "doc_id", "text")
-    rows.sort(key=lambda r: (r.label, zlib.crc32(r.text.encode())))
-    model = train_compression([r.text for r in rows], [r.label for r in rows])
-    drawn = Counter(r.label for r in rows)
+    texts, counts = labelled_sample(docs, labels, train, id_col, text_col, label_col, {0: ordinary_sample, 1: sample})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            windows = [list(dict.fromkeys(windows_of(t))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(windows, pa.list_(pa.binary()))], names=["label", "windows"])
+
+    arrow_limits(docs.sparkSession)
+    rows = [(r.label, list(map(bytes, r.windows))) for r in texts.select("label", "text").mapInArrow(cut, "label int, windows array<binary>").collect()]
+    rows.sort(key=lambda r: (r[0], zlib.crc32(b"".join(r[1]))))
+    model = train_compression([windows for _, windows in rows], [label for label, _ in rows])
+    drawn = Counter(label for label, _ in rows)
     if drawn[0] and drawn[1]:
         model.weights[-1] += float(np.log(counts[1] / drawn[1]) - np.log(counts[0] / drawn[0]))
     return model
@@ -203,7 +213,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
 def toxicity(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
     """(doc_id, ..., score, best_gain): the probability that the document is toxic, the bytes saved in its best window.
 
-    Null, empty and wordless texts have no window and get the score of no gain.  Equal rows are kept; no shuffle.
+    Null, empty and wordless texts have no window and get the score of no gain.  Equal rows are kept and score alike,
+    an empty table gives an empty one; no shuffle.
     """
     arrow_limits(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of bounded size
@@ -212,7 +223,7 @@ def toxicity(docs: DataFrame, model: CompressionModel, id_col: str = "doc_id", t
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([sent.value.features(t) for t in batch.column(0).to_pylist()]).reshape(-1, N_FEATURES)
+            x = np.array([sent.value.features(windows_of(t)) for t in batch.column(0).to_pylist()]).reshape(-1, N_FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sent.value.scores(x), pa.float64()), pa.array(x[:, 0], pa.float64())], names=[*batch.schema.names[1:], "score", "best_gain"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
