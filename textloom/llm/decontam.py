@@ -1,32 +1,40 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-Every benchmark item is cut into windows of `window` words.  For a window to
-be contained in a document with similarity `threshold` t, any
-ceil(t * size) of its words must occur there; so, with the words ordered by
-rarity in the corpus, at least one of the size - ceil(t * size) + 1 rarest
-must: the prefix.  Documents meet windows on prefix words only.  The word's
-place in the window gives the one place where the window can lie (positional
-bound), which must leave room for the whole window (length bound); then the
-window is verified word by word.  Containment is exact (t = 1): the prefix is
-the rarest word alone.
+Every benchmark item is cut into windows of `window` words, and windows and
+documents into shingles of SHINGLE words (a shorter window is one shingle).
+For a window to lie in a document, each of its shingles must; so with the
+shingles ordered by how rare they are in the corpus, joining on the rarest,
+the prefix of one that exact containment needs, finds every window.  The
+shingle's place in the window gives the one place where the window can lie
+(positional bound), which must leave room for all of it (length bound); then
+the window is compared word by word.
+
+The documents are read once.  That pass keeps, of the stretches around
+shingles which a Bloom filter of the benchmark's lets through, the words and
+the shingles' places; counts, prefix, join and verification work on these.
+The filter spares work and decides nothing, so its size is bounded.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, with_text
+from .common import arrow_limits, materialize, with_text
 
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing A-Z, on UTF-8 bytes.
 ITEM_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SHINGLE = 5
 
 
 def words_of(text: str) -> list[bytes]:
@@ -34,115 +42,148 @@ def words_of(text: str) -> list[bytes]:
 
 
 def item_windows(items: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """(words array, items array): each different window once, with the items that hold it."""
+    """(words, items): each different window once, its words joined by blanks, with the items that hold it."""
     words = F.regexp_extract_all(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), F.lit(WORD_PATTERN), F.lit(0))
     cut = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), words.alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - F.lit(window - 1)))
-    return cut.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, window))).alias("words")).groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    each = cut.select("item", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, window), " "))).alias("words"))
+    return each.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def word_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
-    """How often each word of the benchmark occurs in the documents; the result is no larger than the benchmark's vocabulary."""
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+class WordHashes(dict):
+    """64-bit hashes of words, remembered."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = known.value, Counter()
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of `width` words, one a place, from the words' hashes."""
+    n = max(0, len(words) - width + 1)
+    h = np.full(n, width, np.uint64)
+    for i in range(width):
+        h = (h ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def window_shingles(windows: DataFrame) -> DataFrame:
+    """(words, items, size, width, h, place): a row for each shingle of each window."""
+    cut = windows.select("words", "items", F.size(F.split("words", " ")).alias("size")).withColumn("width", F.least("size", F.lit(SHINGLE)))
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(filter(words.__contains__, words_of(text)))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r.word): r.n for r in counted.collect()}
-
-
-def prefix_index(windows: list[tuple[tuple[bytes, ...], list[str]]], rarity: dict[bytes, int]) -> dict:
-    """rarest word -> (its place, window length) -> window -> items."""
-    index: dict = defaultdict(lambda: defaultdict(dict))
-    for words, items in windows:
-        place, rare = min(enumerate(words), key=lambda x: (rarity.get(x[1], 0), x[1], x[0]))
-        index[rare][place, len(words)][words] = items
-    return {k: dict(v) for k, v in index.items()}
-
-
-def find_windows(words: list[bytes], index: dict) -> tuple[list[tuple[int, int]], set[str]]:
-    """Places [start, end) of all windows in the words, merged and in order, and the items they are of."""
-    found, items = [], set()
-    for i in [i for i, w in enumerate(words) if w in index]:
-        for (place, length), windows in index[words[i]].items():
-            start = i - place
-            if start < 0 or start + length > len(words):
-                continue
-            hit = windows.get(tuple(words[start : start + length]))
-            if hit:
-                found.append((start, start + length))
-                items.update(hit)
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(found):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return merged, items
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, min_percent: int = 5, block_windows: int = 200_000) -> DataFrame:
+            hashes = [shingle_hashes(WordHashes().of(w.encode().split(b" ")), n).view(np.int64) for w, n in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            which = pa.array(np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]), pa.int64())
+            places = np.concatenate([np.arange(0), *(np.arange(len(h)) for h in hashes)])
+            all_hashes = np.concatenate([np.empty(0, np.int64), *hashes])
+            yield pa.RecordBatch.from_arrays([*(c.take(which) for c in batch.columns), pa.array(all_hashes), pa.array(places, pa.int32())], names=[*batch.schema.names, "h", "place"])
+
+    return cut.mapInArrow(shingled, "words string, items array<string>, size int, width int, h long, place int")
+
+
+def slots(h: Column, bits: int) -> tuple[Column, Column]:
+    """Two slots of a hash in a filter of 2**bits, as may_hold() has them."""
+    return h.bitwiseAND(F.lit((1 << bits) - 1)), F.shiftrightunsigned(h, 64 - bits)
+
+
+def bloom_filter(hashes: DataFrame, most_bits: int = 27) -> np.ndarray:
+    """Bits, as uint64, of a Bloom filter of column h: 16 or more for each hash, but 2**most_bits at most."""
+    bits = min(most_bits, max(10, (16 * hashes.count()).bit_length()))
+    slot = hashes.select(F.explode(F.array(*slots(F.col("h"), bits))).alias("slot"))
+    one = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    words = slot.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(one).alias("word")).toArrow()
+    out = np.zeros(1 << bits - 6, np.uint64)
+    out[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the hashes that the filter lets through."""
+    bits = np.uint64(len(bloom).bit_length() + 5)
+    first = h & (np.uint64(1) << bits) - np.uint64(1)
+    found = np.flatnonzero(bloom[first >> np.uint64(6)] >> (first & np.uint64(63)) & np.uint64(1))
+    second = h[found] >> np.uint64(64) - bits
+    return found[(bloom[second >> np.uint64(6)] >> (second & np.uint64(63)) & np.uint64(1)).astype(bool)]
+
+
+#: A stretch of a document: place of its first word, its words, the shingles found in it and their places.
+PARTS = pa.list_(pa.struct([("at", pa.int32()), ("words", pa.list_(pa.string())), ("found", pa.list_(pa.struct([("h", pa.int64()), ("place", pa.int32())])))]))
+
+
+def stretches(words: list[bytes], found: list[tuple[int, int]], window: int) -> list[dict]:
+    """The parts of a document in which windows around the found (place, hash) can lie."""
+    out: list[dict] = []
+    end = 0
+    for place, h in sorted(found):
+        low = max(0, place - window + 1)
+        if not out or low > end:
+            out.append({"at": low, "words": [], "found": []})
+        end = min(len(words), place + window)
+        out[-1]["words"] += [w.decode() for w in words[out[-1]["at"] + len(out[-1]["words"]) : end]]
+        out[-1]["found"].append({"h": h, "place": place})
+    return out
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, min_percent: int = 5, filter_bits: int = 27) -> DataFrame:
     """For every document: words, words inside benchmark windows, the items they are of, and a verdict.
 
-    contaminated: some word is hit, and at least min_percent of all words are.  Runs jobs of its own first: the
-    benchmark's windows, and the corpus counts that order the words by rarity (one pass over the documents).  The
-    index is broadcast if it has at most block_windows windows; a larger benchmark is dealt into blocks of about so
-    many by hash, each block joined in a pass of its own, and the hits are merged by document, so no broadcast grows
-    with the benchmark.  Null and empty texts have no words and are clean; an item without words has no windows; an
-    empty benchmark leaves all clean.  Repeated rows give repeated rows; other columns are ignored.
+    contaminated: some word is hit, and at least min_percent of all words are.  Writes the benchmark's shingles and
+    what one pass over the documents keeps to the shared folder; all else is joins and grouping of these, so a large
+    benchmark grows neither a broadcast (2**filter_bits bits at most) nor what the driver holds.  Null and empty
+    texts have no words and are clean; an item without words has no windows; an empty benchmark leaves all clean.
+    Repeated rows give repeated rows; other columns are ignored.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     rows = with_text(docs, id_col, text_col)
     id_kind = rows.schema["doc_id"].dataType.simpleString()
-    windows = item_windows(items, item_col, item_text_col, window)
-    n_blocks = max(1, -(-windows.count() // block_windows))
-    block = F.pmod(F.xxhash64("words"), F.lit(n_blocks))
-    parts = []
-    for b in range(n_blocks):
-        own = [(tuple(x.encode() for x in r.words), list(r["items"])) for r in windows.where(block == b).collect()]
-        vocabulary = frozenset(w for words, _ in own for w in words)
-        index = spark.sparkContext.broadcast(prefix_index(own, word_counts(rows, vocabulary)))
-
-        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                n_words, key, places, held = [], [], [], []
-                for text in batch.column(1).to_pylist():
-                    words = words_of(text)
-                    found, hit = find_windows(words, index.value)
-                    n_words.append(len(words))
-                    key.append(hash_of(text) if n_blocks > 1 else 0)
-                    places.append([{"a": a, "b": b} for a, b in found])
-                    held.append(sorted(hit))
-                spans = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.int64()), pa.array(n_words, pa.int64()), pa.array(places, spans), pa.array(held, pa.list_(pa.string()))], names=["doc_id", "text_key", "n_words", "places", "items"])
-
-        parts.append(rows.mapInArrow(scan, f"doc_id {id_kind}, text_key long, n_words long, places array<struct<a long, b long>>, items array<string>"))
-    hits = parts[0]
-    if n_blocks > 1:
-        for part in parts[1:]:
-            hits = hits.unionByName(part)
-        gathered = hits.groupBy("doc_id", "text_key", "n_words").agg(F.flatten(F.collect_list("places")).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count("*").alias("n"))
-        # equal rows are gathered together; each of them comes back
-        hits = gathered.withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("n") / n_blocks).cast("int")))).drop("copy", "n")
-        n_hit = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["a"], p["b"] - 1))))).cast("long")
-    else:
-        n_hit = F.aggregate("places", F.lit(0).cast("long"), lambda n, p: n + p["b"] - p["a"])
-    return hits.select(
-        "doc_id",
-        "n_words",
-        n_hit.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.col("items"),
-    ).withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= min_percent * F.col("n_words")))
-
-
-def hash_of(text: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+    shingles, _ = materialize(window_shingles(item_windows(items, item_col, item_text_col, window)), "shingles")
+    widths = sorted(r.width for r in shingles.select("width").distinct().collect())
+    bloom = spark.sparkContext.broadcast(bloom_filter(shingles.select("h").distinct(), filter_bits))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, row = WordHashes(), TaskContext.get().partitionId() << 40
+        for batch in batches:
+            words = [words_of(text) for text in batch.column(1).to_pylist()]
+            n_words = np.array([len(w) for w in words], np.int64)
+            ends = np.cumsum(n_words)
+            hashes = known.of(list(chain.from_iterable(words))) if widths else np.empty(0, np.uint64)
+            found: list[list[tuple[int, int]]] = [[] for _ in words]
+            for width in widths:
+                h = shingle_hashes(hashes, width)
+                at = may_hold(bloom.value, h)
+                doc = np.searchsorted(ends, at, "right")
+                inside = at + width <= ends[doc]
+                at, doc = at[inside], doc[inside]
+                for d, place, x in zip(doc.tolist(), (at - ends[doc] + n_words[doc]).tolist(), h[at].view(np.int64).tolist(), strict=True):
+                    found[d].append((place, x))
+            parts = [stretches(w, f, window) if f else [] for w, f in zip(words, found, strict=True)]
+            number = pa.array(np.arange(row, row + batch.num_rows), pa.int64())
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), number, pa.array(n_words), pa.array(parts, PARTS)], names=["doc_id", "row", "n_words", "parts"])
+
+    scanned, _ = materialize(rows.mapInArrow(scan, f"doc_id {id_kind}, row long, n_words long, parts array<struct<at int, words array<string>, found array<struct<h long, place int>>>>"), "scanned")
+    part = scanned.select("row", "n_words", F.explode("parts").alias("part"))
+    seen = part.select("row", "n_words", "part.at", "part.words", F.explode("part.found").alias("x")).select("row", "n_words", "at", F.col("words").alias("own"), "x.h", F.col("x.place").alias("own_place"))
+    counts = part.select(F.explode("part.found.h").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    ranked = shingles.join(counts, "h", "left").withColumn("rarity", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "place"))
+    prefix = ranked.groupBy("words", "size").agg(F.min("rarity").alias("rare"), F.first("items").alias("items")).where(F.col("rare.n") > 0)
+    rarest, _ = materialize(prefix.select("rare.h", "rare.place", "words", "size", "items"), "prefix")
+
+    start = F.col("own_place") - F.col("place")
+    bounded = seen.join(rarest, "h").where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
+    exact = bounded.where(F.array_join(F.slice("own", start - F.col("at") + 1, F.col("size")), " ") == F.col("words"))
+    hits = exact.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(start.alias("a"), (start + F.col("size")).alias("b")))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    nothing = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
+    covered = F.aggregate("places", nothing, lambda x, p: F.struct(F.greatest(x["end"], p["b"]).alias("end"), (x["n"] + F.greatest(F.lit(0), p["b"] - F.greatest(x["end"], p["a"]))).alias("n")))
+    counted = hits.select("row", covered["n"].alias("n_hit"), "items")
+    whole = scanned.select("doc_id", "row", "n_words").join(counted, "row", "left")
+    n_hit, found = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
+    return whole.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(found).cast("long").alias("n_items"), found.alias("items"), ((n_hit > 0) & (100 * n_hit >= min_percent * F.col("n_words"))).alias("contaminated"))
