@@ -378,6 +378,26 @@ def test_tagger_gradient_and_decoding():
     assert tuple(tagger.decode(x[:3, :1].T)[0]) == best
 
 
+def test_added_spans_on_planted_forms(spark, documents, texts):
+    """Forms that the patterns miss, with numbers and names of their own, in texts without personal data."""
+    tagger, r = pii.learn_tagger(documents), random.Random(77)
+    clean = [t for t in texts.values() if t and len(t) > 200 and not brute.personal(t)]
+    planted, want = [], []
+    for i in range(160):
+        kind, text = i % 4, clean[i % len(clean)]
+        span = pii.rewritten(kind, pii.invented(kind, r), r)
+        at = text.find(" ", r.randint(0, len(text) // 2)) + 1
+        planted.append(f"{text[:at]}{span} {text[at:]}")
+        want.append((at, kind, at + len(span)))
+    found = pii.all_spans(planted, tagger)
+    assert not any(base for base, _ in found)
+    for kind in range(4):
+        assert np.mean([w in spans for w, (_, spans) in zip(want, found, strict=True) if w[1] == kind]) >= 0.6
+    assert np.mean([w in spans for w, (_, spans) in zip(want, found, strict=True)]) >= 0.8
+    assert sum(len(spans) for _, spans in found) - sum(w in spans for w, (_, spans) in zip(want, found, strict=True)) <= 3
+    assert not any(spans for _, spans in pii.all_spans(clean, tagger))
+
+
 def test_personal_data_of_awkward_rows(edge, empty):
     for tagger in (pii.learn_tagger(edge), pii.learn_tagger(empty)):
         rows = pii.find_personal_data(edge, tagger).collect()

@@ -105,15 +105,3 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, id_col: s
     texts = with_text(docs, id_col, text_col).join(F.broadcast(ids), "doc_id")
     one = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
     return one.select("doc_id", "label", F.col("t.text").alias("text")), counts
-
-
-def pick_sample(df: DataFrame, n: int, *keys: str) -> list:
-    """At most n different rows, the same ones at every run: those with the smallest hash of the given columns.
-
-    Only hashes are ranked; the rows themselves are then fetched by their hash, so tasks send the driver no row that
-    isn't picked.
-    """
-    marked = df.withColumn("_h", F.xxhash64(*keys))
-    chosen = marked.select("_h").orderBy("_h").limit(n).distinct()
-    rows = marked.join(F.broadcast(chosen), "_h").dropDuplicates(["_h"]).collect()
-    return sorted(rows, key=lambda r: r["_h"])

@@ -1,18 +1,23 @@
 """Personal data: exact patterns, and a character-level bidirectional LSTM with a CRF on top.
 
-The network is trained here, in numpy, on windows of the corpus whose spans
-the patterns label.  Every stretch of a text near a digit or an at-sign (none
-of the kinds can do without) is cut into overlapping windows, which are
-decoded in batches by Viterbi; of each window the spans in its middle part
+The network is trained here, in numpy, on labelled spans: windows drawn from
+the whole corpus, whose spans the patterns label, and the same windows with
+their spans rewritten in ways that the patterns miss (spelled-out signs, other
+separators, other prefixes).  Every stretch of a text near a digit or a sign
+that one of the kinds can't do without is cut into overlapping windows, which
+are decoded in batches by Viterbi; of each window the spans in its middle part
 count, and what overlapping windows say is reconciled over the whole text.
 The patterns' spans always stay; the network's are added where they touch
-none of them and are plausible for their kind.
+none of them and hold what their kind consists of.  A span of more characters
+than a window can't come from the network.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, pick_sample, with_text
+from .common import arrow_limits, discard, materialize, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, kind, end
@@ -32,7 +37,8 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # as [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+), in linear time
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[@0-9]")
+#: What no span can do without: a digit, or a sign of an address, be it spelled out.
+_TRIGGER = re.compile(r"[@0-9]|[(\[{]at[)\]}]|[(\[{ ]dot[)\]} ]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -99,7 +105,7 @@ def symbols(text: str) -> np.ndarray:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches within REACH of a digit or at-sign, merged."""
+    """Stretches within REACH of a trigger, merged."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
@@ -253,25 +259,76 @@ class Tagger:
         return np.stack(tags[::-1], 1)
 
 
-def train_tagger(texts: list[str], max_windows: int = 640, epochs: int = 10, batch: int = 64, rate: float = 0.01) -> Tagger | None:
-    """A tagger from windows of these texts, labelled by the patterns; None if no text has a window."""
-    xs, ys = [], []
-    for text in texts:
-        spans, symbol = base_spans(text), None
-        for a, b in regions(text):
-            for start in window_starts(a, b):
-                if len(xs) < max_windows:
-                    symbol = symbols(text) if symbol is None else symbol
-                    xs.append(padded(symbol, start))
-                    ys.append(tags_of(spans, start))
-    if not xs:
+Window = tuple[str, list[Span]]  # text, spans in it
+
+
+def rewritten(kind: int, span: str, r: random.Random) -> str:
+    """The span in a form that people write and the patterns miss."""
+    if kind == 0:
+        local, domain = span.split("@", 1)
+        at, dot = r.choice([(" at ", " dot "), ("(at)", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" @ ", ".")])
+        return local + at + domain.replace(".", dot)
+    if kind == 1:
+        return r.choice(["[.]", "(.)", " . ", " dot "]).join(span.split("."))
+    digits = _NOT_DIGIT.sub("", span)
+    if kind == 2:
+        return r.choice([".", "/", "  ", " - ", "_"]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    cuts = sorted(r.sample(range(2, len(digits) - 2), 2))
+    return r.choice(["+", "00"]) + r.choice(["/", " / ", "\u2013", "_"]).join([digits[: cuts[0]], digits[cuts[0] : cuts[1]], digits[cuts[1] :]])
+
+
+def invented(kind: int, r: random.Random) -> str:
+    """A span of the kind that the patterns know."""
+    if kind == 0:
+        first, last, host = ("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8))) for _ in range(3))
+        return f"{first}{r.choice(['', '.', '_', '-'])}{r.choice(['', last, str(r.randint(0, 99))])}@{host}{r.choice(['', str(r.randint(0, 9))])}.{r.choice(['com', 'org', 'net', 'de', 'example.com'])}"
+    if kind == 1:
+        return ".".join(str(r.randint(0, 255)) for _ in range(4))
+    if kind == 2:
+        digits = "".join(r.choice("0123456789") for _ in range(15))
+        digits = next(d for d in (digits + str(i) for i in range(10)) if luhn(d))
+        return r.choice(["", " ", "-"]).join(digits[i : i + 4] for i in range(0, 16, 4))
+    return f"+{r.randint(1, 99)} {r.randint(100, 999)} {r.randint(100, 999)} {r.randint(1000, 9999)}"
+
+
+def replaced(window: Window, which: int, new: str) -> Window:
+    """The window with other text for one of its spans, the spans after it moved along."""
+    text, spans = window
+    a, kind, b = spans[which]
+    by = len(new) - (b - a)
+    moved = [(x, k, y) if y <= a else (x + by, k, y + by) for i, (x, k, y) in enumerate(spans) if i != which and (y <= a or x >= b)]
+    return text[:a] + new + text[b:], sorted([*moved, (a, kind, a + len(new))])
+
+
+def labelled_windows(found: dict[int, list[Window]], per_kind: int, seed: int = 5) -> list[Window]:
+    """Training windows: those found (by kind; without spans under -1), filled up with invented spans; each is rewritten too, addresses more often."""
+    r, plain = random.Random(seed), found.get(-1, [])
+    out = list(plain)
+    for kind in range(len(KINDS)):
+        own = list(found.get(kind, []))[:per_kind]
+        for i in range(len(own), per_kind):
+            text = plain[i % len(plain)][0] if plain else ""
+            at = text.find(" ", r.randint(0, max(1, len(text) // 2))) + 1
+            own.append(replaced((f"{text[:at]}? {text[at:]}", [(at, kind, at + 1)]), 0, invented(kind, r)))
+        for window in own:
+            out.append(window)
+            which = next(i for i, span in enumerate(window[1]) if span[1] == kind)
+            a, _, b = window[1][which]
+            out += [replaced(window, which, rewritten(kind, window[0][a:b], r)) for _ in range(4 if kind == 0 else 2)]
+    return out
+
+
+def train_tagger(windows: list[Window], epochs: int = 12, batch: int = 64, rate: float = 0.01) -> Tagger | None:
+    """A tagger from labelled windows; None if there is none."""
+    if not windows:
         return None
+    xs = [padded(symbols(text), 0) for text, _ in windows]
+    ys = [tags_of(spans, 0) for _, spans in windows]
     x, y = np.stack(xs), np.stack(ys)
     tagger = Tagger.fresh()
     m = {k: np.zeros_like(v) for k, v in tagger.p.items()}
     v = {k: np.zeros_like(w) for k, w in tagger.p.items()}
     shuffle, step = np.random.default_rng(11), 0
-    epochs = max(epochs, min(60, 3000 // len(x)))
     for epoch in range(epochs):
         order = shuffle.permutation(len(x))
         for i in range(0, len(x), batch):
@@ -292,19 +349,27 @@ def padded(symbol: np.ndarray, start: int) -> np.ndarray:
     return np.pad(part, (0, WINDOW - len(part)))
 
 
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+( ?@ ?| ?[(\[{]at[)\]}] ?| at )[A-Za-z0-9-]+(( ?\. ?| ?[(\[{]dot[)\]}] ?| dot )[A-Za-z0-9-]+)+")
+_PARTS = re.compile(r"([0-9]{1,3})([^0-9A-Za-z]{1,3}| dot )([0-9]{1,3})\2([0-9]{1,3})\2([0-9]{1,3})")
+_GROUPS = re.compile(r"[0-9]+([^0-9A-Za-z]{1,3}[0-9]+)*")
+
+
 def plausible(kind: int, span: str) -> bool:
-    """What the patterns ask of each kind, whatever stands between its parts; a phone number has something between them."""
+    """Whether the span holds what its kind consists of, however that is written.
+
+    An address has a name, an at and a domain with a dot; an IP four numbers up to 255, parted alike; a card 14 to 19
+    digits passing Luhn; a phone number + or 00 and 10 to 15 digits more, in groups.
+    """
     digits = _NOT_DIGIT.sub("", span)
-    if span != span.strip() or len(span) > WINDOW:
-        return False
     if kind == 0:
-        return bool(re.fullmatch(r"[^@\s]+@[^@\s]+\.[^@\s]+", span))
+        return bool(_ADDRESS.fullmatch(span))
     if kind == 1:
-        parts = re.split(r"[^0-9]+", span)
-        return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
+        m = _PARTS.fullmatch(span)
+        return bool(m) and all(int(m.group(i)) <= 255 for i in (1, 3, 4, 5))
     if kind == 2:
-        return 14 <= len(digits) <= 19 and luhn(digits)
-    return 10 <= len(digits) <= 15 and bool(re.search(r"[0-9][^0-9]+[0-9]", span))
+        return bool(_GROUPS.fullmatch(span)) and 14 <= len(digits) <= 19 and luhn(digits)
+    head = next((h for h in ("+", "00") if span.startswith(h)), None)
+    return head is not None and bool(_GROUPS.fullmatch(span[len(head) :])) and len(digits) < len(span) - len(head.strip("0")) and 10 <= len(digits) - len(head.strip("+")) <= 15
 
 
 def network_spans(texts: list[str], tagger: Tagger | None, batch: int = 256) -> list[list[Span]]:
@@ -368,10 +433,66 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def learn_tagger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 400, max_chars: int = 20_000) -> Tagger | None:
-    """The fit is on a bounded sample: the `sample` documents of smallest id hash that have a digit or at-sign, max_chars of each."""
-    rows = with_text(docs, id_col, text_col).select("doc_id", F.substring("text", 1, max_chars).alias("text")).where(F.col("text").rlike("[@0-9]"))
-    return train_tagger([r.text for r in pick_sample(rows, sample, "doc_id", "text")])
+def candidate_windows(text: str) -> Iterator[tuple[int, int, str, list[int]]]:
+    """(kind, hash, window, its spans in a row): of a text at most one window for each kind of span, and one without spans.
+
+    The window lies around a span, or in a region, at a place that depends on a hash; so does which of them is taken.
+    """
+    base = base_spans(text)
+    best: dict[int, tuple[int, int]] = {}
+    for a, kind, b in base:
+        h = zlib.crc32(text[max(0, a - 40) : b + 40].encode("utf-8", "replace"))
+        if b - a < WINDOW and (kind not in best or h < best[kind][0]):
+            best[kind] = (h, max(0, a - h % (WINDOW - (b - a))))
+    for a, b in regions(text):
+        h = zlib.crc32(text[a:b].encode("utf-8", "replace"))
+        start = max(0, a - h % STRIDE)
+        if (-1 not in best or h < best[-1][0]) and not any(x < start + WINDOW and y > start for x, _, y in base):
+            best[-1] = (h, start)
+    for kind, (h, start) in best.items():
+        inside = [(x - start, k, y - start) for x, k, y in base if x < start + WINDOW and y > start]
+        yield kind, h, text[start : start + WINDOW], [v for x, k, y in inside for v in (x, k, y)]
+
+
+def learn_tagger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_kind: int = 100, without: int = 300) -> Tagger | None:
+    """A tagger from labelled windows: per_kind with a span of each kind and `without` without any, of all whole texts.
+
+    Of all documents' windows those of smallest hash are taken, at most one of a kind from a document, so neither long
+    documents nor a frequent source fill the sample; its size is these two parameters.  Where the corpus has fewer
+    spans of a kind, invented ones stand in.  Each span is also learned in two other forms that the patterns miss.
+    None where no text has a digit or one of the signs.
+    """
+    rows = with_text(docs, id_col, text_col).select("text")
+    arrow_limits(docs.sparkSession)
+
+    def smallest(held: dict[int, dict[int, tuple[str, list[int]]]], n: int) -> None:
+        for kind, own in held.items():
+            if len(own) > n:
+                held[kind] = {h: own[h] for h in sorted(own)[: most[kind]]}
+
+    most = {-1: without} | dict.fromkeys(range(len(KINDS)), per_kind)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict[int, tuple[str, list[int]]]] = {kind: {} for kind in most}
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                if _TRIGGER.search(text):
+                    for kind, h, window, spans in candidate_windows(text):
+                        held[kind][h] = min(held[kind].get(h, (window, spans)), (window, spans))
+            smallest(held, 4 * max(per_kind, without))
+        smallest(held, 0)
+        rows = [(kind, h, *window) for kind, own in held.items() for h, window in own.items()]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        kinds = [pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["kind", "h", "text", "spans"])
+
+    drawn, path = materialize(rows.mapInArrow(gather, "kind int, h long, text string, spans array<int>").groupBy("kind", "h").agg(F.min(F.struct("text", "spans")).alias("w")).select("kind", "h", "w.*"), "windows")
+    found = {}
+    for kind, n in most.items():
+        taken = drawn.where(F.col("kind") == kind).orderBy("h").limit(n).collect()
+        found[kind] = [(r.text, list(zip(r.spans[::3], r.spans[1::3], r.spans[2::3], strict=True))) for r in sorted(taken, key=lambda r: r.h)]
+    discard(docs.sparkSession, path)
+    return train_tagger(labelled_windows(found, per_kind)) if any(found.values()) else None
 
 
 def find_personal_data(docs: DataFrame, tagger: Tagger | None, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
