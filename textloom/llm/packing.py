@@ -79,7 +79,7 @@ PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
 
 def cut_documents(docs: DataFrame, tokenizer: str, size: int = 4096, id_col: str = "doc_id", text_col: str = "text", split: str = "words", end_id: int = 2) -> DataFrame:
     """Pieces of every document's token ids (end_id appended): full windows of size, then the remainder."""
-    arrow_limits(docs.sparkSession)
+    arrow_limits(docs.sparkSession, 1024)
     rows = with_text(docs, id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -201,20 +201,27 @@ class Shard:
         return found
 
 
+def stored_bytes(docs: DataFrame) -> int:
+    """What Spark's statistics say of the table's size (that of its files, without reading them); counted where they say nothing."""
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    if size < 1 << 60:
+        return size
+    return docs.agg(F.sum(F.octet_length(F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in docs.columns])))).first()[0] or 0
+
+
 def write_shards(docs: DataFrame, tokenizer: str, out_dir: str, id_col: str = "doc_id", text_col: str = "text", split: str = "byte_level", end_id: int = 2, shard_bytes: int = 256 << 20) -> list:
     """Encode every text, append end_id, write shards in ascending id order; returns the manifest rows, in that order.
 
     Rows are dealt by ranges of the id (and of a hash of the text, so that one id with very many rows is split too),
     sorted, and each partition streams into one file: a temporary name, then a rename, so a task that is run again or
     twice leaves the same file.  There are as many ranges as Spark has shuffle partitions, and more where a range
-    would hold over shard_bytes of text: a shard, with its index and key hashes, doesn't grow with the corpus.  The
+    would hold over shard_bytes as stored: a shard, with its index and key hashes, doesn't grow with the corpus.  The
     manifest has a row a shard (shard, path, n_docs, n_ids).  Ids are integers (a long can hold them).  Null ids sort
     first; null text is the empty document (end_id alone); equal rows are kept; an empty table gives no shard.
     """
-    arrow_limits(docs.sparkSession)
+    arrow_limits(docs.sparkSession, 1024)
     rows = with_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("h", F.xxhash64("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored_bytes(docs) // shard_bytes))
     dealt = rows.repartitionByRange(shards, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
