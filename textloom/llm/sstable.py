@@ -203,9 +203,9 @@ class Shard:
 
 def stored_bytes(docs: DataFrame) -> int:
     """What Spark's statistics say of the table's size (that of its files, without reading them); counted where they say nothing."""
-    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
-    if size < 1 << 60:
-        return size
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size) < 1 << 60:
+        return int(size)
     return docs.agg(F.sum(F.octet_length(F.concat_ws("", *[F.col(f"`{c}`").cast("string") for c in docs.columns])))).first()[0] or 0
 
 
