@@ -185,7 +185,7 @@ def train_compression(cut: list[list[bytes]], labels: list[int], dict_bytes: int
     return CompressionModel(ordinary, toxic_part(list(range(len(cut)))), weights.tolist(), mean.tolist(), scale.tolist())
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1500, ordinary_sample: int = 5000) -> CompressionModel:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 1500, ordinary_sample: int = 3000) -> CompressionModel:
     """Model from at most `sample` toxic and `ordinary_sample` ordinary documents, of the label rows for which `train` holds.
 
     The fit alone is on a bounded sample of rows, those of smallest id hash, and on their whole texts: tasks send the
@@ -197,12 +197,15 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, train: Column, id_col: st
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            windows = [list(dict.fromkeys(windows_of(t))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(windows, pa.list_(pa.binary()))], names=["label", "windows"])
+            windows = [b"\n".join(dict.fromkeys(windows_of(t))) for t in batch.column(1).to_pylist()]  # no window has a \n
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(windows, pa.binary())], names=["label", "windows"])
 
     arrow_limits(docs.sparkSession)
-    rows = [(r.label, list(map(bytes, r.windows))) for r in texts.select("label", "text").mapInArrow(cut, "label int, windows array<binary>").collect()]
-    rows.sort(key=lambda r: (r[0], zlib.crc32(b"".join(r[1]))))
+    drawn_rows = texts.select("label", "text").mapInArrow(cut, "label int, windows binary").toArrow()
+    ordered = sorted(zip(drawn_rows.column("label").to_pylist(), drawn_rows.column("windows").to_pylist(), strict=True), key=lambda r: (r[0], zlib.crc32(r[1]), r[1]))
+    seen: dict[bytes, bytes] = {}  # one object for all occurrences of a window
+    rows = [(label, [seen.setdefault(w, w) for w in raw.split(b"\n") if w]) for label, raw in ordered]
+    del drawn_rows, ordered, seen
     model = train_compression([windows for _, windows in rows], [label for label, _ in rows])
     drawn = Counter(label for label, _ in rows)
     if drawn[0] and drawn[1]:
