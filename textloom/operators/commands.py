@@ -1,0 +1,161 @@
+"""Checks of commands, scripts and requests in answers."""
+
+from __future__ import annotations
+
+import re
+import shlex
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from textloom.functions.text import matches
+
+#: Commands whose own options come before the program they start. Fixed values.
+LAUNCHERS = ("sbatch", "srun", "salloc")
+#: Their options that take no value. Fixed values.
+FLAGS = frozenset(("exclusive", "requeue", "no-requeue", "pty", "wait", "overlap", "hold", "test-only", "verbose", "quiet", "parsable", "help", "version"))
+
+
+def _code(text: str) -> list[str]:
+    fenced = re.findall(r"(?s)```[^\n]*\n(.*?)```", text)
+    inline = re.findall(r"`([^`\n]+)`", re.sub(r"(?s)```[^\n]*\n.*?```", "", text))
+    return [line.strip() for part in (fenced + inline or [text]) for line in part.replace("\\\n", " ").split("\n")]
+
+
+def _words(line: str) -> list[str]:
+    try:
+        return shlex.split(line, comments=True)
+    except ValueError:  # an open quote
+        return line.split()
+
+
+def options_of(text: str | None) -> list[str]:
+    """Long options of #SBATCH lines and of launcher commands up to the program, in a text's code; sorted, each once."""
+    found: set[str] = set()
+    for line in _code(text or ""):
+        directive = line.startswith("#SBATCH")
+        words = _words(line.removeprefix("#SBATCH")) if directive else _words(line)
+        if not directive:
+            if not words or words[0] not in LAUNCHERS:
+                continue
+            words = words[1:]
+        at = 0
+        while at < len(words):
+            word = words[at]
+            if word.startswith("--") and len(word) > 2:
+                name = word[2:].split("=", 1)[0]
+                found.add(name)
+                at += 1 if "=" in word or name in FLAGS else 2
+            elif word.startswith("-") and len(word) > 1:
+                at += 1 if len(word) > 2 else 2
+            elif directive:
+                at += 1
+            else:
+                break  # the program; what follows is its own
+    return sorted(found)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def used_options(texts: pd.Series) -> pd.Series:
+    return texts.map(options_of)
+
+
+def bad_options(used: Column, allowed: list[str]) -> Column:
+    """Options that aren't allowed and that no allowed one begins with (an unambiguous abbreviation is fine)."""
+    known = F.array(*map(F.lit, allowed))
+    return F.filter(used, lambda o: ~F.exists(known, lambda k: F.startswith(k, o)))
+
+
+def command_problems(command: Column, spec: dict[str, dict[str, list[str]]]) -> Column:
+    """Problems of one command line, held against a spec: command -> options, subcommands, fields (of --format)."""
+    words = F.filter(F.split(F.trim(command), r"\s+"), lambda w: w != "")
+    name = F.get(words, F.lit(0))
+    options = F.transform(matches(command, r"--[A-Za-z][A-Za-z-]*"), lambda o: F.substring(o, 3, 1000))
+    out = F.when(~name.isin(*spec), F.array(F.concat(F.lit("unknown command:"), name)))
+    for own, known in spec.items():
+        unknown = F.transform(bad_options(options, known["options"]), lambda o: F.concat(F.lit("unknown option:"), o))
+        sub = F.get(F.filter(F.slice(words, 2, 100), lambda w: ~w.startswith("-")), F.lit(0))
+        bad_sub = F.when(F.lit(bool(known.get("subcommands"))) & sub.isNotNull() & ~sub.isin(*known.get("subcommands", [""])), F.array(F.concat(F.lit("unknown subcommand:"), sub))).otherwise(F.array().cast("array<string>"))
+        fields = F.filter(F.split(F.lower(F.regexp_extract(command, r"--format=([A-Za-z,]+)", 1)), ","), lambda f: (f != "") & ~f.isin(*known.get("fields", [""])))
+        bad_fields = F.when(F.lit("fields" in known), F.transform(fields, lambda f: F.concat(F.lit("unknown field:"), f))).otherwise(F.array().cast("array<string>"))
+        out = out.when(name == own, F.concat(unknown, bad_sub, bad_fields))
+    return out
+
+
+def other_scheduler(text: Column) -> Column:
+    """Whether directives or commands of other batch schedulers occur."""
+    return text.rlike(r"(?m)^\s*#(?:PBS|BSUB|COBALT|\$)\s|\b(?:qsub|bsub|qstat)\b")
+
+
+def syntax_problem(code: Column) -> Column:
+    """quote, block or bracket for what a shell script leaves open; empty if nothing. Placeholders in <> count as words."""
+    plain = F.regexp_replace(F.regexp_replace(code, r"<[A-Za-z][A-Za-z0-9_ -]*>", "x"), r"\\.", "")
+    count = lambda pattern: F.regexp_count(plain, F.lit(pattern))
+    quotes = (count('"') % 2 != 0) | (count("'") % 2 != 0)
+    starts = lambda word: count(rf"(?m)(?:^|[;&|])\s*{word}(?:\s|;|$)")
+    blocks = (starts("if") != starts("fi")) | (starts("do") != starts("done")) | (starts("case") != starts("esac"))
+    brackets = (count(r"\(") != count(r"\)")) | (count(r"\{") != count(r"\}"))
+    return F.when(quotes, "quote").when(blocks, "block").when(brackets, "bracket").otherwise("")
+
+
+def routed(text: Column, routes: list[tuple[str, str]], default: str) -> Column:
+    """Name of the first route, in order, whose keyword the text has as a word."""
+    out = F
+    for keyword, name in routes:
+        out = out.when(F.lower(text).rlike(rf"(?:^|[^a-z0-9]){keyword}(?:[^a-z0-9]|$)"), name)
+    return out.otherwise(default)
+
+
+def intended_commands(text: Column, implied: dict[str, list[str]], known: list[str], most: int = 2) -> Column:
+    """Commands that a question names, then those its words imply; each once, `most` at most."""
+    words = matches(F.lower(text), "[a-z0-9_]+")
+    table = F.create_map(*[v for k, c in implied.items() for v in (F.lit(k), F.array(*map(F.lit, c)))])
+    named = F.filter(words, lambda w: w.isin(*known))
+    meant = F.flatten(F.transform(F.filter(words, lambda w: F.map_contains_key(table, w)), lambda w: F.element_at(table, w)))
+    return F.slice(F.array_distinct(F.concat(named, meant)), 1, most)
+
+
+def rule_share(text: Column, required: list[str], forbidden: list[str]) -> Column:
+    """Share of the rules an answer meets: required patterns found, forbidden ones absent."""
+    met = [text.rlike(p).cast("int") for p in required] + [(~text.rlike(p)).cast("int") for p in forbidden]
+    return sum(met[1:], met[0]) / F.lit(float(len(met)))
+
+
+def clauses(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, r"[.!?;]\s+|,\s+(?:and|but|then)\s+|\n"), lambda c: F.trim(c)), lambda c: c != "")
+
+
+def requested_ids(text: Column) -> Column:
+    """Ids of five digits or more in clauses that ask for something and don't forbid it; code doesn't count."""
+    prose = F.regexp_replace(F.regexp_replace(text, r"(?s)```.*?```", " "), r"`[^`\n]*`", " ")
+    asking = F.filter(clauses(prose), lambda c: c.rlike(r"(?i)(?:^|[^a-z])(?:cancel|stop|kill|requeue|hold|release)(?:[^a-z]|$)") & ~c.rlike(r"(?i)(?:^|[^a-z])(?:don't|do not|never|not)(?:[^a-z]|$)"))
+    return F.array_distinct(F.flatten(F.transform(asking, lambda c: matches(c, "[0-9]{5,}"))))
+
+
+def has_shell_command(text: Column) -> Column:
+    """Whether a clause starts with a command that changes things."""
+    return F.exists(clauses(text), lambda c: c.rlike(r"^(?:\$ |`)?(?:rm|mv|kill|chmod|scancel|sudo)\s"))
+
+
+def topic_hits(text: Column, pattern: str, first: int = 200_000, window: int = 1500) -> tuple[Column, Column]:
+    """(hits, windows): matches in the first characters, and in how many windows of the text they start."""
+    head = F.substring(text, 1, first)
+    found, pieces = matches(head, pattern), F.split(head, pattern)
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("windows"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["piece"])
+        return F.struct((start + F.length(x["hit"])).alias("at"), F.array_append(acc["windows"], F.floor(start / window).cast("int")).alias("windows"))
+
+    zipped = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("hit"))
+    windows = F.aggregate(zipped, state, step, lambda acc: F.size(F.array_distinct(acc["windows"])))
+    return F.size(found).cast("long"), windows.cast("long")
+
+
+def best_leaf(hits: list[tuple[str, Column, Column]]) -> Column:
+    """Of (leaf, body hits, url hit), in order of rank: the one of most hits + 2 for the url, the earlier on ties; null without a hit."""
+    scored = F.array(*[F.struct((body + 2 * url.cast("int")).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("leaf")) for i, (name, body, url) in enumerate(hits)])
+    top = F.array_max(scored)
+    return F.when(top["score"] > 0, top["leaf"])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.select import prefix_sums
+
 FLOOR = -1e4
 
 
@@ -38,3 +40,9 @@ def one_hot(width: int, at: Column) -> Column:
 def ragged(values: Column, start: Column, end: Column) -> Column:
     """Rows [start, end) of a flat array with offsets."""
     return F.slice(values, start + 1, end - start)
+
+
+def ragged_offsets(rows: DataFrame, key: str, values: str) -> DataFrame:
+    """(key, start, stop): where each row's values lie when all are put end to end in order of key."""
+    sized = prefix_sums(rows.select(key, F.size(values).alias("_n")), [key], F.col("_n"), "start")
+    return sized.select(key, "start", (F.col("start") + F.col("_n")).cast("long").alias("stop"))

@@ -7,22 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.text import hash_order
+from textloom.session import saved
 
 
-def ancestors(families: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(families: DataFrame) -> DataFrame:
     """(family, ancestor): every family with itself and all its ancestors, over (family, parents[]); unknown parents included.
 
-    Grows by doubling: paths of up to 2**k edges after k joins.  A cycle ends too, with its members their own ancestors.
+    Grows by doubling (paths of up to 2**k edges after k joins) until a join finds nothing new, however long a lineage
+    is; each step is written.  A cycle ends too, with its members their own ancestors.
     """
     edges = families.select("family", F.explode("parents").alias("ancestor")).distinct()
-    reach = families.select("family", F.col("family").alias("ancestor")).union(edges).distinct()
-    length = 1
-    while length < max_depth:
+    reach = saved(families.select("family", F.col("family").alias("ancestor")).union(edges).distinct(), "lineage")
+    before, now = -1, reach.count()
+    while now > before:
         on = reach.select(F.col("family").alias("ancestor"), F.col("ancestor").alias("further"))
-        reach = reach.join(on, "ancestor").select("family", F.col("further").alias("ancestor")).distinct()
-        length *= 2
-        if length >= max_depth:
-            break
+        reach = saved(reach.join(on, "ancestor").select("family", F.col("further").alias("ancestor")).distinct(), "lineage")
+        before, now = now, reach.count()
     return reach
 
 

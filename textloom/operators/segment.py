@@ -105,6 +105,19 @@ def bound_spans(text: Column, spans: Column) -> Column:
     return (F.size(spans) == 0) | (right & ordered)
 
 
+def span_rows(docs: DataFrame, key: str, text: str, spans: str) -> DataFrame:
+    """(key, i, sha, in_order): the digest of each {start, end} span's characters, and whether it starts behind the one before."""
+    parts = F.transform(
+        F.col(spans),
+        lambda s, i: F.struct(
+            (i + 1).cast("long").alias("i"),
+            F.sha2(F.substr(F.col(text), s["start"] + 1, s["end"] - s["start"]), 256).alias("sha"),
+            ((i == 0) | (s["start"] >= F.coalesce(F.get(F.col(spans), i - 1)["end"], F.lit(0)))).alias("in_order"),
+        ),
+    )
+    return docs.select(key, F.explode(parts).alias("p")).select(key, "p.*")
+
+
 @F.pandas_udf(BooleanType())
 def unmatched_fence(texts: pd.Series) -> pd.Series:
     """Whether a code fence is opened and never closed on a line of its own; escaped ones don't count."""

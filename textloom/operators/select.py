@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.text import hash_order
+from textloom.session import saved
 
 
 def top_k(df: DataFrame, groups: list[str], order: list[Column], k: int) -> DataFrame:
@@ -27,8 +28,10 @@ def shuffled_head(df: DataFrame, key: str, n: int, salt: str = "") -> DataFrame:
 
 
 def water_level(available: DataFrame, column: str, want: int) -> DataFrame:
-    """One row (level): the largest whole L with sum(min(L, available)) <= want.
+    """One row (level): the largest whole L with sum(min(L, available)) <= want, but no more than the largest amount.
 
+    So where all amounts together are no more than wanted the level is the largest one, as any above it fills no more;
+    without any rows it is 0.
     By counts of equal amounts, in ascending order: sums below plus the amount times those left is piecewise linear.
     """
     amounts = available.groupBy(F.col(column).cast("long").alias("x")).agg(F.count("*").alias("c"))
@@ -40,18 +43,27 @@ def water_level(available: DataFrame, column: str, want: int) -> DataFrame:
 
 def capped_allocation(df: DataFrame, key: str, amount: str, cap: int, budget: int) -> DataFrame:
     """(key, take): in order of key each gets its amount, at most cap, until the budget is used up."""
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     capped = F.least(F.col(amount), F.lit(cap))
-    return df.select(key, F.greatest(F.lit(0), F.least(capped, F.lit(budget) - F.coalesce(F.sum(capped).over(w), F.lit(0)))).cast("long").alias("take"))
+    before = prefix_sums(df.select(key, capped.alias("_capped")), [key], F.col("_capped"), "_before")
+    return before.select(key, F.greatest(F.lit(0), F.least(F.col("_capped"), F.lit(budget) - F.col("_before"))).cast("long").alias("take"))
 
 
-def dense_numbers(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
-    """Rows numbered from 0 in order, without one task seeing all: ranges are sorted apart and offset by their sizes."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+def prefix_sums(df: DataFrame, order: list[str], amount: Column, name: str) -> DataFrame:
+    """Rows with the sum of `amount` over all rows before them in order, without one task seeing all.
+
+    Ranges of the order are written once, so that they are the same whenever they are read; they are summed apart and
+    offset by the sums of the ranges before, of which there are as many as Spark has shuffle partitions.
+    """
+    ranged = saved(df.withColumn("_amount", amount.cast("long")).repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_p").agg(F.sum("_amount").alias("_n"))
     offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return ranged.join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_base") + within).cast("long")).drop("_p", "_base")
+    within = F.coalesce(F.sum("_amount").over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_base") + within).cast("long")).drop("_p", "_base", "_amount")
+
+
+def dense_numbers(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """Rows numbered from 0 in order, without one task seeing all."""
+    return prefix_sums(df, order, F.lit(1), name)
 
 
 def round_robin(number: Column, shards: int) -> Column:

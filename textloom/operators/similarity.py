@@ -44,9 +44,9 @@ def hashed_sets(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
 def shingle_sets(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
     """(id, class, members as sorted hashes): class is the smallest id with the same set."""
     sets = hashed_sets(df, key, text, n)
-    sets = sets.withColumn("digest", F.sha2(F.array_join(F.transform("members", lambda m: m.cast("string")), ","), 256))
-    classes = sets.groupBy("digest").agg(F.min("id").alias("class"))
-    return sets.join(classes, "digest").select("id", "class", "members")
+    digests = saved(sets.select("id", F.sha2(F.array_join(F.transform("members", lambda m: m.cast("string")), ","), 256).alias("digest")), "digests")
+    classes = digests.join(digests.groupBy("digest").agg(F.min("id").alias("class")), "digest").select("id", "class")
+    return saved(sets.join(classes, "id").select("id", "class", "members"), "classes")
 
 
 def similar_pairs(sets: DataFrame, t: float = 0.8) -> DataFrame:
@@ -55,9 +55,11 @@ def similar_pairs(sets: DataFrame, t: float = 0.8) -> DataFrame:
     frequency = one.select(F.explode("members").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
     ranked = one.select("id", "n", F.explode("members").alias("s")).join(frequency, "s")
     place = Window.partitionBy("id").orderBy("df", "s")
-    prefix = ranked.withColumn("place", F.row_number().over(place)).where(F.col("place") <= F.col("n") - F.ceil(F.lit(t) * F.col("n") - F.lit(1e-9)) + 1).where("df > 1").select("id", "n", "s")
-    left, right = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "s"), prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "s")
-    meet = left.join(right, "s").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    prefix = ranked.withColumn("place", F.row_number().over(place)).where(F.col("place") <= F.col("n") - F.ceil(F.lit(t) * F.col("n") - F.lit(1e-9)) + 1).where("df > 1").select("id", "n", "s", "place")
+    side = lambda x: prefix.select("s", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"))
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")  # shared at most, by the places
+    of_like_size = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb") - 1e-9)
+    meet = side("a").join(side("b"), "s").where(of_like_size & (most >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)).select("a", "b").distinct()
     of = lambda name, side: one.select(F.col("id").alias(side), F.col("members").alias(name))
     both = meet.join(of("ma", "a"), "a").join(of("mb", "b"), "b")
     return both.select("a", "b", jaccard(F.col("ma"), F.col("mb")).alias("similarity")).where(F.col("similarity") >= t - 1e-12)
@@ -75,37 +77,63 @@ def symmetric_drop(df: DataFrame, key: str, text: str, t: float = 0.8, n: int =
     return sets.join(low, "class", "left").select("id", ((F.col("id") > F.col("class")) | F.coalesce("near", F.lit(False))).alias("duplicate"))
 
 
-def greedy_keep(nodes: DataFrame, pairs: DataFrame, rounds: int = 1000) -> DataFrame:
+def greedy_keep(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, kept): in order of id, a node is kept unless a kept node before it is its neighbour (pairs a < b).
 
     Round by round: undecided nodes without an undecided or kept smaller neighbour are kept, their neighbours are
-    dropped.  The smallest undecided node is always decided; chains of length n need n rounds at most.
+    dropped, until all are decided.  The smallest undecided node is decided in every round, so this ends; chains of
+    length n need n rounds at most.
     """
     state = saved(nodes.select("id", F.lit(None).cast("boolean").alias("kept")), "greedy")
     edges = saved(pairs.select("a", "b"), "greedy-edges")
-    for _ in range(rounds):
+    while state.where("kept is null").limit(1).count():
         of_a = state.select(F.col("id").alias("a"), F.col("kept").alias("a_kept"))
         seen = edges.join(of_a, "a").groupBy(F.col("b").alias("id")).agg(F.coalesce(F.max("a_kept"), F.lit(False)).alias("by_kept"), F.max(F.col("a_kept").isNull()).alias("by_open"))
-        state = saved(
-            state.join(seen, "id", "left").select(
-                "id", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("by_kept"), False).when(~F.coalesce("by_open", F.lit(False)), True).alias("kept")
-            ),
-            "greedy",
-        )
-        if state.where("kept is null").limit(1).count() == 0:
-            break
+        decided = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.col("by_kept"), False).when(~F.coalesce("by_open", F.lit(False)), True)
+        state = saved(state.join(seen, "id", "left").select("id", decided.alias("kept")), "greedy")
     return state
 
 
-def overlap_with(df: DataFrame, others: DataFrame, key: str, text: str, other_key: str, other_text: str, n: int = 3) -> DataFrame:
-    """For each pair that shares a shingle: (key, other, shared, n_own, n_other); containment and Jaccard follow from it."""
-    own = hashed_sets(df, key, text, n).withColumnRenamed("members", "m")
+def overlap_with(df: DataFrame, others: DataFrame, key: str, text: str, other_key: str, other_text: str, n: int = 3, own: DataFrame | None = None) -> DataFrame:
+    """For each pair that shares a shingle: (key, other, shared, n_own, n_other); containment and Jaccard follow from it.
+
+    `own` has the rows' hashed sets (id, members) where the caller has made them already.
+    """
+    own = (own if own is not None else hashed_sets(df, key, text, n)).select("id", F.col("members").alias("m"))
     other = hashed_sets(others, other_key, other_text, n).select(F.col("id").alias("other"), F.col("members").alias("m"))
     a = own.select("id", F.size("m").alias("n_own"), F.explode("m").alias("s"))
     b = other.select("other", F.size("m").alias("n_other"), F.explode("m").alias("s"))
     return a.join(b, "s").groupBy("id", "other", "n_own", "n_other").agg(F.count("*").alias("shared"))
 
 
+def contaminated_by(rows: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, t: float = 0.8) -> DataFrame:
+    """(id, item_id, how): rows whose text is an item's but for case and blanks (exact) or t-similar by trigrams (near).
+
+    The first item counts, and of both ways exact.
+    """
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    same = rows.select(F.col(key).alias("id"), norm(text).alias("norm")).join(items.select(F.col(item_key).alias("other"), norm(item_text).alias("norm")), "norm")
+    o = overlap_with(rows, items, key, text, item_key, item_text)
+    near = o.where(F.col("shared") / (F.col("n_own") + F.col("n_other") - F.col("shared")) >= t)
+    both = same.select("id", "other", F.lit("exact").alias("how")).union(near.select("id", "other", F.lit("near").alias("how")))
+    return both.groupBy("id").agg(F.min(F.struct("other", "how")).alias("m")).select("id", F.col("m.other").alias("item_id"), F.col("m.how").alias("how"))
+
+
+def near_within(rows: DataFrame, group: str, key: str, tokens: Column, t: float) -> DataFrame:
+    """(group, a, b): pairs a < b of one group whose different tokens have Jaccard similarity of t or more; by their rarest tokens."""
+    sets = saved(rows.select(group, F.col(key).alias("id"), F.array_distinct(tokens).alias("m")).where(F.size("m") > 0), "tokens")
+    each = sets.select(group, "id", F.size("m").alias("n"), F.explode("m").alias("s"))
+    frequency = each.groupBy(group, "s").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy(group, "id").orderBy("df", "s"))
+    prefix = each.join(frequency, [group, "s"]).withColumn("place", place).where((F.col("df") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1))
+    side = lambda x: prefix.select(group, "s", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"))
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")  # shared at most, by the places
+    meet = side("a").join(side("b"), [group, "s"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb") - 1e-9) & (most >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9))
+    of = lambda x: sets.select(group, F.col("id").alias(x), F.col("m").alias(f"m{x}"))
+    both = meet.select(group, "a", "b").distinct().join(of("a"), [group, "a"]).join(of("b"), [group, "b"])
+    return both.where(jaccard(F.col("ma"), F.col("mb")) >= t - 1e-12).select(group, "a", "b")
+
+
 def first_by(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
     """Of rows with equal keys the first in order."""
     w = Window.partitionBy(*keys).orderBy(*order)

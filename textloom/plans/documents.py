@@ -117,11 +117,12 @@ def clean_reasons(spark: SparkSession, d: str) -> DataFrame:
     """First failing rule of every document, in one case expression over the joined checks."""
     docs = table(spark, d, "documents")
     sets = similarity.shingle_sets(docs, "doc_id", "text")
+    one = sets.where("id = class")
     low = similarity.similar_pairs(sets).select(F.col("b").alias("class")).distinct().withColumn("near", F.lit(True))
-    copies = sets.join(low, "class", "left").select(F.col("id").alias("doc_id"), "class", "near")
-    o = similarity.overlap_with(docs, table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
-    hit = o.where(F.col("shared") / F.col("n_other") >= 0.8).select(F.col("id").alias("doc_id")).distinct().withColumn("hit", F.lit(True))
-    every = docs.join(copies, "doc_id").join(hit, "doc_id", "left").join(table(spark, d, "labels"), "doc_id", "left")
+    o = similarity.overlap_with(docs, table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text", own=one)
+    hit = o.where(F.col("shared") / F.col("n_other") >= 0.8).select(F.col("id").alias("class")).distinct().withColumn("hit", F.lit(True))
+    copies = sets.select(F.col("id").alias("doc_id"), "class").join(low, "class", "left").join(hit, "class", "left")
+    every = docs.join(copies, "doc_id").join(table(spark, d, "labels"), "doc_id", "left")
     reason = (
         F.when(F.coalesce("text", F.lit("")) == "", "empty").when(F.length("text") > 12000, "too_long").when(F.col("doc_id") > F.col("class"), "duplicate").when(F.col("near"), "near_duplicate")
         .when(F.col("hit"), "contaminated").when(F.col("quality") == 0, "low_quality").when(F.col("toxic") == 1, "toxic").otherwise("clean")
@@ -198,7 +199,7 @@ def quota_select(spark: SparkSession, d: str) -> DataFrame:
 @R.query(
     """
 with n as (select source, count(*) as avail from documents where lang = 'en' group by source),
-l as (select max(x) as level from range(0, 100000) t(x) where (select sum(least(avail, x)) from n) <= 300)
+l as (select max(x) as level from range(0, (select coalesce(max(avail), 0) + 1 from n)) t(x) where (select sum(least(avail, x)) from n) <= 300)
 select coalesce(level, 0) as level from l"""
 )
 def water_fill_sources(spark: SparkSession, d: str) -> DataFrame:

@@ -29,16 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the folder in spark.checkpoint.dir and read back, for what a plan reads several times.
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A new name in the folder that all executors share, spark.checkpoint.dir.
 
-    It cuts the lineage and outlives lost executors.  A temporary folder is set where the setting is unset (tests).
+    A temporary folder is set where the setting is unset and Spark runs in one process (tests).
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = posixpath.join(folder, f"{tag}-{uuid.uuid4().hex}")
+    return posixpath.join(folder, f"{tag}-{uuid.uuid4().hex}")
+
+
+def saved(df: DataFrame, tag: str) -> DataFrame:
+    """df written once to the shared folder and read back, for what a plan reads several times.
+
+    It cuts the lineage and outlives lost executors.
+    """
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
