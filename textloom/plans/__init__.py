@@ -1,9 +1,9 @@
 """Queries over the sample tables, each with the DuckDB SQL that gives the same rows."""
 
-from textloom.plans import builders, checks, conversations, documents, literals, pages, retrieval, review, search, statistics, tables, tools
+from textloom.plans import builders, checks, conversations, documents, formats, pages, retrieval, review, search, statistics, tables, tools
 
 QUERIES = {}
 SQL = {}
-for _part in (documents, pages, retrieval, conversations, statistics, tables, literals, review, tools, builders, checks, search):
+for _part in (documents, pages, retrieval, conversations, statistics, tables, formats, review, tools, builders, checks, search):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
