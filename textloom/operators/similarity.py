@@ -106,6 +106,31 @@ def overlap_with(df: DataFrame, others: DataFrame, key: str, text: str, other_ke
     return a.join(b, "s").groupBy("id", "other", "n_own", "n_other").agg(F.count("*").alias("shared"))
 
 
+def contained_items(rows: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str) -> DataFrame:
+    """(key, item_key): items whose whole text stands in a row's text.
+
+    Words within an item, all but its first and last, which may go on in the row's text, are whole words of the row.
+    So rows meet items on the rarest pair of such neighbours, and only those are searched for the item.  Items of
+    fewer than four words have no such pair: these few are a stated set of questions, searched for in every row.
+    """
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i)))
+    cut = saved(items.select(F.col(item_key).alias("_item"), F.col(item_text).alias("_text"), words(F.col(item_text)).alias("w")).where(F.size("w") >= 4), "items")
+    inner = cut.withColumn("w", F.slice("w", 2, F.size("w") - 2)).select("_item", F.explode(F.array_distinct(pairs(F.col("w")))).alias("p"))
+    tokens = saved(rows.select(F.col(key).alias("_row"), words(F.coalesce(F.col(text), F.lit(""))).alias("w")).where(F.size("w") >= 4), "words")
+    own = tokens.select("_row", F.explode(F.array_distinct(pairs(F.col("w")))).alias("p"))
+    met = saved(own.join(inner.select("p").distinct(), "p", "left_semi"), "pairs")
+    counts = inner.join(met.groupBy("p").agg(F.count("*").alias("n")), "p", "left")
+    rarest = counts.groupBy("_item").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "p")).alias("m")).where("m.n > 0").select("_item", F.col("m.p").alias("p"))
+    candidates = met.join(rarest, "p").select("_row", "_item").distinct()
+    texts = candidates.join(cut.select("_item", "_text"), "_item").join(rows.select(F.col(key).alias("_row"), F.col(text).alias("_whole")), "_row")
+    found = texts.where(F.contains("_whole", "_text")).select(F.col("_row").alias(key), F.col("_item").alias(item_key))
+    short = items.where(F.size(words(F.col(item_text))) < 4).select(F.col(item_key).alias("_item"), F.col(item_text).alias("_text"))
+    if short.limit(1).count():
+        every = rows.select(F.col(key).alias("_row"), F.col(text).alias("_whole")).join(short, F.contains("_whole", "_text"))
+        found = found.union(every.select(F.col("_row").alias(key), F.col("_item").alias(item_key)))
+    return found
+
+
 def contaminated_by(rows: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, t: float = 0.8) -> DataFrame:
     """(id, item_id, how): rows whose text is an item's but for case and blanks (exact) or t-similar by trigrams (near).
 

@@ -98,9 +98,7 @@ def bench_near_questions(spark: SparkSession, d: str) -> DataFrame:
 
 @R.query("select doc_id, item_id from documents d join benchmark b on length(b.text) >= 40 and contains(d.text, b.text)")
 def bench_substring_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Equi-join on the item's rarest first word pair would prune; items are few and a contains test is one pass."""
-    items = table(spark, d, "benchmark").where(F.length("text") >= 40).select("item_id", F.col("text").alias("item"))
-    return table(spark, d, "documents").join(items, F.contains(F.col("text"), F.col("item"))).select("doc_id", "item_id")
+    return similarity.contained_items(table(spark, d, "documents"), table(spark, d, "benchmark").where(F.length("text") >= 40), "doc_id", "text", "item_id", "text")
 
 
 CLEAN = f"""
@@ -292,23 +290,45 @@ def doc_licences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(F.array_intersect(T.words(t), F.array(*map(F.lit, ("the", "token", "apache", "license", "und", "que"))))).cast("long").alias("relevance"), t.rlike("(?i)licensed? under|all rights reserved").alias("boilerplate"), licence.alias("licence"))
 
 
-@R.query()
+@R.query(
+    r"""
+with b as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '\n(?:[\t-\r ]*\n)+'), lambda x: trim(x, chr(10)) <> '') as bs from documents), p as (select doc_id, flatten(list_transform(bs, lambda b: list_transform(range(0, greatest(1, (length(b) + 1499) // 1500)), lambda i: substr(b, (1 + 1500 * i)::bigint, 1500)))) as ps from b),
+c as (select doc_id, list_reduce(list_transform(ps, lambda x: [x]), lambda a, x: case when length(a[-1]) + 2 + length(x[1]) <= 1500 then list_concat(a[1:-2], [a[-1] || chr(10) || chr(10) || x[1]]) else list_concat(a, x) end) as cs from p where len(ps) > 0)
+select doc_id, doc_id || '#' || (i - 1) as chunk_id, text from (select doc_id, unnest(cs) as text, generate_subscripts(cs, 1) as i from c)"""
+)
 def doc_chunks(spark: SparkSession, d: str) -> DataFrame:
     return segment.chunks(table(spark, d, "documents"), "doc_id", "text", 1500, cut_long=True)
 
 
-@R.query()
+@R.query(
+    """
+with l as (select doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {'n': 0, 'open': length(x), 'longest': 0}) as l from documents),
+f as (select doc_id, list_reduce(l, lambda a, x: case when a.n > 0 and a.open + 1 + x.open <= 600 then {'n': a.n, 'open': a.open + 1 + x.open, 'longest': greatest(a.longest, a.open + 1 + x.open)} else {'n': a.n + 1, 'open': x.open, 'longest': greatest(a.longest, x.open)} end, {'n': 0, 'open': 0, 'longest': 0}) as f from l)
+select doc_id, cast(f.n as bigint) as n_chunks, cast(f.longest as bigint) as longest from f"""
+)
 def doc_line_chunks(spark: SparkSession, d: str) -> DataFrame:
     return segment.line_chunks(table(spark, d, "documents"), "doc_id", "text")
 
 
-@R.query("select doc_id, length(text) as total from documents")
+ABBREVIATED = r"(?:^|[^\p{L}\p{N}_])(?:e\.g|i\.e|etc|cf|vs|Dr|Mr|Mrs|Fig|No|[A-Z])\.\s|`|\n\n|\n\s*(?:[-*#]|[0-9]+[.)])\s"
+
+
+@R.query(
+    rf"""
+with m as (select doc_id, text, case when regexp_matches(text, '{ABBREVIATED}') then null else string_split(regexp_replace(text, '([.!?]\s+)([A-ZÀ-Ý"(])', '\1' || chr(1) || '\2', 'g'), chr(1)) end as s from documents where coalesce(text, '') <> '')
+select doc_id, sha256(text) as whole, case when s is not null then array_to_string(list_transform(s, lambda x: length(x)), ',') end as sizes from m"""
+)
 def doc_span_cover(spark: SparkSession, d: str) -> DataFrame:
-    """The spans' lengths add up to the text's."""
-    spans = table(spark, d, "documents").select("doc_id", segment.exact_cover(F.col("text")).alias("s"))
-    return spans.select("doc_id", F.aggregate("s", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("total"))
+    """The spans' texts, joined, are the text; their lengths, but for texts with abbreviations, code or lists, which SQL can't cut."""
+    spans = table(spark, d, "documents").where(F.coalesce("text", F.lit("")) != "").select("doc_id", "text", segment.exact_cover(F.col("text")).alias("s"))
+    whole = F.array_join(F.transform("s", lambda s: F.substr("text", s["start"] + 1, s["end"] - s["start"])), "")
+    sizes = F.array_join(F.transform("s", lambda s: (s["end"] - s["start"]).cast("string")), ",")
+    return spans.select("doc_id", F.sha2(whole, 256).alias("whole"), F.when(~F.col("text").rlike(ABBREVIATED), sizes).alias("sizes"))
+
+
+DIGITS = ", ".join(f"cast(sum(cast('0x' || substr(sha, {1 + 8 * i}, 8) as bigint)) as varchar)" for i in range(4))
 
 
-@R.query("select count(*) as n_rows from documents")
+@R.query(f"with s as (select sha256(concat_ws(chr(1), coalesce(doc_id::varchar, chr(2)), coalesce(text, chr(2)))) as sha from documents) select count(*) as n_rows, sha256(concat_ws(',', {DIGITS})) as fingerprint from s")
 def doc_fingerprint_rows(spark: SparkSession, d: str) -> DataFrame:
-    return provenance.fingerprint(table(spark, d, "documents"), "doc_id", "text").select("n_rows")
+    return provenance.fingerprint(table(spark, d, "documents"), "doc_id", "text")

@@ -34,14 +34,18 @@ def url_keys(spark: SparkSession, d: str) -> DataFrame:
 @R.query(
     r"""
 with p as (select page_id, url, html, lower(regexp_extract(html, '(?is)<html[^>]*\slang=["'']?([A-Za-z]+)', 1)) as lang from pages)
-select reason, count(*) as n from (
-  select case when regexp_matches(url, '(?i)\.(?:png|jpe?g|gif|svg|css|js|zip|gz|mp4)$|/(?:login|search|tag|feed)(?:/|$)') then 'path' when lang not in ('', 'en') then 'language'
-    when length(html) < 400 then 'short' else 'admitted' end as reason from p) group by reason"""
+select page_id, reason, count(*) over (partition by reason) as n_alike from (
+  select page_id, case when not regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:www|m|th)') then 'scope' when regexp_matches(url, '(?i)\.(?:png|jpe?g|gif|svg|css|js|zip|gz|mp4)$|/(?:login|search|tag|feed)(?:/|$)') then 'path' when lang not in ('', 'en') then 'language'
+    when length(html) < 400 then 'short' else 'admitted' end as reason from p)"""
 )
 def page_admission(spark: SparkSession, d: str) -> DataFrame:
     lang = H.language(F.col("html"))
-    reason = F.when(F.col("url").rlike(r"(?i)\.(?:png|jpe?g|gif|svg|css|js|zip|gz|mp4)$|/(?:login|search|tag|feed)(?:/|$)"), "path").when(~lang.isin("", "en"), "language").when(F.length("html") < 400, "short").otherwise("admitted")
-    return table(spark, d, "pages").select(reason.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    u = F.col("url")
+    outside = F.when(U.in_scope(u, ["www", "m", "th"], exclude="$^"), None).otherwise("scope")
+    excluded = F.when(~U.in_scope(u, [""]), "path")
+    reason = F.when(outside.isNotNull(), outside).when(excluded.isNotNull(), excluded).when(~lang.isin("", "en"), "language").when(F.length("html") < 400, "short").otherwise("admitted")
+    reasons = table(spark, d, "pages").select("page_id", reason.alias("reason"))
+    return reasons.join(reasons.groupBy("reason").agg(F.count("*").alias("n_alike")), "reason").select("page_id", "reason", "n_alike")
 
 
 @R.query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.operators import retrieval as J
+from textloom.operators.similarity import contained_items
 from textloom.plans.registry import Registry
 from textloom.session import table
 
@@ -67,8 +68,8 @@ b as (select g.q, min(rank) as best from g left join rk on rk.q = g.q and rk.chu
 select count(*) as n, avg((coalesce(best, 999) <= 3)::int) as hit_at_3, avg((coalesce(best, 999) <= 8)::int) as hit_at_8, avg((coalesce(best, 999) <= 50)::int) as hit_at_50 from b"""
 )
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), F.col("text").alias("item"))
-    gold = table(spark, d, "documents").join(items, F.contains("text", "item")).select("q", F.col("doc_id").alias("chunk"))
+    held = contained_items(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+    gold = held.select(F.col("item_id").alias("q"), F.col("doc_id").alias("chunk"))
     return J.recall_at(_hits(spark, d, 50), gold, (3, 8, 50))
 
 
@@ -78,13 +79,29 @@ def context_blocks(spark: SparkSession, d: str) -> DataFrame:
     return J.context(_hits(spark, d, 3), chunks, "doc_id", "text", "source")
 
 
-@R.query()
+FACETS = "f as (select rk.q, rk.chunk, rk.rank, list_distinct(list_filter([lang, source], lambda x: x is not null)) as fs from rk join documents on doc_id = chunk where rank <= 32)"
+
+
+@R.query(
+    f"""
+with {BM25}, {FACETS}, p1 as (select q, arg_min(chunk, (-len(fs), rank, chunk)) as chunk from f group by q), c1 as (select p1.q, [p1.chunk] as gone, fs as covered from p1 join f using (q, chunk)),
+p2 as (select f.q, arg_min(chunk, (-len(list_filter(fs, lambda x: not list_contains(covered, x))), rank, chunk)) as chunk from f join c1 on c1.q = f.q and not list_contains(gone, chunk) group by f.q),
+c2 as (select p2.q, list_append(gone, p2.chunk) as gone, list_concat(covered, fs) as covered from p2 join f using (q, chunk) join c1 on c1.q = p2.q),
+p3 as (select f.q, arg_min(chunk, (-len(list_filter(fs, lambda x: not list_contains(covered, x))), rank, chunk)) as chunk from f join c2 on c2.q = f.q and not list_contains(gone, chunk) group by f.q)
+select q, chunk, 1 as pick from p1 union all select q, chunk, 2 from p2 union all select q, chunk, 3 from p3"""
+)
 def facet_cover(spark: SparkSession, d: str) -> DataFrame:
     facets = table(spark, d, "documents").select(F.col("doc_id").alias("chunk"), F.explode(F.array("lang", "source")).alias("facet"))
     return J.facet_cover(_hits(spark, d, 32), facets)
 
 
-@R.query()
+@R.query(
+    f"""
+with recursive {BM25}, s as (select q, rank, length(text)::bigint as chars from rk join documents on doc_id = chunk where rank <= 32),
+g as (select q, 0::bigint as i, 0::bigint as used, []::bigint[] as taken from (select distinct q from s) union all
+  select g.q, i + 1, case when chars is not null and used + chars <= 12000 then used + chars else used end, case when chars is not null and used + chars <= 12000 then list_append(taken, s.rank) else taken end from g left join s on s.q = g.q and s.rank = g.i + 1 where i < 32)
+select g.q, s.rank, s.chars from g join s on s.q = g.q and list_contains(g.taken, s.rank) where i = 32"""
+)
 def budget_pick(spark: SparkSession, d: str) -> DataFrame:
     from textloom.operators.select import skip_not_stop
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,13 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     spark, path = df.sparkSession, fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cached(build: Callable[[], DataFrame], spark: SparkSession, *signature: object) -> DataFrame:
+    """build()'s result under a name made from the signature of its inputs; built once, then read, by later runs too."""
+    name = hashlib.sha256("|".join(map(str, signature)).encode()).hexdigest()[:32]
+    path = posixpath.join(posixpath.dirname(fresh_path(spark, "cache")), f"cache-{name}")
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -30,17 +30,11 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def unbound_files(found: DataFrame, manifest: DataFrame) -> DataFrame:
-    """(name, problem) for files that are missing, not listed, or of another digest than the manifest's (name, sha256)."""
-    have = found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("sha256").alias("own"))
+def unbound_files(found: DataFrame, manifest: DataFrame, name: str = "([^/]+)$") -> DataFrame:
+    """(name, problem) for files that are missing, not listed, or of another digest than the manifest's (name, sha256).
+
+    A file's name is the part of its path that the pattern catches.
+    """
+    have = found.select(F.regexp_extract("path", name, 1).alias("name"), F.col("sha256").alias("own"))
     problem = F.when(F.col("own").isNull(), "missing").when(F.col("sha256").isNull(), "not_listed").when(F.col("own") != F.col("sha256"), "changed")
     return have.join(manifest, "name", "full").select("name", problem.alias("problem")).where("problem is not null")
-
-
-def markdown_table(df: DataFrame) -> DataFrame:
-    """Rows as lines of a Markdown table (`line`); its head is markdown_head(df)."""
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |")).alias("line"))
-
-
-def markdown_head(df: DataFrame) -> str:
-    return "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)

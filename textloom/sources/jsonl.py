@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
+from textloom.session import saved
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line, blank lines skipped, .gz as it is; a line that isn't an object fails the read."""
@@ -22,16 +24,22 @@ def write_jsonl(df: DataFrame, path: str, compressed: bool = False) -> None:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, value): a line's number is its order within its file.
+    """(file, line_no, value, unfinished): a line's number is its order within its file, however many tasks read it.
 
-    Files are read whole into one partition each (wholetext splits would lose the order), so this is for logs of
-    files that fit a task.
+    Lines are written once with the block of the file they were read from and their order in it; the blocks' counts
+    give every block its first number.  unfinished: the file ends without a newline and this is its last line; that
+    can't be told of compressed files, whose lines all count as finished.
     """
-    whole = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
-    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
-    last = Window.partitionBy("file")
-    ended = lines.withColumn("n", F.max("line_no").over(last))
-    return ended.where((F.col("line_no") < F.col("n")) | (F.col("value") != "")).select("file", "line_no", "value", (F.col("line_no") == F.col("n")).alias("unfinished"))
+    read = spark.read.option("lineSep", "\n").text(path)
+    meta = [F.col(f"_metadata.{c}").alias(a) for c, a in (("file_path", "file"), ("file_block_start", "block"), ("file_size", "size"))]
+    lines = saved(read.select(*meta, F.monotonically_increasing_id().alias("id"), "value"), "lines")
+    blocks = lines.groupBy("file", "block", "size").agg(F.count("*").alias("n"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    of_file = Window.partitionBy("file")  # a row a block
+    before = F.coalesce(F.sum("n").over(of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_end = (F.sum("bytes").over(of_file) > F.col("size")) & ~F.col("file").endswith(".gz")
+    placed = blocks.select("file", "block", before.alias("base"), F.sum("n").over(of_file).alias("total"), open_end.alias("open"))
+    number = F.col("base") + F.row_number().over(Window.partitionBy("file", "block").orderBy("id")) - 1
+    return lines.join(placed, ["file", "block"]).withColumn("line_no", number).select("file", "line_no", "value", (F.col("open") & (F.col("line_no") == F.col("total") - 1)).alias("unfinished"))
 
 
 def valid_prefix(lines: DataFrame, schema: str) -> DataFrame:
