@@ -90,7 +90,8 @@ def skip_not_stop(df: DataFrame, group: str, order: str, size: str, budget: int)
 def longest_first_shards(sizes: DataFrame, key: str, size: str, shards: int) -> DataFrame:
     """(key, shard): largest first, each to the lightest shard so far.
 
-    For document totals, a table the caller has aggregated; runs in one task, as each step needs the one before.
+    Each step needs the one before, so the rows (aggregated totals: a key and a number each) stream through one task
+    in sorted order; it holds the shards' loads alone.  The sort before it is by ranges, in many tasks.
     """
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,4 +104,4 @@ def longest_first_shards(sizes: DataFrame, key: str, size: str, shards: int) ->
                 out.append(at)
             yield pd.DataFrame({key: pdf[key], "shard": out})
 
-    return sizes.select(key, size).coalesce(1).sortWithinPartitions(F.desc(size), key).mapInPandas(place, f"{key} {sizes.schema[key].dataType.simpleString()}, shard int")
+    return sizes.select(key, size).orderBy(F.desc(size), key).coalesce(1).mapInPandas(place, f"{key} {sizes.schema[key].dataType.simpleString()}, shard int")

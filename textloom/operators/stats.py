@@ -30,10 +30,15 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def upper_median(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """(groups, upper_median): the value at index n // 2 in ascending order."""
+    """(groups, upper_median): the value at index n // 2 in ascending order.
+
+    Equal values are counted first, so a group with many rows is no more than its different values in one task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*groups)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_i") == F.floor(F.col("_n") / 2)).select(*groups, F.col(value).alias("upper_median"))
+    placed = counts.withColumn("_to", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+    middle = F.floor(F.col("_n") / 2)
+    return placed.where((F.col("_to") > middle) & (F.col("_to") - F.col("_c") <= middle)).select(*groups, F.col(value).alias("upper_median"))
 
 
 def seed_summary(df: DataFrame, groups: list[str], seed: str, value: str, seeds: int) -> DataFrame:

@@ -231,8 +231,9 @@ def prose_tool_balance(spark: SparkSession, d: str) -> DataFrame:
     kind = table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") < 1500, "short").otherwise("long").alias("kind"))
     k = kind.agg(F.floor(F.least(F.count_if(F.col("kind") == "short") / 7, F.count_if(F.col("kind") == "long") / 3)).alias("k"))
     quota = k.select(F.explode(F.array(F.struct(F.lit("short").alias("kind"), (7 * F.col("k")).alias("quota")), F.struct(F.lit("long").alias("kind"), (3 * F.col("k")).alias("quota")))).alias("q")).select("q.*")
-    ranked = select.top_k(kind, ["kind"], [T.hash_order(F.col("doc_id"), salt="mix"), F.col("doc_id")], 1 << 30)
-    return ranked.join(F.broadcast(quota), "kind").where("rank <= quota").select("doc_id", "kind")
+    numbered = select.dense_numbers(kind.withColumn("order", T.hash_order(F.col("doc_id"), salt="mix")), ["kind", "order", "doc_id"])
+    first = numbered.groupBy("kind").agg(F.min("number").alias("first")).join(quota, "kind")  # two rows
+    return numbered.join(F.broadcast(first), "kind").where(F.col("number") - F.col("first") < F.col("quota")).select("doc_id", "kind")
 
 
 @R.query(

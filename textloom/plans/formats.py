@@ -269,3 +269,51 @@ def gpu_availability(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("job") % 40
     nodes = jobs(spark, d).select(joined("n", text_of(n)).alias("node"), "part", (n % 9).alias("total"), F.least(n % 9, n % 5).alias("free")).dropDuplicates()
     return nodes.groupBy("part").agg(F.sum("total").alias("total"), F.sum("free").alias("free"), F.sum(F.when((F.col("free") == F.col("total")) & (F.col("total") > 0), F.col("total")).otherwise(0)).alias("idle"))
+
+
+@R.query(f"with {K} select id, 'GPU_node,' || k || 'x,Booster' || k || ',Leonardo,Use' as names from e")
+def name_like(spark: SparkSession, d: str) -> DataFrame:
+    n = text_of(F.col("k"))
+    text = joined("Try the GPU_node on Leonardo ", n, "x. Then Use Booster", n, ".")
+    return events(spark, d).select("id", F.array_join(T.name_like_words(text), ",").alias("names"))
+
+
+@R.query(f"with {K} select id, case when k % 2 = 0 then '' else (20000 + k)::varchar end as ungrounded from e")
+def id_grounding(spark: SparkSession, d: str) -> DataFrame:
+    """An id counts as a whole number only: 120042 doesn't ground 20042; an array's task is grounded by its job."""
+    k = F.col("k")
+    one, two = text_of(10000 + k), text_of(20000 + k)
+    source = joined("see ", one, " or 1", two, F.when(k % 2 == 0, joined(" or ", two, "_7")).otherwise(""))
+    return events(spark, d).select("id", F.array_join(traces.grounded_ids(joined("Job ", one, " and ", two, "_3 ran"), source), ",").alias("ungrounded"))
+
+
+@R.query(f"with {K} select id, k % 4 in (1, 3) as open from e")
+def open_fences(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("k")
+    text = F.when(k % 4 == 0, joined("a\n```\n", text_of(k), "\n```\nb")).when(k % 4 == 1, joined("a\n```sh\n", text_of(k))).when(k % 4 == 2, joined("a \\``` ", text_of(k), "\nb ``` c")).otherwise(joined("````\n```\n", text_of(k), "\n```\n"))
+    return events(spark, d).select("id", segment.unmatched_fence(text).alias("open"))
+
+
+@R.query("select doc_id, doc_id % 3 <> 0 and doc_id % 5 <> 0 as bound from documents where length(text) >= 60")
+def span_binding(spark: SparkSession, d: str) -> DataFrame:
+    """Spans are bound by their digests, and in order: every third document has a wrong digest, every fifth an overlap."""
+    second = F.when(F.col("doc_id") % 5 == 0, 10).otherwise(20)
+    span = lambda a, b, own: F.struct(a.alias("start"), b.alias("end"), F.when(own, F.sha2(F.substr("text", a + 1, b - a), 256)).otherwise("x").alias("sha256"))
+    spans = F.array(span(F.lit(0), F.lit(20), F.lit(True)), span(second, F.lit(60), F.col("doc_id") % 3 != 0))
+    return table(spark, d, "documents").where(F.length("text") >= 60).select("doc_id", segment.bound_spans(F.col("text"), spans).alias("bound"))
+
+
+@R.query(
+    """
+with v as (select vec_id, list_transform(embedding[1:4], lambda x: round(x::double, 3)) as v from embeddings)
+select vec_id as id, '3,2,1,-1,-1' as ids, round(list_sum([v[4], v[3], v[2]]), 3) as total, case vec_id % 4 when 0 then '1000' when 1 then '0100' when 2 then '0010' else '0001' end as hot, round(v[2] + v[3], 3) as middle from v"""
+)
+def padded_top(spark: SparkSession, d: str) -> DataFrame:
+    """Three best of four tokens by rank (the later the better), padded to five; a one-hot row; a slice by offsets."""
+    v = F.transform(F.slice("embedding", 1, 4), lambda x: F.round(x.cast("double"), 3))
+    tokens = F.transform(v, lambda x, i: F.struct(i.cast("long").alias("id"), (3 - i).alias("rank"), x.alias("lp")))
+    top = distill.top_ranked(tokens, 3)
+    ids = distill.padded(F.transform(top, lambda t: t["id"]), 5, F.lit(-1).cast("long"))
+    total = lambda a: F.round(F.aggregate(a, F.lit(0.0), lambda s, x: s + x), 3)
+    hot = F.array_join(F.transform(distill.one_hot(4, F.col("vec_id") % 4), lambda x: x.cast("int").cast("string")), "")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.array_join(ids, ",").alias("ids"), total(F.transform(top, lambda t: t["lp"])).alias("total"), hot.alias("hot"), total(distill.ragged(v, F.lit(1), F.lit(3))).alias("middle"))
