@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from textloom.config import CleanConfig, configured
 from textloom.functions import text as T
+from textloom.functions.convert import first_call, numbers_of, roff_to_markdown
 from textloom.functions.html import html_to_markdown
-from textloom.operators import distill, provenance, segment, select, similarity, stats, traces
+from textloom.operators import builders, commands, crawl, distill, lookups, provenance, review, segment, select, similarity, stats, toolcalls, traces
 from textloom.sources import index, jsonl
 
 
@@ -73,6 +74,98 @@ def test_markdown():
     assert html_to_markdown(None) == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<nav><h2>no</h2><ul><li>no</li></ul></nav><p>yes", "yes"),
+        ("<h1>out</h1><main><p>in<br>two</main><h2>out</h2>", "in\n\ntwo"),
+        ('<div role="main"><img src=x><p>a</p></div><p>b</p>', "a"),
+        ("<ul><li><p>one</p></li><li>two</li></ul>after", "- one\n- two\n\nafter"),
+        ("<pre>a ``` b</pre>", "````\na ``` b\n````"),
+        ("<p>use <code>x &lt; y</code> now</p></div></p>", "use `x < y` now"),
+        ("<!-- <p>no --><script>if (a<b) '</p>'</script>text <b>bold", "text bold"),
+        ("<head><title>t</title></head><body>x</body>", "x"),
+        ("", ""),
+    ],
+)
+def test_markdown_of_awkward_pages(page, want):
+    assert html_to_markdown(page) == want
+
+
+def test_manual_pages():
+    assert roff_to_markdown('.\\" c\n.SH NAME\na \\fBb\\fR\n.PP\n.B c\n.nf\n  x\n.fi\n') == "## NAME\n\na **b**\n\n**c**\n\n```\n  x\n```"
+    assert roff_to_markdown(None) == "" and roff_to_markdown(".nf\nopen") == "```\nopen\n```"
+
+
+def test_json_helpers():
+    assert numbers_of({"a": {"b": 1, "c": True, "d": "x"}, "e": 2.5, "f": [1]}) == {"a.b": 1.0, "e": 2.5}
+    assert first_call('{"name": "rm", "arguments": {}} {"name": "ls", "arguments": 3} ls()', None, "ls,ps") == '{"name":"ls","arguments":{}}'
+    assert first_call("nothing { here", None, "ls") is None and first_call(None, None, "ls") is None
+
+
+def test_options_stop_at_the_program():
+    text = "```sh\n#SBATCH --nodes=2 -p gpu\nsbatch --wrap 'a --b' --time 5 job.sh --mine\nls --long\n```\n`srun --pty bash --login`"
+    assert commands.options_of(text) == ["nodes", "pty", "time", "wrap"]
+    assert commands.options_of("srun --open 'quote x") == ["open"] and commands.options_of(None) == []
+
+
+def test_reduced_status_and_binding(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (2, "b"), (3, "odd"), (3, None)], "k long, v string")
+    assert {(r.k, r.status) for r in review.reduced_status(df, ["k"], "v", ["a", "b"]).collect()} == {(1, "a"), (2, "b"), (3, None)}
+    null = F.lit(None).cast("string")
+    assert one(spark, review.binding_state([(null, null), (F.lit("x"), F.lit("x"))])) == "current" and one(spark, review.binding_state([(null, F.lit("x"))])) == "pending"
+
+
+@pytest.mark.parametrize(("text", "segments", "ok"), [("a b\nc", ["a b", "c"], True), ("a b c", ["a", "c"], False), ("a b", ["b", "a"], False), ("a a", ["a"], False), ("  ", [], True), ("x", [], False)])
+def test_segments_cover(spark, text, segments, ok):
+    df = spark.createDataFrame([(text, segments)], "t string, s array<string>")
+    assert df.select(review.segments_cover(F.col("t"), F.col("s")).alias("x")).first().x is ok
+
+
+def test_call_matching(spark):
+    args = lambda **kw: F.create_map(*[F.lit(v) for p in kw.items() for v in p]) if kw else F.create_map().cast("map<string,string>")
+    allowed = F.create_map(F.lit("user"), F.array(F.lit("Me")), F.lit("n"), F.array(F.lit(""), F.lit("*")))
+    match = lambda name, **kw: one(spark, toolcalls.call_matches(F.lit(name), args(**kw), F.lit("queue"), allowed))
+    assert match("queue", user="ME") and match("queue", user="me", n="77")
+    assert not match("queue", n="1") and not match("queue", user="me", other="1") and not match("state", user="me")
+
+
+def test_lookups_of_unknown_keys(spark):
+    rows = spark.createDataFrame([("gpu", 1), ("gpu-debug", 2)], "part string, n long")
+    asked = spark.createDataFrame([("gpu",), ("GPU-D",), ("g",), ("z",)], "asked string")
+    assert {(r.asked, r.part, r.error) for r in lookups.fuzzy_lookup(asked, rows.select("part"), "part").collect()} == {("gpu", "gpu", ""), ("GPU-D", "gpu-debug", ""), ("g", None, "ambiguous"), ("z", None, "unknown")}
+    found = lookups.keyed_lookup(spark.createDataFrame([("cpu",)], "part string"), rows, "part", "partition").first()
+    assert found.error == "unknown partition; known: gpu, gpu-debug"
+
+
+def test_crawl_keeps_to_its_limits(spark):
+    links = spark.createDataFrame([("h", "a", "b"), ("h", "a", "c"), ("h", "b", "a"), ("h", "c", "d"), ("h", "d", "e"), ("i", "x", "y")], "host string, page string, to string")
+    start = spark.createDataFrame([("h", "a")], "host string, page string")
+    assert {(r.page, r.level) for r in crawl.breadth_first(start, links, 3, 9).collect()} == {("a", 0), ("b", 1), ("c", 1)}
+    assert {(r.page, r.level) for r in crawl.breadth_first(start, links, 9, 2).collect()} == {("a", 0), ("b", 1), ("c", 1), ("d", 2)}
+
+
+def test_long_lineages_are_followed_to_their_end(spark):
+    n = 200  # longer than any fixed depth
+    families = spark.createDataFrame([(f"f{i}", "development" if i == n - 1 else "train", [f"f{i + 1}"] if i < n - 1 else [], True) for i in range(n)], "family string, split string, parents array<string>, lineage_reviewed boolean")
+    reach = provenance.ancestors(families)
+    assert reach.where("family = 'f0'").count() == n
+    docs = spark.createDataFrame([(1, "f0")], "doc_id long, family string")
+    assert not provenance.admitted(docs, families, reach).first().admitted
+
+
+def test_contained_items(spark):
+    rows = spark.createDataFrame([(1, "xx the quick brown fox jumps over it"), (2, "the quick brown"), (3, None), (4, "unquick brown fox jumpsuit")], "id long, t string")
+    items = spark.createDataFrame([(7, "quick brown fox jumps"), (8, "brown"), (9, "no such words here")], "item long, t string")
+    assert {(r.id, r.item) for r in similarity.contained_items(rows, items, "id", "t", "item", "t").collect()} == {(1, 7), (4, 7), (1, 8), (2, 8), (4, 8)}
+
+
+def test_membership_and_release(spark):
+    a, b = spark.createDataFrame([(1,), (2,), (2,)], "k long"), spark.createDataFrame([(2,), (3,)], "k long")
+    assert {(r.k, r.side) for r in builders.membership(a, b, "k").collect()} == {(1, "left"), (2, "both"), (3, "right")}
+    assert [(r.k, r.n) for r in builders.repeated_keys([a, b], "k").collect()] == [(2, 3)]
+
+
 def test_budget_skips_what_does_not_fit(spark):
     df = spark.createDataFrame([("q", 1, 5), ("q", 2, 9), ("q", 3, 4), ("r", 1, 20)], "g string, o long, s long")
     assert {(r.g, r.o) for r in select.skip_not_stop(df, "g", "o", "s", 10).collect()} == {("q", 1), ("q", 3)}

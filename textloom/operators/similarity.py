@@ -1,8 +1,9 @@
 """Set similarity: shingles, Jaccard joins, near-duplicate removal, exact deduplication.
 
 The joins are exact.  Rows with equal shingle sets are one class, joined once.
-Of a set with n shingles, ordered by rarity, only the first n - ceil(t*n) + 1
-go into the join: two sets of similarity t or more share one of them.
+Of a set with n shingles, in one order for all sets that has the common ones
+last, only the first n - ceil(t*n) + 1 go into the join: two sets of similarity
+t or more share one of them.
 """
 
 from __future__ import annotations
@@ -30,15 +31,21 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
+def shingle_hashes(tokens: Column, n: int) -> Column:
+    """Different hashes of the n-word windows, sorted; a shorter text is one window."""
+    whole = F.array(F.xxhash64(F.array_join(tokens, " ")))
+    each = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(n)]))
+    return F.sort_array(F.array_distinct(F.when(F.size(tokens) < n, whole).otherwise(each)))
+
+
 def hashed_sets(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
     """(id, members): the hashes of each text's shingles, sorted.
 
-    Written once to the shared folder: joins read it several times, and no later projection can move the tokenising
-    into the windows' lambda, where it would be done for each window.
+    Tokens, then hashes are written to the shared folder: joins read the hashes several times, and no projection can
+    move the tokenising into the windows' lambda, where it would be done for each window.
     """
-    tokens = df.select(F.col(key).alias("id"), words(F.coalesce(F.col(text), F.lit(""))).alias("w"))
-    hashed = tokens.select("id", F.transform(shingles(F.col("w"), n), lambda s: F.xxhash64(s)).alias("members"))
-    return saved(hashed.select("id", F.sort_array("members").alias("members")), "shingles")
+    tokens = saved(df.select(F.col(key).alias("id"), words(F.coalesce(F.col(text), F.lit(""))).alias("w")), "words")
+    return saved(tokens.select("id", shingle_hashes(F.col("w"), n).alias("members")), "shingles")
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
@@ -49,17 +56,29 @@ def shingle_sets(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
     return saved(sets.join(classes, "id").select("id", "class", "members"), "classes")
 
 
+def rarest_first(one: DataFrame, common: int = 16) -> DataFrame:
+    """(id, members) with each set's members in one order for all sets: those in up to `common` sets by hash, then the others by frequency.
+
+    Only the common ones, which a shared passage brings into very many sets, have to be told apart by their counts;
+    all others need no join.
+    """
+    each = one.select("id", F.explode("members").alias("s"))
+    frequent = saved(each.groupBy("s").agg(F.count("*").alias("df")).where(F.col("df") > common), "frequent")
+    own = each.join(frequent, "s").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "s"))), lambda x: x["s"]).alias("late"))
+    late = F.coalesce("late", F.array().cast("array<bigint>"))
+    return one.join(own, "id", "left").select("id", F.concat(F.array_except("members", late), late).alias("members"))
+
+
 def similar_pairs(sets: DataFrame, t: float = 0.8) -> DataFrame:
     """(a, b, similarity) of different classes (columns class, members), a < b, with Jaccard similarity of t or more."""
-    one = sets.where(F.col("id") == F.col("class")).select(F.col("class").alias("id"), "members", F.size("members").alias("n"))
-    frequency = one.select(F.explode("members").alias("s")).groupBy("s").agg(F.count("*").alias("df"))
-    ranked = one.select("id", "n", F.explode("members").alias("s")).join(frequency, "s")
-    place = Window.partitionBy("id").orderBy("df", "s")
-    prefix = ranked.withColumn("place", F.row_number().over(place)).where(F.col("place") <= F.col("n") - F.ceil(F.lit(t) * F.col("n") - F.lit(1e-9)) + 1).where("df > 1").select("id", "n", "s", "place")
+    one = sets.where(F.col("id") == F.col("class")).select(F.col("class").alias("id"), "members")
+    n = F.size("members")
+    first = F.slice("members", 1, (n - F.ceil(F.lit(t) * n - F.lit(1e-9)) + 1).cast("int"))
+    prefix = saved(rarest_first(one).select("id", n.alias("n"), F.posexplode(first).alias("place", "s")).withColumn("place", F.col("place") + 1), "prefix")
     side = lambda x: prefix.select("s", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"))
     most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")  # shared at most, by the places
     of_like_size = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(t) * F.greatest("na", "nb") - 1e-9)
-    meet = side("a").join(side("b"), "s").where(of_like_size & (most >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)).select("a", "b").distinct()
+    meet = saved(side("a").join(side("b"), "s").where(of_like_size & (most >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9)).select("a", "b").distinct(), "candidates")
     of = lambda name, side: one.select(F.col("id").alias(side), F.col("members").alias(name))
     both = meet.join(of("ma", "a"), "a").join(of("mb", "b"), "b")
     return both.select("a", "b", jaccard(F.col("ma"), F.col("mb")).alias("similarity")).where(F.col("similarity") >= t - 1e-12)
