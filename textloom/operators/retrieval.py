@@ -42,12 +42,31 @@ def bm25(post: DataFrame, queries: DataFrame, n_chunks: int | None = None) -> Da
     length = post.groupBy("chunk").agg(F.sum("tf").alias("dl"))
     totals = length.agg(F.avg("dl").alias("avgdl"), (F.lit(n_chunks) if n_chunks is not None else F.count("*")).cast("double").alias("n"))
     asked = queries.select("q", F.explode("terms").alias("term"))
-    found = post.join(asked.select("term").distinct(), "term", "left_semi")
+    found = post.join(asked.select("term").distinct(), "term", "left_semi").join(length, "chunk")
+    return scored(found, totals, asked)
+
+
+def scored(found: DataFrame, totals: DataFrame, asked: DataFrame) -> DataFrame:
+    """(q, chunk, score) from the asked terms' postings (term, chunk, tf, dl), one row (avgdl, n) and (q, term)."""
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.join(df, "term").join(length, "chunk").crossJoin(F.broadcast(totals)).select("term", "chunk", part.alias("part"))
-    return asked.join(scored, "term").groupBy("q", "chunk").agg(F.sum("part").alias("score"))
+    parts = found.join(df, "term").crossJoin(F.broadcast(totals)).select("term", "chunk", part.alias("part"))
+    return asked.join(parts, "term").groupBy("q", "chunk").agg(F.sum("part").alias("score"))
+
+
+def search(chunks: DataFrame, key: str, text: str, queries: DataFrame) -> DataFrame:
+    """bm25 of chunks that no index has been made of: only what the queries ask for is counted and shuffled.
+
+    Texts are cut into terms once; their number is a chunk's length, and of the terms themselves those leave their
+    task that a query has.
+    """
+    cut = chunks.select(F.col(key).alias("chunk"), matches(F.lower(F.coalesce(F.col(text), F.lit(""))), "[a-z0-9_]+").alias("w"))
+    tokens = saved(cut.where(F.size("w") > 0), "tokens")
+    totals = tokens.agg(F.avg(F.size("w")).alias("avgdl"), F.count("*").cast("double").alias("n"))
+    asked = queries.select("q", F.explode("terms").alias("term"))
+    each = tokens.select("chunk", F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    return scored(saved(each.groupBy("term", "chunk", "dl").agg(F.count("*").cast("double").alias("tf")), "found"), totals, asked)
 
 
 def ranked(scores: DataFrame, k: int, digits: int = 9) -> DataFrame:

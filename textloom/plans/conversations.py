@@ -71,6 +71,15 @@ def evidence_before_turn(spark: SparkSession, d: str) -> DataFrame:
     return K.evidence_before(table(spark, d, "conversations")).select("conv_id", "turn", F.array_join("evidence_ids", ",").alias("evidence"))
 
 
+@R.query("select conv_id, turn, case when conv_id % 5 = 0 then 'unknown_evidence' when conv_id % 7 = 0 then 'no_evidence' else '' end as gap from conversations where role = 'assistant' and turn > 0")
+def citation_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Every answer cites the turn before it, if any; every fifth conversation's something else too, every seventh's nothing."""
+    turns = K.evidence_before(table(spark, d, "conversations")).where("turn > 0")
+    one = F.slice("evidence_ids", 1, 1)
+    cited = F.when(F.col("conv_id") % 5 == 0, F.concat(one, F.array(F.lit("zzz")))).when(F.col("conv_id") % 7 == 0, F.array().cast("array<string>")).otherwise(one)
+    return turns.select("conv_id", "turn", K.cited_gaps(cited, F.col("evidence_ids"), F.lit(True)).alias("gap"))
+
+
 @R.query(
     r"""
 select conv_id, case when count(*) filter (where role = 'assistant') = 0 then 'no_answer' when count(*) filter (where role = 'system') > 0 then 'system'

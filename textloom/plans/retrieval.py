@@ -28,9 +28,8 @@ rk as (select *, row_number() over (partition by q order by round(score, 9) desc
 
 
 def _hits(spark: SparkSession, d: str, k: int) -> DataFrame:
-    post = J.postings(table(spark, d, "documents"), "doc_id", "text")
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), J.query_terms(F.col("text")).alias("terms"))
-    return J.ranked(J.bm25(post, queries), k)
+    return J.ranked(J.search(table(spark, d, "documents"), "doc_id", "text", queries), k)
 
 
 @R.query(f"with {BM25} select q, chunk, rank, round(score, 6) as score from rk where rank <= 8")

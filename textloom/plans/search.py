@@ -40,7 +40,7 @@ def pages(spark: SparkSession, d: str) -> DataFrame:
 
 def scores(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("q"), J.query_terms(F.col("text")).alias("terms"))
-    return J.bm25(saved(J.postings(chunks, "chunk", "text"), "postings"), queries)
+    return J.search(chunks, "chunk", "text", queries)
 
 
 def hits(spark: SparkSession, d: str, chunks: DataFrame, k: int) -> DataFrame:
