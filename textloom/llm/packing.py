@@ -106,7 +106,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 4096, id_col: str = "doc_i
     and its one or two badly filled last sequences are few in thousands.  Only piece rows (no ids) are shuffled, by a
     hash of the whole row.  A group is packed in runs of at most 4 * group_pieces, should equal rows crowd it.
     sequence_id is (group number + 1) << 40 plus a count within the group.  Null text is the empty document: end_id
-    alone.  Every id lies in exactly one piece, equal rows and null ids included; an empty table gives no row.
+    alone.  Every id lies in exactly one piece, equal rows and null ids included; an empty table gives no row.  Document ids
+    may be of any type that Spark can sort.
     """
     groups = max(1, -(-docs.count() // group_pieces))
     pieces = cut_documents(docs, tokenizer, size, id_col, text_col, split, end_id)

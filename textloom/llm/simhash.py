@@ -249,6 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal fingerprints are one node throughout, so exact copies cost nothing beyond their row.  Writes the
     fingerprints and each round of the grouping to the shared folder.  Null and empty texts share fingerprint 0 and
     are linked like any other; equal rows come back each; null ids are the smallest only where a group has no other.
+    Ids may be of any type with an order; an empty table gives no row.
     """
     return grouped_rows(docs, id_col, text_col, width, radius, *more).drop("root")
 
