@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions import text as T
 from textloom.operators import builders as N
-from textloom.operators import distill, segment, similarity
+from textloom.operators import distill, provenance, segment, similarity
 from textloom.plans.documents import SHINGLES, WORDS, shingle_rows
 from textloom.plans.registry import Registry
 from textloom.session import table
@@ -350,3 +350,19 @@ select doc_id, before is null or t is distinct from before as changed from b"""
 def changed_rows(spark: SparkSession, d: str) -> DataFrame:
     before = F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))
     return table(spark, d, "documents").withColumn("before", before).select("doc_id", (F.col("before").isNull() | ~F.col("text").eqNullSafe(F.col("before"))).alias("changed"))
+
+
+@R.query(
+    """
+with b as (select doc_id, case when doc_id % 10 = 0 then 'xx' else lang end as lang from documents where doc_id % 11 <> 0 union all select doc_id, lang from documents where doc_id % 13 = 0 and doc_id % 10 <> 0 and doc_id % 11 <> 0 union all select -1 - doc_id, lang from documents where doc_id < 3),
+n as (select doc_id, count(*) as n, max(lang) as lang from b group by doc_id)
+select coalesce(d.doc_id, n.doc_id) as doc_id, case when d.doc_id is null then 'only_right' when n.doc_id is null then 'only_left' when n.n > 1 then 'repeated' else 'differs' end as problem from documents d full join n on n.doc_id = d.doc_id
+where d.doc_id is null or n.doc_id is null or n.n > 1 or d.lang is distinct from n.lang"""
+)
+def strict_join(spark: SparkSession, d: str) -> DataFrame:
+    """A one-to-one join that must find nothing, over a cache some of whose rows are stale, gone, repeated or new."""
+    docs, i = table(spark, d, "documents").select("doc_id", "lang"), F.col("doc_id")
+    stale = docs.where(i % 11 != 0).select("doc_id", F.when(i % 10 == 0, "xx").otherwise(F.col("lang")).alias("lang"))
+    twice = docs.where((i % 13 == 0) & (i % 10 != 0) & (i % 11 != 0))
+    new = docs.where("doc_id < 3").select((-1 - i).alias("doc_id"), "lang")
+    return provenance.mismatches(docs, stale.union(twice).union(new), "doc_id", ["lang"])

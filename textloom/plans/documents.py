@@ -291,16 +291,31 @@ def doc_licences(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.size(F.array_intersect(T.words(t), F.array(*map(F.lit, ("the", "token", "apache", "license", "und", "que"))))).cast("long").alias("relevance"), t.rlike("(?i)licensed? under|all rights reserved").alias("boilerplate"), licence.alias("licence"))
 
 
-@R.query(
-    r"""
-with b as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '\n(?:[\t-\r ]*\n)+'), lambda x: trim(x, chr(10)) <> '') as bs from documents), p as (select doc_id, flatten(list_transform(bs, lambda b: list_transform(range(0, greatest(1, (length(b) + 1499) // 1500)), lambda i: substr(b, (1 + 1500 * i)::bigint, 1500)))) as ps from b),
-c as (select doc_id, list_reduce(list_transform(ps, lambda x: [x]), lambda a, x: case when length(a[-1]) + 2 + length(x[1]) <= 1500 then list_concat(a[1:-2], [a[-1] || chr(10) || chr(10) || x[1]]) else list_concat(a, x) end) as cs from p where len(ps) > 0)
-select doc_id, doc_id || '#' || (i - 1) as chunk_id, text from (select doc_id, unnest(cs) as text, generate_subscripts(cs, 1) as i from c)"""
-)
+def chunk_sql(limit: int, kept: str) -> str:
+    """Blank-line blocks (none of the texts has a fence) cut at limit and packed up to it; `kept` says which chunks stay."""
+    return rf"""
+with b as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '\n(?:[\t-\r ]*\n)+'), lambda x: trim(x, chr(10)) <> '') as bs from documents), p as (select doc_id, flatten(list_transform(bs, lambda b: list_transform(range(0, greatest(1, (length(b) + {limit - 1}) // {limit})), lambda i: substr(b, (1 + {limit} * i)::bigint, {limit})))) as ps from b),
+c as (select doc_id, list_reduce(list_transform(ps, lambda x: [x]), lambda a, x: case when length(a[-1]) + 2 + length(x[1]) <= {limit} then list_concat(a[1:-2], [a[-1] || chr(10) || chr(10) || x[1]]) else list_concat(a, x) end) as found from p where len(ps) > 0), k as (select doc_id, {kept} as cs from c)
+select doc_id, doc_id || '#' || (i - 1) as chunk_id, text from (select doc_id, unnest(cs) as text, generate_subscripts(cs, 1) as i from k)"""
+
+
+@R.query(chunk_sql(1500, "found"))
 def doc_chunks(spark: SparkSession, d: str) -> DataFrame:
     return segment.chunks(table(spark, d, "documents"), "doc_id", "text", 1500, cut_long=True)
 
 
+@R.query(chunk_sql(2200, "list_filter(found, lambda x: length(x) >= 200)"))
+def index_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """For an index: longer chunks, none under 200 characters."""
+    return segment.chunks(table(spark, d, "documents"), "doc_id", "text", 2200, cut_long=True, least=200)
+
+
+@R.query(chunk_sql(2200, "case when len(found) = 1 and length(found[1]) between 20 and 79 then found else list_filter(found, lambda x: length(x) >= 80) end"))
+def note_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """For users' notes: a single short one stays."""
+    return segment.chunks(table(spark, d, "documents"), "doc_id", "text", 2200, cut_long=True, least=80, single=20)
+
+
 @R.query(
     """
 with l as (select doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {'n': 0, 'open': length(x), 'longest': 0}) as l from documents),
