@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.text import matches
-from textloom.session import saved
+from textloom.session import saved, spread
 
 K1, B = 1.2, 0.75
 #: Words that queries leave out. Fixed values.
@@ -21,7 +21,8 @@ def query_terms(question: Column) -> Column:
 
 def postings(chunks: DataFrame, key: str, text: str, weight: float = 1.0) -> DataFrame:
     """(term, chunk, tf): tf is the number of occurrences times the field's weight."""
-    each = chunks.select(F.col(key).alias("chunk"), F.explode(matches(F.lower(F.coalesce(F.col(text), F.lit(""))), "[a-z0-9_]+")).alias("term"))
+    texts = spread(chunks.select(F.col(key).alias("chunk"), F.coalesce(F.col(text), F.lit("")).alias("t")))
+    each = texts.select("chunk", F.explode(matches(F.lower("t"), "[a-z0-9_]+")).alias("term"))
     return each.groupBy("term", "chunk").agg((F.count("*") * F.lit(weight)).alias("tf"))
 
 
@@ -61,7 +62,8 @@ def search(chunks: DataFrame, key: str, text: str, queries: DataFrame) -> DataFr
     Texts are cut into terms once; their number is a chunk's length, and of the terms themselves those leave their
     task that a query has.
     """
-    cut = chunks.select(F.col(key).alias("chunk"), matches(F.lower(F.coalesce(F.col(text), F.lit(""))), "[a-z0-9_]+").alias("w"))
+    texts = spread(chunks.select(F.col(key).alias("chunk"), F.coalesce(F.col(text), F.lit("")).alias("t")))
+    cut = texts.select("chunk", matches(F.lower("t"), "[a-z0-9_]+").alias("w"))
     tokens = saved(cut.where(F.size("w") > 0), "tokens")
     totals = tokens.agg(F.avg(F.size("w")).alias("avgdl"), F.count("*").cast("double").alias("n"))
     asked = queries.select("q", F.explode("terms").alias("term"))

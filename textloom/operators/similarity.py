@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.text import words
-from textloom.session import saved
+from textloom.session import saved, spread
 
 
 def shingles(tokens: Column, n: int = 3, short_windows: bool = True) -> Column:
@@ -44,7 +44,7 @@ def hashed_sets(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
     Tokens, then hashes are written to the shared folder: joins read the hashes several times, and no projection can
     move the tokenising into the windows' lambda, where it would be done for each window.
     """
-    tokens = saved(df.select(F.col(key).alias("id"), words(F.coalesce(F.col(text), F.lit(""))).alias("w")), "words")
+    tokens = saved(spread(df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))).select("id", words(F.col("t")).alias("w")), "words")
     return saved(tokens.select("id", shingle_hashes(F.col("w"), n).alias("members")), "shingles")
 
 
@@ -135,7 +135,7 @@ def contained_items(rows: DataFrame, items: DataFrame, key: str, text: str, item
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i)))
     cut = saved(items.select(F.col(item_key).alias("_item"), F.col(item_text).alias("_text"), words(F.col(item_text)).alias("w")).where(F.size("w") >= 4), "items")
     inner = cut.withColumn("w", F.slice("w", 2, F.size("w") - 2)).select("_item", F.explode(F.array_distinct(pairs(F.col("w")))).alias("p"))
-    tokens = saved(rows.select(F.col(key).alias("_row"), words(F.coalesce(F.col(text), F.lit(""))).alias("w")).where(F.size("w") >= 4), "words")
+    tokens = saved(spread(rows.select(F.col(key).alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("t"))).select("_row", words(F.col("t")).alias("w")).where(F.size("w") >= 4), "words")
     own = tokens.select("_row", F.explode(F.array_distinct(pairs(F.col("w")))).alias("p"))
     met = saved(own.join(inner.select("p").distinct(), "p", "left_semi"), "pairs")
     counts = inner.join(met.groupBy("p").agg(F.count("*").alias("n")), "p", "left")

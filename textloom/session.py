@@ -31,6 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt evenly to all cores, for work on texts that takes far longer than a shuffle of them.
+
+    Spark cuts files no finer than openCostInBytes, and never within a row group, so a table of less than so much for
+    each core may be read by a single task.  A larger one stays as it is.  The size is that of Spark's statistics.
+    """
+    spark = df.sparkSession
+    cores, least = spark.sparkContext.defaultParallelism, 4 << 20  # the default of spark.sql.files.openCostInBytes
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < cores * least
+    return df.repartition(cores) if small else df
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A new name in the folder that all executors share, spark.checkpoint.dir.
 
