@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.session import spread
+
 #: Words as the contracts state them: runs of anything but ASCII blanks.
 BLANK_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The same on UTF-8 bytes; the bytes of other characters are all above 0x7F.
@@ -83,12 +85,16 @@ def crc_mod(id_col: str, n: int) -> Column:
 
 
 def with_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    """The id and text columns alone, so that other columns can't clash; null text becomes empty."""
-    return docs.select(
+    """The id and text columns alone, so that other columns can't clash; null text becomes empty.
+
+    A small table, which Spark may read in a single task, is dealt to all cores.
+    """
+    own = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
         *more,
     )
+    return spread(own)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train: Column, id_col: str, text_col: str, label_col: str, sizes: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
