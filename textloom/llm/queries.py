@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bands, ctw, decontam, langid, linecrf, packing, pii, simhash, sstable, toxicity
-from .common import crc_mod, table
+from . import alignment, archive, bands, ctw, decontam, langid, linecrf, packing, pii, resampling, simhash, sstable, toxicity
+from .common import crc_mod, materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,10 +95,41 @@ def op10_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = alignment.align(table(spark, sf_dir, "documents"), first, second)
+    sha = F.when(F.col("n_groups") == 0, "").otherwise(F.sha2("groups", 256))
+    links, _ = materialize(aligned.withColumn("groups_sha256", sha).drop("groups"), "links")
+    width = len(alignment.encoder(second).bytes.size)
+    scored = alignment.score_links(links, alignment.pair_counts(links, width))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_web_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = archive.write_archive(table(spark, sf_dir, "pages"))
+    found = archive.captures(archive.read_archive(spark, written))
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP13_SQL = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+d as (select page_id, strlen(body) as payload_bytes, sha1(body) as payload_digest, max(page_id) over (partition by body) as last from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 1000 and page_id <> last then last end as refers_to
+from d
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_sorted_string_table, op2_toxicity, op3_decontamination, op4_packing, op5_simhash, op6_language_id, op7_context_tree, op8_line_crf, op9_personal_data, op10_compression_bands)
+    for f in (op1_sorted_string_table, op2_toxicity, op3_decontamination, op4_packing, op5_simhash, op6_language_id, op7_context_tree, op8_line_crf, op9_personal_data, op10_compression_bands, op11_token_alignment, op12_importance_resampling, op13_web_archive)
 }
 
-#: Tokenizers, XXH64, zstandard and trained models have no SQL in DuckDB; those queries are tested against brute force.
-SQL: dict[str, str] = {"op3_decontamination": OP3_SQL}
+#: Tokenizers, XXH64, crc32, zstandard and trained models have no SQL in DuckDB; those queries are tested against brute force.
+SQL: dict[str, str] = {"op3_decontamination": OP3_SQL, "op13_web_archive": OP13_SQL}
