@@ -24,6 +24,8 @@ from .tokens import CachedEncoder, strings_of
 
 #: Stands for a blank in the pieces of the second tokenizer.
 BLANK_MARK = "▁"
+#: Pieces encoded in one call: the libraries' results for a piece are far larger than its ids.
+CHUNKS = 2000
 
 
 def spans(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -73,8 +75,8 @@ def byte_level_chars() -> dict[str, int]:
 class ByteLevelEncoder(CachedEncoder):
     """Ids of byte-level BPE in which the names of special tokens are ordinary text."""
 
-    def __init__(self, path: str):
-        super().__init__(path, "byte_level")
+    def __init__(self, path: str, limit: int = 250_000):
+        super().__init__(path, "byte_level", limit)
         self.tokenizer.encode_special_tokens = True
         self.added, self.names, self.known = {}, None, {}
         byte = byte_level_chars()
@@ -86,6 +88,11 @@ class ByteLevelEncoder(CachedEncoder):
         return np.frombuffer(b"".join(found), "<u4").astype(np.int64), np.fromiter(map(len, found), np.int64, len(found)) >> 2
 
 
+    def _each(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        for i in range(0, len(pieces), CHUNKS):
+            yield from super()._each(pieces[i : i + CHUNKS])
+
+
 class PieceEncoder:
     """Ids of a sentence-piece model, remembering those of short chunks.
 
@@ -94,7 +101,7 @@ class PieceEncoder:
     whole texts.  The model puts a blank before a text; texts given to batch() have it already.
     """
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 250_000):
         import sentencepiece
 
         self.model, self.limit = sentencepiece.SentencePieceProcessor(model_file=path), limit
@@ -133,8 +140,8 @@ class PieceEncoder:
         found = list(map(known.get, chunks))
         new = [c for c, ids in zip(chunks, found, strict=True) if ids is None]
         fresh = {b" ": self.blank} if b" " in new else {}
-        for i in range(0, len(new), 20_000):
-            some = [c for c in new[i : i + 20_000] if c != b" "]
+        for i in range(0, len(new), CHUNKS):
+            some = [c for c in new[i : i + CHUNKS] if c != b" "]
             # the model's own blank is the chunk's first, or goes with a line end, which merges with nothing
             asked = [c[1:].decode() if c[0] == 32 else "\n" + c.decode() for c in some]
             for c, ids in zip(some, self.model.encode(asked, num_threads=1), strict=True):
@@ -232,7 +239,7 @@ def align(docs: DataFrame, first: str, second: str, id_col: str = "doc_id", text
     Null and empty texts, and those that a tokenizer doesn't give back byte for byte, have no tokens and empty lists.
     Repeated rows and null ids are rows like others; ids may be of any type; an empty table gives an empty one.
     """
-    arrow_limits(docs.sparkSession, 1024, 4)
+    arrow_limits(docs.sparkSession, 1024, 1)  # a byte of text takes about 60 of the arrays
     rows = with_text(docs, id_col, text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
