@@ -27,6 +27,8 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BREAK = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
 #: Bytes of a text cut into words at a time; cells counted at a time.
 SLICE, CELLS = 1 << 20, 1 << 22
+#: Cells after which a new block begins.
+BLOCK = 2048
 
 
 def feature_buckets(raw: bytes, buckets: int, longest: int = 3) -> Iterator[tuple[int, np.ndarray]]:
@@ -59,10 +61,11 @@ CSR = "bounds array<int>, buckets array<int>, counts array<int>"
 def count_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 10_000, longest: int = 3) -> DataFrame:
     """(ids, n_words, n_features, bounds, buckets, counts): the bucket counts of all documents, a block of them a row.
 
-    Row i of a block has buckets[bounds[i]:bounds[i + 1]], ascending, each as often as counts says.  A-Z are lower-cased;
-    words are runs of digits, a-z and characters beyond ASCII; features all runs of 1 to `longest` words, repeats
-    included, in the bucket of their crc32.  Null and empty texts are empty rows; repeated rows are rows each; an
-    empty table gives no block.  Ids may be of any type.
+    Row i of a block has buckets[bounds[i]:bounds[i + 1]], ascending, each as often as counts says.  A block begins
+    where BLOCK further cells are full, so that it has BLOCK and a row's cells at most: readers hold thousands of
+    blocks.  A-Z are lower-cased; words are runs of digits, a-z and characters beyond ASCII; features all runs of 1 to
+    `longest` words, repeats included, in the bucket of their crc32.  Null and empty texts are empty rows; repeated
+    rows are rows each; an empty table gives no block.  Ids may be of any type.
     """
     arrow_limits(docs.sparkSession, 256, 4)
     rows = with_text(docs, id_col, text_col)
@@ -70,24 +73,38 @@ def count_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, CELLS // buckets)
         for batch in batches:
-            n_words, parts, bounds = [], [], [np.zeros(1, np.int64)]
-            texts = batch.column(1)
+            if not batch.num_rows:
+                continue
+            n_words, parts, sizes = [], [], []
             for first in range(0, batch.num_rows, step):
-                some = texts.slice(first, step).to_pylist()
+                some = batch.column(1).slice(first, step).to_pylist()
                 cells = np.zeros(len(some) * buckets, np.int64)
                 for i, text in enumerate(some):
                     n_words.append(0)
+                    own = cells[i * buckets : (i + 1) * buckets]
                     for n, found in feature_buckets(text.encode(), buckets, longest):
                         n_words[-1] += n
-                        np.add(own := cells[i * buckets : (i + 1) * buckets], np.bincount(found, minlength=buckets), out=own)
+                        own += np.bincount(found, minlength=buckets)
                 at = np.flatnonzero(cells)
-                bounds.append(bounds[-1][-1] + np.searchsorted(at, np.arange(1, len(some) + 1) * buckets))
+                sizes.append(np.diff(np.searchsorted(at, np.arange(len(some) + 1) * buckets)))
                 parts.append((at % buckets, cells[at]))
-            ends = np.concatenate(bounds)
-            where, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 2
-            lists = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(np.diff(np.concatenate([[0], np.cumsum(counts)])[ends]), pa.int64()), *(pa.array(x, pa.int32()) for x in (ends, where, counts))]
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], names=["ids", "n_words", "n_features", "bounds", "buckets", "counts"])
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+            where, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            n_features = np.diff(np.concatenate([[0], np.cumsum(counts)])[ends])
+            # the rows at which a block begins, and the end
+            begins = np.concatenate([[0], np.flatnonzero(np.diff(ends[:-1] // BLOCK)) + 1, [len(ends) - 1]])
+            relative = np.concatenate([ends[a : b + 1] - ends[a] for a, b in zip(begins, begins[1:], strict=False)])
+
+            def lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
+                return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+            yield pa.RecordBatch.from_arrays(
+                [
+                    lists(begins, batch.column(0)), lists(begins, pa.array(n_words, pa.int64())), lists(begins, pa.array(n_features, pa.int64())),
+                    lists(begins + np.arange(len(begins)), pa.array(relative, pa.int32())), lists(ends[begins], pa.array(where, pa.int32())), lists(ends[begins], pa.array(counts, pa.int32())),
+                ],
+                names=["ids", "n_words", "n_features", "bounds", "buckets", "counts"],
+            )
 
     return rows.mapInArrow(count, f"ids array<{rows.schema['doc_id'].dataType.simpleString()}>, n_words array<long>, n_features array<long>, {CSR}")
 
@@ -123,11 +140,12 @@ def weights(matrix: DataFrame, gains: np.ndarray) -> DataFrame:
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = shared.value
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids, n_words, n_features, bounds, buckets, counts = (batch.column(j)[i].values for j in range(6))
-                products = np.concatenate([[0], np.cumsum(gain[buckets.to_numpy()] * counts.to_numpy())])
-                weight = np.diff(products[bounds.to_numpy()])
-                yield pa.RecordBatch.from_arrays([ids, n_words, n_features, pa.array(weight, pa.int64())], names=["doc_id", "n_words", "n_features", "weight"])
+            ids, n_words, n_features, bounds, buckets, counts = (c.flatten() for c in batch.columns)
+            n_bounds, n_cells = (c.value_lengths().to_numpy().astype(np.int64) for c in (batch.column(3), batch.column(4)))
+            places = bounds.to_numpy() + np.repeat(np.cumsum(n_cells) - n_cells, n_bounds)  # in the batch
+            products = np.concatenate([[0], np.cumsum(gain[buckets.to_numpy()] * counts.to_numpy())])
+            weight = np.delete(np.diff(products[places]), np.cumsum(n_bounds)[:-1] - 1)  # not from block to block
+            yield pa.RecordBatch.from_arrays([ids, n_words, n_features, pa.array(weight, pa.int64())], names=["doc_id", "n_words", "n_features", "weight"])
 
     return matrix.select("ids", "n_words", "n_features", "bounds", "buckets", "counts").mapInArrow(multiply, f"doc_id {kind}, n_words long, n_features long, weight long")
 
