@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
 from textloom.llm import queries, resampling
 
 from . import brute
@@ -74,5 +76,6 @@ def test_blocks_hold_every_count(edge, monkeypatch):
     matrix = resampling.count_matrix(edge, buckets=50).collect()
     assert sum(len(r.ids) for r in matrix) == edge.count()
     for r in matrix:
-        assert r.bounds[0] == 0 and r.bounds[-1] == len(r.buckets) == len(r.counts)
-        assert [sum(r.counts[a:b]) for a, b in zip(r.bounds, r.bounds[1:], strict=False)] == r.n_features
+        buckets, counts = np.frombuffer(r.buckets, resampling.BUCKET), np.frombuffer(r.counts, resampling.COUNT)
+        assert r.bounds[0] == 0 and r.bounds[-1] == len(buckets) == len(counts)
+        assert [sum(counts[a:b]) for a, b in zip(r.bounds, r.bounds[1:], strict=False)] == r.n_features

@@ -55,18 +55,34 @@ def feature_buckets(raw: bytes, buckets: int, longest: int = 3) -> Iterator[tupl
         yield len(words), np.fromiter(found, np.uint32, len(found)) % np.uint32(buckets)
 
 
-CSR = "bounds array<int>, buckets array<int>, counts array<int>"
+CSR = "bounds array<int>, buckets binary, counts binary"
+BUCKET, COUNT = np.dtype("<u2"), np.dtype("<u4")
+
+
+def packed(values: np.ndarray, ends: np.ndarray, kind: np.dtype) -> pa.BinaryArray:
+    """The values between the ends as little-endian bytes: a reader holds thousands of blocks, and lists take it six times as much."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * kind.itemsize).astype(np.int32)), pa.py_buffer(values.astype(kind))])
+
+
+def unpacked(column: pa.BinaryArray, kind: np.dtype) -> np.ndarray:
+    """All values of a column's blocks in a row."""
+    _, offsets, data = column.buffers()
+    first, last = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset)[[0, -1]].tolist()
+    return np.frombuffer(data, kind, (last - first) // kind.itemsize, first) if last > first else np.zeros(0, kind)
 
 
 def count_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 10_000, longest: int = 3) -> DataFrame:
     """(ids, n_words, n_features, bounds, buckets, counts): the bucket counts of all documents, a block of them a row.
 
-    Row i of a block has buckets[bounds[i]:bounds[i + 1]], ascending, each as often as counts says.  A block begins
+    Row i of a block has buckets[bounds[i]:bounds[i + 1]], ascending, each as often as counts says; both are
+    little-endian integers of 2 and 4 bytes, so there are 65,536 buckets at most.  A block begins
     where BLOCK further cells are full, so that it has BLOCK and a row's cells at most: readers hold thousands of
     blocks.  A-Z are lower-cased; words are runs of digits, a-z and characters beyond ASCII; features all runs of 1 to
     `longest` words, repeats included, in the bucket of their crc32.  Null and empty texts are empty rows; repeated
     rows are rows each; an empty table gives no block.  Ids may be of any type.
     """
+    if buckets > 1 << 16:
+        raise ValueError("at most 65,536 buckets")
     arrow_limits(docs.sparkSession, 256, 4)
     rows = with_text(docs, id_col, text_col)
 
@@ -101,7 +117,7 @@ def count_matrix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(
                 [
                     lists(begins, batch.column(0)), lists(begins, pa.array(n_words, pa.int64())), lists(begins, pa.array(n_features, pa.int64())),
-                    lists(begins + np.arange(len(begins)), pa.array(relative, pa.int32())), lists(ends[begins], pa.array(where, pa.int32())), lists(ends[begins], pa.array(counts, pa.int32())),
+                    lists(begins + np.arange(len(begins)), pa.array(relative, pa.int32())), packed(where, ends[begins], BUCKET), packed(counts, ends[begins], COUNT),
                 ],
                 names=["ids", "n_words", "n_features", "bounds", "buckets", "counts"],
             )
@@ -116,7 +132,7 @@ def column_sums(matrix: DataFrame, buckets: int) -> np.ndarray:
         total = np.zeros(buckets, np.int64)
         for batch in batches:
             # float64 sums of whole numbers are exact up to 2**53 and are cast for each batch
-            total += np.bincount(batch.column(0).flatten().to_numpy(), batch.column(1).flatten().to_numpy(), buckets).astype(np.int64)
+            total += np.bincount(unpacked(batch.column(0), BUCKET), unpacked(batch.column(1), COUNT), buckets).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
@@ -140,10 +156,12 @@ def weights(matrix: DataFrame, gains: np.ndarray) -> DataFrame:
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain = shared.value
         for batch in batches:
-            ids, n_words, n_features, bounds, buckets, counts = (c.flatten() for c in batch.columns)
-            n_bounds, n_cells = (c.value_lengths().to_numpy().astype(np.int64) for c in (batch.column(3), batch.column(4)))
+            ids, n_words, n_features, bounds = (c.flatten() for c in batch.columns[:4])
+            buckets, counts = unpacked(batch.column(4), BUCKET), unpacked(batch.column(5), COUNT)
+            n_bounds = batch.column(3).value_lengths().to_numpy().astype(np.int64)
+            n_cells = np.diff(np.frombuffer(batch.column(4).buffers()[1], np.int32, batch.num_rows + 1, 4 * batch.column(4).offset)) // BUCKET.itemsize
             places = bounds.to_numpy() + np.repeat(np.cumsum(n_cells) - n_cells, n_bounds)  # in the batch
-            products = np.concatenate([[0], np.cumsum(gain[buckets.to_numpy()] * counts.to_numpy())])
+            products = np.concatenate([[0], np.cumsum(gain[buckets] * counts.astype(np.int64))])
             weight = np.delete(np.diff(products[places]), np.cumsum(n_bounds)[:-1] - 1)  # not from block to block
             yield pa.RecordBatch.from_arrays([ids, n_words, n_features, pa.array(weight, pa.int64())], names=["doc_id", "n_words", "n_features", "weight"])
 
