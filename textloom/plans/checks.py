@@ -66,6 +66,50 @@ def syntax_check(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", D.syntax_problem(script).alias("problem"), D.other_scheduler(script).alias("other"))
 
 
+WORDS = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda w: len(w) > 3)"
+
+
+@R.query(
+    f"""
+with w as (select doc_id, {WORDS} as w from documents), u as (select doc_id, list_filter([w[1], w[2], w[3], w[4], w[6]], lambda x: x is not null) as u from w)
+select doc_id, array_to_string(list_sort(list_distinct(u)), ',') as used from u"""
+)
+def chained_options(spark: SparkSession, d: str) -> DataFrame:
+    """Options named by each document's words: in a directive, behind an unknown flag, in a chain and in a substitution.
+
+    The fifth is the started program's own, the seventh is in a here-document.
+    """
+    w = F.filter(T.matches(F.lower(F.coalesce("text", F.lit(""))), "[a-z]+"), lambda x: F.length(x) > 3)
+    name = lambda i, before="--": F.coalesce(F.concat(F.lit(before), F.get(w, F.lit(i))), F.lit(""))
+    script = joined("#SBATCH ", name(0), "=1\nsrun ", name(1), " ", name(2), "=4 ./a ", name(4), "\ncd x; [ -f \"$(pwd)/y\" ] && id=$(sbatch ", name(3), " j.sh) || cat <<END\nsbatch ", name(6), "\nEND\nif true; then sbatch ", name(5), "=\"a b\"; fi")
+    return table(spark, d, "documents").select("doc_id", F.array_join(D.used_options(joined("```bash\n", script, "\n```")), ",").alias("used"))
+
+
+CLUSTER = {
+    "options": {"sbatch": ["time", "nodes"], "srun": ["time", "nodes", "ntasks", "pty"], "sacct": ["format", "jobs"], "squeue": ["format", "me"], "mpirun": ["np", "map-by"]}, "job_commands": ["sbatch", "srun"], "plugin_options": ["ear"],
+    "one_dash": ["mpirun"], "subcommands": {"scontrol": ["show", "update"]}, "fields": {"sacct": [["--format", "-o"], ["JobID", "State", "NCPUS"]]}, "codes": {"squeue": [["--format", "-o"], "ijT"]},
+}
+
+
+@R.query(
+    f"""
+with w as (select doc_id, {WORDS} as w from documents), n as (select doc_id, w[1] as a, w[2] as b, w[3] as c, w[4] as d from w where len(w) > 3), k as (select doc_id, unnest([
+  case when not list_contains(list_transform(['time', 'nodes', 'ear'], lambda x: starts_with(x, a)), true) then 'sbatch: no option --' || a end,
+  case when not list_contains(list_transform(['jobid', 'state', 'ncpus'], lambda x: starts_with(x, b)), true) then 'sacct: no format field ' || chr(39) || b || chr(39) end,
+  case when c not in ('show', 'update') then 'scontrol: no command ' || chr(39) || c || chr(39) end,
+  case when not list_contains(list_transform(['np', 'map-by'], lambda x: starts_with(x, d)), true) then 'mpirun: no option --' || d end]) as p from n)
+select doc_id, string_agg(p, '; ' order by p) as problems from k where p is not null group by all
+union all select doc_id, '' from w where len(w) <= 3"""
+)
+def answer_commands(spark: SparkSession, d: str) -> DataFrame:
+    """Options, fields and subcommands named by each document's first words, held against a cluster's commands."""
+    w = F.filter(T.matches(F.lower(F.coalesce("text", F.lit(""))), "[a-z]+"), lambda x: F.length(x) > 3)
+    a, b, c, e = (F.get(w, F.lit(i)) for i in range(4))
+    script = joined("#SBATCH --ear=on --", a, " 3\njid=$(sbatch -N 1 --time=5 j.sh); sacct -j 1 --format=JobID%12,NCPU,", b, "\nsrun -n 8 --nod 2 mpirun -np 2 -", e, " x ./app --own\nwatch -n 5 /usr/bin/scontrol -o ", c, ' job <jobid>\nsqueue -o "%.18i %.9j"')
+    answer = F.when(F.size(w) > 3, joined("Use `scontrol none`:\n```bash\n", script, "\n```")).otherwise(F.lit("scontrol none"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(D.answer_problems(answer, CLUSTER), "; ").alias("problems"))
+
+
 HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 
 
