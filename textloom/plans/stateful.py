@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from textloom.functions.canonical import json_digest
 from textloom.operators import replay as P
 from textloom.plans.registry import Registry
-from textloom.session import table
+from textloom.session import fresh_path, table
+from textloom.streaming.sessions import rocksdb, session_memory
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -66,3 +67,32 @@ def job_replay(spark: SparkSession, d: str) -> DataFrame:
     claim = F.when(k % 2 == 0, F.concat(F.lit('{"state": "PENDING", "job_id": "'), job, F.lit('"}'))).otherwise(F.concat(F.lit('{ "job_id":"'), job, F.lit('", "found" :false}')))
     calls = table(spark, d, "events").select("event_id", "user_id", "ts", tool.alias("tool"), given.alias("arguments"), F.when(F.col("event_type") == "view", claim).alias("stored"))
     return P.replay_calls(calls, ["user_id"], ["ts", "event_id"], ["event_id"]).select("event_id", "result", "matches")
+
+
+LIMIT = 1500
+MEMORY = f"""
+with recursive t as (select conv_id, turn, role, coalesce(length(text), 0)::bigint as chars, row_number() over (partition by conv_id order by turn) as i from conversations where role <> 'system'),
+a as (select conv_id, list((i, turn, role, chars) order by i) as m from t group by all),
+f as (select conv_id, 0::bigint as i, 1::bigint as start from a
+  union all
+  select conv_id, i + 1, coalesce(list_filter(range(start, i + 2), lambda p: (p = start or m[p][3] = 'user') and list_sum(list_transform(m[p:i + 1], lambda x: x[4])) <= {LIMIT})[1], i + 2)
+  from f join a using (conv_id) where i < len(m))
+select conv_id, m[i][2] as turn, case when start <= i then m[start][2] end as first_kept, greatest(0, i - start + 1)::bigint as n_kept, coalesce(list_sum(list_transform(m[start:i], lambda x: x[4])), 0)::bigint as chars_kept from f join a using (conv_id) where i > 0
+"""
+
+
+@R.query(MEMORY)
+def session_states(spark: SparkSession, d: str) -> DataFrame:
+    """What each conversation remembers after each message, streamed in three runs over one checkpoint.
+
+    Each run is a restart: it finds the earlier turns in state only.
+    """
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    at = fresh_path(spark, "sessions")
+    for where in ("turn < 2", "turn between 2 and 4", "turn > 4"):
+        turns.where(where).write.mode("append").parquet(f"{at}/in")
+        stream = session_memory(spark.readStream.schema(turns.schema).parquet(f"{at}/in"), LIMIT)
+        with rocksdb(spark):
+            run = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+            run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MEMORY = "conv_id {id}, turn long, first_kept long, n_kept long, chars_kept long"
@@ -61,6 +62,13 @@ def session_memory(turns: DataFrame, limit: int = 24_000, idle_ms: int | None =
     )
 
 
-def rocksdb(spark) -> None:
-    """State of transformWithState lives in RocksDB, with its changes in the checkpoint."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """For streams started inside: state of transformWithState lives in RocksDB, with its changes in the checkpoint."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
