@@ -159,6 +159,15 @@ def test_decontamination_of_awkward_rows(spark, edge, empty, filter_bits):
     assert len(clean) == edge.count() and not any(r.contaminated for r in clean)
 
 
+def test_a_long_quoted_passage(spark):
+    """20,000 words of an item within a document: every word of it is hit, and no stretch's words are copied for each find."""
+    passage = [f"p{i * i % 7919}q{i}" for i in range(20_000)]
+    items = spark.createDataFrame([(1, " ".join(passage))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "before " + " ".join(passage) + " after"), (2, "clean words alone"), (3, " ".join(passage[100:112])), (4, " ".join(passage[100:113]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.decontaminate(docs, items).collect()}
+    assert got == {1: (20_002, 20_000, ["1"]), 2: (3, 0, []), 3: (12, 0, []), 4: (13, 13, ["1"])}
+
+
 def test_op5_against_all_pairs(spark, texts):
     ids = sorted(texts)
     prints = [brute.simhash(texts[i]) for i in ids]

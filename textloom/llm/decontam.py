@@ -171,7 +171,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     scanned, _ = materialize(rows.mapInArrow(scan, f"doc_id {id_kind}, row long, n_words long, parts array<struct<at int, words array<string>, found array<struct<h long, place int>>>>"), "scanned")
     part = scanned.select("row", "n_words", F.explode("parts").alias("part"))
-    seen = part.select("row", "n_words", "part.at", "part.words", F.explode("part.found").alias("x")).select("row", "n_words", "at", F.col("words").alias("own"), "x.h", F.col("x.place").alias("own_place"))
+    seen = part.select("row", "n_words", "part.at", F.explode("part.found").alias("x")).select("row", "n_words", "at", "x.h", F.col("x.place").alias("own_place"))
     counts = part.select(F.explode("part.found.h").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     ranked = shingles.join(counts, "h", "left").withColumn("rarity", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "place"))
     prefix = ranked.groupBy("words", "size").agg(F.min("rarity").alias("rare"), F.first("items").alias("items")).where(F.col("rare.n") > 0)
@@ -179,7 +179,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     start = F.col("own_place") - F.col("place")
     bounded = seen.join(rarest, "h").where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
-    exact = bounded.where(F.array_join(F.slice("own", start - F.col("at") + 1, F.col("size")), " ") == F.col("words"))
+    # a stretch's words meet what was found in it once, not once for each find
+    found_in = bounded.groupBy("row", "at").agg(F.collect_list(F.struct(start.alias("start"), "size", "words", "items")).alias("finds"))
+    stretch = found_in.join(part.select("row", "part.at", F.col("part.words").alias("own")), ["row", "at"])
+    same = F.filter("finds", lambda x: F.array_join(F.slice("own", x["start"] - F.col("at") + 1, x["size"]), " ") == x["words"])
+    exact = stretch.select("row", F.explode(same).alias("x")).select("row", "x.start", "x.size", "x.items")
+    start = F.col("start")
     hits = exact.groupBy("row").agg(F.array_sort(F.collect_set(F.struct(start.alias("a"), (start + F.col("size")).alias("b")))).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     nothing = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("places", nothing, lambda x, p: F.struct(F.greatest(x["end"], p["b"]).alias("end"), (x["n"] + F.greatest(F.lit(0), p["b"] - F.greatest(x["end"], p["a"]))).alias("n")))
