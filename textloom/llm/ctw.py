@@ -284,15 +284,26 @@ def by_branch(cells: DataFrame) -> DataFrame:
 def mix_top(cell_counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(CLASSES**TOP, 255) each: what the contexts of up to TOP classes add to their branches' estimates, and the share left."""
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in in_chunks(batches):
-            some = Branches(chunk.column("cell").to_numpy(), chunk.column("n").to_numpy())
-            parts = np.stack([x.astype(float) for x in some.sums], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(some.roots, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["root", "sums"])
-
+    def added(rows: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """One row a root, of which there are CLASSES**TOP at most."""
+        total: dict[int, np.ndarray] = {}
+        for roots, parts in rows:
+            for root, part in zip(roots.tolist(), parts, strict=True):
+                total[root] = total[root] + part if root in total else part
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([TaskContext.get().partitionId()] * len(total), pa.int64()), pa.array([p.tobytes() for p in total.values()], pa.binary())], names=["root", "part", "sums"])
+
+    def of_branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (Branches(chunk.column("cell").to_numpy(), chunk.column("n").to_numpy()) for chunk in in_chunks(batches))
+        yield added((b.roots, np.stack([x.astype(float) for x in b.sums], 1)) for b in each)
+
+    def of_roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield added((b.column(0).to_numpy(), [np.frombuffer(x).reshape(3, 255) for x in b.column(2).to_pylist()]) for b in batches)
+
+    schema = "root long, part long, sums binary"
+    parts = by_branch(cell_counts).mapInArrow(of_branches, schema)
     total = np.zeros((CLASSES**TOP, 3, 255))
-    for r in by_branch(cell_counts).mapInArrow(sums, "root long, sums binary").toLocalIterator():
-        total[r.root] += np.frombuffer(r.sums).reshape(3, 255)
+    for r in parts.repartition("root").sortWithinPartitions("root", "part").mapInArrow(of_roots, schema).collect():  # 6 MB
+        total[r.root] = np.frombuffer(r.sums).reshape(3, 255)
     zeros, ones, below = total[:, 0], total[:, 1], total[:, 2]
     levels = []
     for _ in range(TOP + 1):
