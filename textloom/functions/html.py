@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.functions.urls import resolved
+
 
 def title(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
@@ -38,16 +40,18 @@ def links(html: Column) -> Column:
     return F.filter(found, lambda u: (u != "") & ~u.rlike(r"(?i)^(?:mailto|javascript|tel):|^#"))
 
 
-def resolve(base: Column, link: Column) -> Column:
-    """Absolute URL of a link found on the page base."""
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), r"[^/]*$", "")
-    return (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), link))
-    )
+def links_of(html: Column, url: Column) -> Column:
+    """Absolute URLs that a page leads to, in order: its links, then where it forwards to (meta refresh).
+
+    They are relative to the page's base element, which itself is to the page's URL.
+    """
+    attribute = lambda text, name: F.regexp_replace(F.regexp_extract(text, rf"(?is)\b{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1), "[\"']", "")
+    own = attribute(F.regexp_extract(html, r"(?is)<base\b[^>]*>", 0), "href")
+    base = F.when(own == "", url).otherwise(resolved(url, own))
+    refresh = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0)), lambda m: attribute(m, "http-equiv").rlike("(?i)^refresh$"))
+    to = F.filter(F.transform(refresh, lambda m: F.trim(F.regexp_replace(F.regexp_extract(m, r"(?is)\burl\s*=\s*[\"']?([^\s\"'>]+)", 1), "[\"']", ""))), lambda u: u != "")
+    inside = F.regexp_replace(html, r"(?is)<base\b[^>]*>", "")
+    return F.transform(F.concat(links(inside), to), lambda u: resolved(base, u))
 
 
 #: One lexical unit of a page: a comment or declaration, a script or style with its content, or a tag.
@@ -55,7 +59,7 @@ _UNIT = re.compile(r"(?is)<!--.*?(?:-->|$)|<![^>]*>|<(script|style)\b[^>]*>.*?(?
 _ROLE_MAIN = re.compile(r"(?i)\brole\s*=\s*[\"']?main\b")
 #: Elements without content, elements left out with all they hold, and what starts a new block, with its mark.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-LEFT_OUT = frozenset("head script style nav header footer svg button form".split())
+LEFT_OUT = frozenset(("head", "script", "style", "nav", "header", "footer", "svg", "button", "form"))
 BLOCKS = {f"h{n}": "#" * n + " " for n in range(1, 7)} | {"li": "- "} | dict.fromkeys("p div section article main body table tr ul ol dl dt dd blockquote br hr td th pre aside figure".split(), "")
 
 

@@ -50,3 +50,38 @@ def in_scope(url: Column, prefixes: list[str], exclude: str = r"(?i)\.(?:png|jpe
     for p in prefixes:
         under = under | bare.startswith(p)
     return under & ~F.coalesce(path(url).rlike(exclude), F.lit(False))
+
+
+#: Scheme, authority, path, query and fragment of a URL or of a reference to one.
+PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def without_dots(path: Column) -> Column:
+    """The path with "." dropped and ".." taking the segment before it away, by a fold over its segments."""
+    segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+    empty = F.array().cast("array<string>")
+    # the empty segment before the first slash stays
+    back = lambda done: F.when(F.size(done) > 1, F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))).otherwise(done)
+    done = F.aggregate(segments, empty, lambda acc, s: F.when(s == "..", back(acc)).when(s == ".", acc).otherwise(F.array_append(acc, s)))
+    return F.array_join(F.when(last.isin(".", ".."), F.array_append(done, F.lit(""))).otherwise(done), "/")
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """The absolute URL of a reference found at base, without its fragment; null for null.
+
+    As RFC 3986 has it, but that references which name a host keep their dots, and empty segments within a relative
+    path go.
+    """
+    part = lambda text, i: F.regexp_extract(text, PARTS, i)
+    ref = F.regexp_replace(F.trim(link), "#.*$", "")
+    scheme, authority, path = (part(ref, i) for i in (1, 2, 3))
+    of_base = part(base, 3)
+    folder = F.when((of_base == "") & (part(base, 2) != ""), "/").otherwise(F.regexp_replace(of_base, r"[^/]*$", ""))
+    whole = F.when(path.startswith("/"), path).otherwise(F.regexp_replace(F.concat(folder, path), "(?<=.)/+(?=/)|(?<=^)/+(?=/)", ""))
+    query = lambda text: F.when(text.rlike(r"^[^?#]*\?"), F.concat(F.lit("?"), part(text, 4))).otherwise("")
+    head = F.concat(F.when(scheme != "", scheme).otherwise(part(base, 1)), F.lit("://"), F.when(authority != "", authority).otherwise(part(base, 2)))
+    same = (path == "") & (authority == "")
+    return F.when(scheme != "", ref).otherwise(
+        F.concat(head, F.when(same, of_base).when(authority != "", path).otherwise(without_dots(whole)), F.when(same & ~ref.contains("?"), query(base)).otherwise(query(ref)))
+    )

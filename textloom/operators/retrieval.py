@@ -11,7 +11,10 @@ from textloom.session import saved, spread
 
 K1, B = 1.2, 0.75
 #: Words that queries leave out. Fixed values.
-STOP_WORDS = ("the", "and", "for", "with", "that", "this", "from", "are", "was", "what", "how", "can", "does", "which", "when", "where", "you", "your")
+STOP_WORDS = (
+    "the", "and", "for", "this", "that", "with", "from", "does", "what", "how", "can", "are", "you", "your",
+    "want", "have", "has", "job", "slurm", "when", "which", "would", "should",
+)
 
 
 def query_terms(question: Column) -> Column:

@@ -110,3 +110,17 @@ def page_first_by_key(spark: SparkSession, d: str) -> DataFrame:
 
     key = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace("url", "[?#].*$", "")), "^https?://", ""), r"^www\.", ""), "/+$", "")
     return first_by(table(spark, d, "pages").withColumn("k", key), ["k"], [F.length("url"), F.col("page_id")]).select("page_id", "url")
+
+
+@R.query(
+    r"""
+with p as (select page_id, html, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) as root, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '[^/]*$', '') as own from pages),
+b as (select *, case when own = '' then '/' else own end as folder from p), f as (select *, case when page_id % 3 = 0 then case when folder = '/' then '/' else regexp_replace(folder, '[^/]+/$', '') end || 'v/' else folder end as base from b),
+l as (select page_id, root, base, list_filter(list_transform(regexp_extract_all(html, '(?i)\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1), lambda u: regexp_replace(u, '["'']', '', 'g')), lambda u: u <> '' and not regexp_matches(u, '(?i)^(?:mailto|javascript|tel):|^#')) as u from f)
+select page_id, array_to_string(list_transform(u, lambda x: regexp_replace(case when regexp_matches(x, '^[a-z]+:') then x when starts_with(x, '/') then root || x else root || base || x end, '#.*$', '')) || [root || base || 'end?p=1'], ' ') as targets from l"""
+)
+def page_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Where pages lead: links, relative to a base element on every third page, and a forward with dot segments."""
+    own = F.when(F.col("page_id") % 3 == 0, '<base href="../v/./">').otherwise("")
+    html = F.concat(own, "html", F.lit("<meta http-equiv='Refresh' content='0; url=./next/../end?p=1#x'>"))
+    return table(spark, d, "pages").select("page_id", F.array_join(H.links_of(html, F.col("url")), " ").alias("targets"))

@@ -32,15 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small table dealt evenly to all cores, for work on texts that takes far longer than a shuffle of them.
+    """The table dealt evenly to as many partitions as the session's textloom.partitions says; unset, it stays as read.
 
-    Spark cuts files no finer than openCostInBytes, and never within a row group, so a table of less than so much for
-    each core may be read by a single task.  A larger one stays as it is.  The size is that of Spark's statistics.
+    For a table in few row groups, which few tasks would read, before work on its texts that takes far longer than a
+    shuffle of them.  Tables of many files need none.
     """
-    spark = df.sparkSession
-    cores, least = spark.sparkContext.defaultParallelism, 4 << 20  # the default of spark.sql.files.openCostInBytes
-    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < cores * least
-    return df.repartition(cores) if small else df
+    parts = df.sparkSession.conf.get("textloom.partitions", None)
+    return df.repartition(int(parts)) if parts else df
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
