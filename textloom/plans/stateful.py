@@ -9,6 +9,7 @@ from textloom.functions.canonical import json_digest
 from textloom.operators import replay as P
 from textloom.plans.registry import Registry
 from textloom.session import fresh_path, table
+from textloom.sources.seen import SeenSet
 from textloom.streaming.sessions import rocksdb, session_memory
 
 R = Registry()
@@ -96,3 +97,21 @@ def session_states(spark: SparkSession, d: str) -> DataFrame:
             run = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
             run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@R.query(
+    """
+with r as (select doc_id, sha256(coalesce(text, '')) as sha, case when doc_id % 10 = 0 then 0 else 1 + doc_id % 3 end as run from documents),
+o as (select *, min((run, doc_id)) over (partition by sha) as f, min(case when run = 0 then 'old:' || doc_id end) over (partition by sha) as old from r)
+select doc_id, run, case when old is not null then old when (run, doc_id) <> f then f[2]::varchar end as seen from o where run > 0"""
+)
+def seen_over_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Three runs that admit each text once, after an old archive: which documents are new, and where the others were seen."""
+    docs = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    seen, out = SeenSet(spark, fresh_path(spark, "seen"), 1), None
+    seen.absorb(docs.where("doc_id % 10 = 0"), ["sha"], F.col("doc_id"), 0)
+    for run in (1, 2, 3):
+        own = docs.where(F.col("doc_id") % 10 != 0).where(F.col("doc_id") % 3 == run - 1)
+        got = seen.admit(own, F.col("sha"), ["doc_id"], F.col("doc_id"), run).select("doc_id", F.lit(run).alias("run"), "seen")
+        out = got if out is None else out.unionByName(got)
+    return out
