@@ -97,6 +97,12 @@ def test_manual_pages():
     assert roff_to_markdown(None) == "" and roff_to_markdown(".nf\nopen") == "```\nopen\n```"
 
 
+def test_manual_pages_keep_their_text():
+    assert roff_to_markdown('.TH X 1\n.SH "SEE ALSO"\n.BR squeue (1),\n.IR file .txt\nand \\(em \\[aq]x\\(aq\\e \\-\\-all') == "## SEE ALSO\n\n**squeue**(1), *file*.txt and — 'x'\\ --all"
+    assert roff_to_markdown(".TP 4\n.BR \\-n , \" --name \" =\\fIx\\fR\nThe name.\n.IP\nMore.\n.PP\nRest") == "**-n, --name =*x***\n\nThe name.\n\nMore.\n\nRest"
+    assert roff_to_markdown(".EX\na \\-b\n.B c\n.EE\n.IP \\(bu 2\none\n.IP term\ntwo\n.Dd words kept\n'\\\" gone\n.\nend") == "```\na -b\n.B c\n```\n\none\n\n**term**\n\ntwo words kept end"
+
+
 def test_json_helpers():
     assert numbers_of({"a": {"b": 1, "c": True, "d": "x"}, "e": 2.5, "f": [1]}) == {"a.b": 1.0, "e": 2.5}
     assert first_call('{"name": "rm", "arguments": {}} {"name": "ls", "arguments": 3} ls()', None, "ls,ps") == '{"name":"ls","arguments":{}}'

@@ -6,7 +6,7 @@ import re
 import shlex
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -151,6 +151,31 @@ def problems_of(text: str | None, spec: dict) -> list[str]:
     return sorted(found)
 
 
+def check_of(text: str | None, allowed: frozenset[str], spec: dict) -> tuple[int, int, bool, int, bool]:
+    """(options, options not allowed, each as often as it is used; whether shell code is whole; command problems; passed)."""
+    used = option_runs(text or "")
+    bad = sum(o not in allowed for o in used)
+    whole = not any(read_script(part).problem for part in re.findall(r"(?s)```(?:bash|sh|shell|slurm)[^\n]*\n(.*?)```", text or ""))
+    problems = len(problems_of(text, spec))
+    return len(used), bad, whole, problems, bad == 0 and whole and problems == 0
+
+
+def check_summary(answers: DataFrame, model: str, text: str, allowed: list[str], spec: dict) -> DataFrame:
+    """(model, answers, check_pass_rate, bad_flag_rate, answers_with_bad_flags, answers_with_command_problems).
+
+    Each answer is checked where it is; a row a model and task is all that is shuffled.  The rate of bad options is 0
+    without any option.
+    """
+    known = frozenset(allowed)
+    kind = "n int, bad int, whole boolean, problems int, passed boolean"
+    check = F.pandas_udf(lambda texts: pd.DataFrame([check_of(t, known, spec) for t in texts], columns=["n", "bad", "whole", "problems", "passed"]), kind)
+    checked = answers.select(F.col(model).alias("model"), check(F.col(text)).alias("c")).select("model", "c.*")
+    return checked.groupBy("model").agg(
+        F.count("*").alias("answers"), F.avg(F.col("passed").cast("int")).alias("check_pass_rate"), F.coalesce(F.try_divide(F.sum("bad"), F.sum("n")), F.lit(0.0)).alias("bad_flag_rate"),
+        F.count_if(F.col("bad") > 0).alias("answers_with_bad_flags"), F.count_if(F.col("problems") > 0).alias("answers_with_command_problems"),
+    )
+
+
 def values_of(words: list[str], names: tuple[str, ...]) -> list[str]:
     """The first value given to one of these options, --name=value or a word of its own."""
     for i, word in enumerate(words):

@@ -110,6 +110,29 @@ def answer_commands(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(D.answer_problems(answer, CLUSTER), "; ").alias("problems"))
 
 
+FAMILIAR = ("with", "that", "nicht", "dans", "pour", "this", "from", "eine", "elle", "have", "they", "sich", "über", "les", "the", "time")
+
+
+@R.query(
+    f"""
+with w as (select doc_id, source, n_chars, {WORDS} as w from documents), u as (select source, n_chars % 5 <> 0 as whole, list_filter([w[1], w[2]], lambda x: x is not null) as u, w[1] as a from w),
+c as (select *, len(u) as n, len(list_filter(u, lambda o: o not in {FAMILIAR})) as bad, a is not null and not (starts_with('time', a) or starts_with('nodes', a) or starts_with('ear', a)) as wrong from u)
+select source as model, count(*) as answers, round(avg((bad = 0 and whole and not wrong)::int), 9) as check_pass_rate, round(coalesce(sum(bad) / nullif(sum(n), 0)::double, 0), 9) as bad_flag_rate,
+       count(*) filter (bad > 0) as answers_with_bad_flags, count(*) filter (wrong) as answers_with_command_problems from c group by source"""
+)
+def model_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of answers made from each document's first two words, summed up by source as the model that gave them.
+
+    A few words are allowed as options; every fifth length leaves a block open.
+    """
+    w = F.filter(T.matches(F.lower(F.coalesce("text", F.lit(""))), "[a-z]+"), lambda x: F.length(x) > 3)
+    name = lambda i, before: F.coalesce(F.concat(F.lit(before), F.get(w, F.lit(i))), F.lit(""))
+    script = joined(name(0, "#SBATCH --"), "\nif cd x; then salloc ", name(1, "--"), " -- ./a --own", F.when(F.col("n_chars") % 5 == 0, "").otherwise("; fi"), "\n")
+    docs = table(spark, d, "documents").select("source", joined("So:\n```bash\n", script, "```").alias("answer"))
+    found = D.check_summary(docs, "source", "answer", list(FAMILIAR), CLUSTER)
+    return found.select("model", "answers", *[F.round(c, 9).alias(c) for c in ("check_pass_rate", "bad_flag_rate")], "answers_with_bad_flags", "answers_with_command_problems")
+
+
 HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1))"
 
 
