@@ -261,3 +261,23 @@ def test_streams(spark, tmp_path):
     assert sorted(r.t for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == ["a", "b"]
     R.start_units(read(), f"file://{tmp_path}/units", f"file://{tmp_path}/ck2").awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/units").count() == 3
+
+
+def test_numbers_within_groups_over_many_ranges(spark):
+    """A group over several ranges, groups within one, null groups and a range that ends with its group."""
+    from textloom.operators.select import numbers_within
+
+    rows = [("hot", i) for i in range(400)] + [(f"g{i % 30}", 1000 + i) for i in range(200)] + [(None, 5000 + i) for i in range(50)] + [("last", 9)]
+    df = spark.createDataFrame(rows, "g string, i long")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r.g or "", r.i, r.number) for r in numbers_within(df, ["g"], ["i"]).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    seen, want = {}, []
+    for g, i in sorted((g or "", i) for g, i in rows):
+        want.append((g, i, seen.get(g, 0)))
+        seen[g] = seen.get(g, 0) + 1
+    assert got == want

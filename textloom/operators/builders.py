@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.text import hash_order
+from textloom.operators.select import numbers_within
 
 
 def membership(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -71,7 +72,8 @@ def quota_bank(tasks: DataFrame, family: str, key: str, quotas: dict[str, int],
     quota = F.create_map(*[F.lit(v) for item in quotas.items() for v in item])
     kept = tasks.where(~excluded & F.map_contains_key(quota, F.col(family)))
     w = Window.partitionBy(family).orderBy(hash_order(F.col(key), salt=salt), key)
-    return kept.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.element_at(quota, F.col(family))).drop("_n")
+    # the largest quota lets each task cut its families before the shuffle
+    return kept.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(quotas.values())).where(F.col("_n") <= F.element_at(quota, F.col(family))).drop("_n")
 
 
 def exposure(rows: DataFrame, key: str, checks: dict[str, DataFrame]) -> DataFrame:
@@ -99,8 +101,8 @@ def conflicting(registries: DataFrame, name: str, definition: str) -> DataFrame:
 
 def source_lines(rows: DataFrame, origin: str, order: list[str], key: str) -> DataFrame:
     """(key, origin, line, digest): line number within the origin, in order."""
-    w = Window.partitionBy(origin).orderBy(*order)
-    return rows.select(key, origin, F.row_number().over(w).cast("long").alias("line"), F.sha2(F.concat_ws("|", *rows.columns), 256).alias("digest"))
+    own = rows.withColumn("digest", F.sha2(F.concat_ws("|", *rows.columns), 256))
+    return numbers_within(own, [origin], order, "line").select(key, origin, (F.col("line") + 1).alias("line"), "digest")
 
 
 def within_coverage(rows: DataFrame, left: str, right: str, least: float) -> DataFrame:

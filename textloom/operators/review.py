@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from textloom.operators.select import numbers_within
 
 
 def segments_cover(text: Column, segments: Column) -> Column:
@@ -82,7 +83,7 @@ def first_passing(samples: DataFrame, group: str, number: str, passed: Column) -
 def permuted(candidates: DataFrame, group: str, key: str, salt: str) -> DataFrame:
     """Candidates with their place (from 0) in a permutation that depends on group and salt alone."""
     order = F.md5(F.concat_ws("|", F.lit(salt), F.col(group).cast("string"), F.col(key).cast("string")))
-    return candidates.withColumn("place", (F.row_number().over(Window.partitionBy(group).orderBy(order, key)) - 1).cast("long"))
+    return numbers_within(candidates.withColumn("_order", order), [group], ["_order", key], "place").drop("_order")
 
 
 def rating(share: Column, ran: Column, partly: float = 0.5) -> Column:

@@ -66,6 +66,26 @@ def dense_numbers(df: DataFrame, order: list[str], name: str = "number") -> Data
     return prefix_sums(df, order, F.lit(1), name)
 
 
+def numbers_within(df: DataFrame, groups: list[str], order: list[str], name: str = "number") -> DataFrame:
+    """Rows numbered from 0 in order within their group, of which one may hold most rows.
+
+    Ranges of groups and order are written once and numbered apart.  A range continues one group at most, its first:
+    what is broadcast is a row a range.
+    """
+    ranged = saved(df.repartitionByRange(*groups, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy("_p", *groups).agg(F.count("*").alias("_n"))
+    key = F.struct(*groups)
+    ends = sizes.groupBy("_p").agg(F.min(key).alias("_first"), F.max(key).alias("_last"), F.max_by("_n", key).alias("_tail"))
+    # of the last group of each range: how many rows of it came by the range's end, where ranges hold it alone
+    w = Window.orderBy("_p")
+    starts = ends.withColumn("_run", F.sum((~F.col("_first").eqNullSafe(F.lag("_last").over(w)) | ~F.col("_first").eqNullSafe(F.col("_last"))).cast("int")).over(w))
+    whole = F.sum("_tail").over(Window.partitionBy("_run").orderBy("_p"))
+    base = starts.withColumn("_upto", whole).withColumn("_base", F.when(F.col("_first").eqNullSafe(F.lag("_last").over(w)), F.lag("_upto").over(w)).otherwise(0)).select("_p", "_first", "_base")
+    within = F.row_number().over(Window.partitionBy("_p", *groups).orderBy(*order)) - 1
+    placed = ranged.withColumn("_within", within).join(F.broadcast(base), "_p")
+    return placed.withColumn(name, (F.col("_within") + F.when(key.eqNullSafe(F.col("_first")), F.col("_base")).otherwise(0)).cast("long")).drop("_p", "_first", "_base", "_within")
+
+
 def round_robin(number: Column, shards: int) -> Column:
     return F.pmod(number, F.lit(shards))
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from textloom.functions import text as T
 from textloom.operators import builders as N
 from textloom.operators import distill, provenance, segment, similarity
+from textloom.operators.select import numbers_within
 from textloom.plans.documents import SHINGLES, WORDS, shingle_rows
 from textloom.plans.registry import Registry
-from textloom.session import table
+from textloom.session import saved, table
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -348,8 +348,11 @@ with b as (select doc_id, text as t, lag(text) over (partition by source order b
 select doc_id, before is null or t is distinct from before as changed from b"""
 )
 def changed_rows(spark: SparkSession, d: str) -> DataFrame:
-    before = F.lag("text").over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").withColumn("before", before).select("doc_id", (F.col("before").isNull() | ~F.col("text").eqNullSafe(F.col("before"))).alias("changed"))
+    """Whether a document's text differs from the one before it in its source; by digests and numbers, so no source is one task's."""
+    numbered = saved(numbers_within(table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("sha")), ["source"], ["doc_id"]), "numbered")
+    before = numbered.select("source", (F.col("number") + 1).alias("number"), F.col("sha").alias("before"))
+    joined = numbered.alias("n").join(before.alias("b"), F.col("n.source").eqNullSafe(F.col("b.source")) & (F.col("n.number") == F.col("b.number")), "left")
+    return joined.select("doc_id", (F.col("before").isNull() | ~F.col("sha").eqNullSafe(F.col("before"))).alias("changed"))
 
 
 @R.query(
