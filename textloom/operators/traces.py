@@ -63,6 +63,21 @@ def evidence_before(turns: DataFrame) -> DataFrame:
     return marked.where("role = 'assistant'").select("conv_id", "turn", F.array_sort("evidence_ids").alias("evidence_ids"))
 
 
+def citation_problems(turns: DataFrame, citations: DataFrame) -> DataFrame:
+    """(conv_id, turn, problem) for each citing turn (conv_id, turn, cited array, supported): unknown_evidence, no_evidence or empty.
+
+    As cited_gaps() over evidence_before(), without listing for each turn all that was said before it: a cited id is
+    known if it was first said in an earlier turn.
+    """
+    eid = F.substring(F.sha2(F.concat_ws("|", "conv_id", "turn", "role", "text"), 256), 1, 12)
+    first = turns.groupBy("conv_id", eid.alias("eid")).agg(F.min("turn").alias("said"))
+    each = citations.select("conv_id", "turn", "supported", F.size("cited").alias("n"), F.explode_outer(F.array_distinct("cited")).alias("eid"))
+    found = each.join(first, ["conv_id", "eid"], "left")
+    unknown = F.col("eid").isNotNull() & F.coalesce(F.col("said") >= F.col("turn"), F.lit(True))
+    by_turn = found.groupBy("conv_id", "turn").agg(F.bool_or(unknown).alias("unknown"), F.bool_or(F.col("supported") & (F.col("n") == 0)).alias("none"))
+    return by_turn.select("conv_id", "turn", F.when(F.col("unknown"), "unknown_evidence").when(F.col("none"), "no_evidence").otherwise("").alias("problem"))
+
+
 def cited_gaps(cited: Column, available: Column, supported: Column) -> Column:
     """What a citation lacks: unknown ids, or no id although supported; empty if nothing."""
     return F.when(F.size(F.array_except(cited, available)) > 0, "unknown_evidence").when(supported & (F.size(cited) == 0), "no_evidence").otherwise("")

@@ -71,6 +71,25 @@ def evidence_before_turn(spark: SparkSession, d: str) -> DataFrame:
     return K.evidence_before(table(spark, d, "conversations")).select("conv_id", "turn", F.array_join("evidence_ids", ",").alias("evidence"))
 
 
+@R.query(
+    """
+with k as (select *, substr(sha256(concat_ws('|', conv_id::varchar, turn::varchar, role, text)), 1, 12) as eid from conversations), l as (select *, lag(eid) over w as before, lead(eid) over w as after from k window w as (partition by conv_id order by turn)),
+c as (select *, case turn % 4 when 0 then [after] when 1 then [before] when 2 then [before, eid] else [] end as cited from l where role = 'assistant'), e as (select c.conv_id, c.turn, len(list_filter(cited, lambda x: x is not null)) as n, count(*) filter (not exists (select 1 from k where k.conv_id = c.conv_id and k.turn < c.turn and k.eid = u.x)) as bad
+  from c left join lateral (select unnest(cited) as x) u on true where u.x is not null or len(cited) = 0 group by all)
+select conv_id, turn, case when n > 0 and bad > 0 then 'unknown_evidence' when n = 0 then 'no_evidence' else '' end as problem from e"""
+)
+def cited_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Answers cite a later turn, the one before, themselves or nothing, by their number."""
+    turns = table(spark, d, "conversations")
+    eid = F.substring(F.sha2(F.concat_ws("|", "conv_id", "turn", "role", "text"), 256), 1, 12)
+    w = K.turn_window()
+    by = F.col("turn") % 4
+    known = turns.withColumn("eid", eid).withColumns({"before": F.lag("eid").over(w), "after": F.lead("eid").over(w)}).where("role = 'assistant'")
+    cited = F.array_compact(F.when(by == 0, F.array("after")).when(by == 1, F.array("before")).when(by == 2, F.array("before", "eid")).otherwise(F.array().cast("array<string>")))
+    citations = known.where(((by != 0) | F.col("after").isNotNull()) & ((by != 1) | F.col("before").isNotNull())).select("conv_id", "turn", cited.alias("cited"), F.lit(True).alias("supported"))
+    return K.citation_problems(turns, citations)
+
+
 @R.query("select conv_id, turn, case when conv_id % 5 = 0 then 'unknown_evidence' when conv_id % 7 = 0 then 'no_evidence' else '' end as gap from conversations where role = 'assistant' and turn > 0")
 def citation_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Every answer cites the turn before it, if any; every fifth conversation's something else too, every seventh's nothing."""

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.schemas import checked_reply
+from textloom.functions.text import hash_bucket
 from textloom.operators.bootstrap import CUTS, paired_interval, paired_means
 from textloom.operators.ranges import first_within, points_in_intervals
+from textloom.operators.similarity import greedy_keep
 from textloom.plans.registry import Registry
 from textloom.session import table
 
@@ -85,3 +87,20 @@ def schema_checked(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(', "items": '), items, F.when(fault == 1, "").otherwise("}"))
     text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```\n"))).otherwise(body)
     return table(spark, d, "documents").select("doc_id", checked_reply(text, REPLY).isNotNull().alias("fits"))
+
+
+@R.query(
+    """
+with recursive e as (select doc_id as a, doc_id + s as b from documents, (values (1), (2)) t(s) where doc_id % 8 + s < 8 and ('0x' || substr(sha256('chain' || s || '-' || doc_id), 1, 8))::bigint % 100 < 55),
+n as (select e.a, e.b from e join documents d on d.doc_id = e.b), g as (select b, list(a) as near from n group by b),
+f as (select distinct doc_id // 8 as block, 0::bigint as i, []::bigint[] as kept from documents
+  union all select f.block, f.i + 1, case when d.doc_id is not null and len(list_intersect(f.kept, coalesce(g.near, []))) = 0 then list_append(f.kept, d.doc_id) else f.kept end
+  from f left join documents d on d.doc_id = f.block * 8 + f.i left join g on g.b = d.doc_id where f.i < 8)
+select d.doc_id, list_contains(f.kept, d.doc_id) as kept from documents d join f on f.block = d.doc_id // 8 and f.i = 8"""
+)
+def greedy_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Which documents stay of chains, forks and triangles of up to eight neighbours, where the one before decides."""
+    docs, i = table(spark, d, "documents").select("doc_id"), F.col("doc_id")
+    links = docs.where((i % 8 < 7) & (hash_bucket(i, "chain1-") < 55)).select(i.alias("a"), (i + 1).alias("b")).union(docs.where((i % 8 < 6) & (hash_bucket(i, "chain2-") < 55)).select(i.alias("a"), (i + 2).alias("b")))
+    pairs = links.join(docs, F.col("b") == i, "left_semi")
+    return greedy_keep(docs.select(i.alias("id")), pairs).select(F.col("id").alias("doc_id"), "kept")
