@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from textloom.functions.schemas import checked_reply
 from textloom.functions.text import hash_bucket
+from textloom.operators import segment, select
 from textloom.operators.bootstrap import CUTS, paired_interval, paired_means
 from textloom.operators.ranges import first_within, points_in_intervals
 from textloom.operators.similarity import greedy_keep
 from textloom.plans.registry import Registry
 from textloom.session import table
+from textloom.sources import tabular
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -104,3 +106,28 @@ def greedy_chains(spark: SparkSession, d: str) -> DataFrame:
     links = docs.where((i % 8 < 7) & (hash_bucket(i, "chain1-") < 55)).select(i.alias("a"), (i + 1).alias("b")).union(docs.where((i % 8 < 6) & (hash_bucket(i, "chain2-") < 55)).select(i.alias("a"), (i + 2).alias("b")))
     pairs = links.join(docs, F.col("b") == i, "left_semi")
     return greedy_keep(docs.select(i.alias("id")), pairs).select(F.col("id").alias("doc_id"), "kept")
+
+
+@R.query(
+    r"""
+with b as (select doc_id, string_split_regex(replace(text, chr(10), chr(10) || ' ' || chr(10)), '\n[ \t]*\n\s*') as blocks from documents where text is not null), k as (select doc_id, list_filter(blocks, lambda b: not regexp_matches(b, '(?i)licen[cs]e|copyright|@')) as kept, len(blocks) as n from b)
+select doc_id, sha256(array_to_string(kept, chr(10) || chr(10))) as sha, cast(n - len(kept) as bigint) as dropped from k"""
+)
+def dropped_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, each line a block, without the blocks that a pattern holds back."""
+    text = F.replace("text", F.lit("\n"), F.lit("\n \n"))
+    kept, gone = segment.drop_blocks(text, "(?i)licen[cs]e|copyright|@")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2(kept, 256).alias("sha"), gone.cast("long").alias("dropped"))
+
+
+@R.query("select doc_id, lang from documents order by sha256('eval|' || doc_id), doc_id limit 25")
+def shuffled_sample(spark: SparkSession, d: str) -> DataFrame:
+    """A reproducible sample of 25 documents."""
+    return select.shuffled_head(table(spark, d, "documents"), "doc_id", 25, "eval").select("doc_id", "lang")
+
+
+@R.query("select doc_id, lang, source, n_chars, sha256(text) as sha from documents")
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as JSON lines and read back, nulls and line ends included."""
+    path = tabular.write_json(table(spark, d, "documents"))
+    return spark.read.schema(table(spark, d, "documents").schema).json(path).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("sha"))
