@@ -281,3 +281,18 @@ def test_numbers_within_groups_over_many_ranges(spark):
         want.append((g, i, seen.get(g, 0)))
         seen[g] = seen.get(g, 0) + 1
     assert got == want
+
+
+def test_fuzzy_lookup_against_every_key(spark):
+    from textloom.operators.lookups import fuzzy_lookup
+
+    keys = ["boost_usr_prod", "Boost", "dcgp", "dcgp_usr", "ä", "usr", "a" * 50, "ab", "abc", "ABC"]
+    asked = ["boost", "Boost", "BOOST_USR", "dcgp", "cgp_", "ä", "", "zzz", "b", "ab", "aaaa", "abc", "ABC", "Abc", "longer than any key there is"]
+    want = {}
+    for a in asked:
+        near = [k for k in keys if a.lower() in k.lower()]
+        exact = a if a in keys else None
+        want[a] = (exact or (near[0] if len(near) == 1 else None), "" if exact or len(near) == 1 else "ambiguous" if near else "unknown")
+    got = fuzzy_lookup(spark.createDataFrame([(a,) for a in asked], "asked string"), spark.createDataFrame([(k,) for k in keys], "k string"), "k")
+    assert {r.asked: (r.k, r.error) for r in got.collect()} == want
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()

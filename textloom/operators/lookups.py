@@ -24,10 +24,25 @@ def keyed_lookup(asked: DataFrame, rows: DataFrame, key: str, what: str) -> Data
     return found.withColumn("error", F.when(F.col("_found").isNull(), F.concat(F.lit(f"unknown {what}; known: "), "_names"))).drop("_found", "_names")
 
 
+def grams(text: Column, size: int) -> Column:
+    """The different substrings of so many characters."""
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
 def fuzzy_lookup(asked: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """(asked, key, error): the exact key, else the only one that contains what was asked whatever its case; both sides are small."""
-    hit = F.lower(key).contains(F.lower("asked"))
-    near = asked.join(F.broadcast(known), hit, "left").groupBy("asked").agg(F.count(key).alias("_n"), F.min(key).alias("_one"), F.max(F.when(F.col(key) == F.col("asked"), F.col(key))).alias("_exact"))
+    """(asked, key, error): the exact key, else the only one that contains what was asked whatever its case.
+
+    Keys meet what is asked by its three characters in a row that fewest keys have, or by all of it if it is shorter;
+    only those are searched for the whole.  Neither side is broadcast whole.
+    """
+    keys = known.select(F.col(key).alias("_key"), F.lower(key).alias("_low")).where("_key is not null")
+    parts = keys.select("_key", "_low", F.explode(F.concat(F.array(F.lit("")), *[grams(F.col("_low"), n) for n in (1, 2, 3)])).alias("_gram"))
+    want = asked.select("asked").distinct().withColumn("_want", F.lower("asked"))
+    offered = want.select("asked", "_want", F.explode_outer(F.when(F.length("_want") < 3, F.array("_want")).otherwise(grams(F.col("_want"), 3))).alias("_gram"))
+    counted = offered.join(parts.groupBy("_gram").agg(F.count("*").alias("_keys")), "_gram", "left")
+    rarest = counted.groupBy("asked", "_want").agg(F.min(F.struct(F.coalesce("_keys", F.lit(0)).alias("n"), "_gram")).alias("_m")).select("asked", "_want", F.col("_m._gram").alias("_gram"))
+    hits = rarest.join(parts, "_gram").where(F.contains("_low", "_want")).groupBy("asked").agg(F.count("*").alias("_n"), F.min("_key").alias("_one"), F.max(F.when(F.col("_key") == F.col("asked"), F.col("_key"))).alias("_exact"))
+    near = want.join(hits, "asked", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     return near.select("asked", F.coalesce("_exact", F.when(F.col("_n") == 1, F.col("_one"))).alias(key), F.when(F.col("_exact").isNotNull() | (F.col("_n") == 1), "").when(F.col("_n") == 0, "unknown").otherwise("ambiguous").alias("error"))
 
 
