@@ -215,6 +215,37 @@ def test_op6_on_held_out_documents(spark, texts):
     assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in texts[r.doc_id] or "")) for r in rows)
 
 
+def test_op6_against_plain_sets_of_grams(spark, texts):
+    """Shares of n-grams in exact sets of strings: predictions agree, and scores but for the filters' few false positives."""
+
+    def plain_grams(text):
+        chars = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+        every = [chars[i : i + 4].ljust(4) for i in range(max(1, len(chars) - 3))]
+        inside = [g for g in every if sum(c != " " for c in g) >= 3]
+        return inside or [g for g in every if g.strip()]
+
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    seen, docs_of = defaultdict(Counter), Counter()
+    for i, text in texts.items():
+        if lang[i] is not None and not held_out(i, 3, 1):
+            docs_of[lang[i]] += 1
+            seen[lang[i]].update(set(plain_grams(text)))
+    sets = {x: {g for g, n in seen[x].items() if n >= max(2.0, 0.004 * docs_of[x])} for x in docs_of}
+    close = 0
+    for r in queries.op6_language_id(spark, SF).collect():
+        found = plain_grams(texts[r.doc_id])
+        if not found:
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        shares = {x: sum(g in own for g in found) / len(found) for x, own in sets.items()}
+        first, second = sorted(shares.values(), reverse=True)[:2]
+        close += first - second < 0.02
+        assert r.lang_pred in [x for x, v in shares.items() if first - v < 0.02] or first == 0
+        if first > 0.1:
+            assert abs(r.score - shares[r.lang_pred] / sum(shares.values())) < 0.03
+    assert close < len(texts) / 20
+
+
 def test_language_filters_hold_all_they_were_given(edge, empty):
     r = np.random.default_rng(2)
     found = {x: r.integers(0, 1 << 63, 500, dtype=np.uint64) for x in ("aa", "bb", "cc")}
