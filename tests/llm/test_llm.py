@@ -438,6 +438,21 @@ def test_added_spans_on_planted_forms(spark, documents, texts):
     assert not any(spans for _, spans in pii.all_spans(clean, tagger))
 
 
+@pytest.mark.parametrize("kind", range(4))
+def test_training_window_that_cuts_an_earlier_span_of_its_kind(kind):
+    """The window is rewritten where its whole span stands, not where one is cut at its start."""
+    span = ["ann.lee@mail.example.com", "192.168.10.25", "4111 1111 1111 1111", "+1 (528) 555-3435"][kind]
+    text = f"{span[8:]} some words between {span} and some more"
+    at = text.index(span)
+    window = (text, [(-8, kind, len(span) - 8), (at, kind, at + len(span))])
+    for seed in range(20):
+        made = [w for w in pii.labelled_windows({kind: [window]}, 1, seed) if w[0].startswith(text[: at - 1])]
+        assert len(made) == (5 if kind == 0 else 3) and made[0] == window
+        for changed, spans in made[1:]:
+            assert spans[0] == window[1][0] and spans[1][:2] == window[1][1][:2] and changed == text[:at] + changed[at : spans[1][2]] + text[at + len(span) :]
+            assert changed[at : spans[1][2]] != span
+
+
 def test_personal_data_of_awkward_rows(edge, empty):
     for tagger in (pii.learn_tagger(edge), pii.learn_tagger(empty)):
         rows = pii.find_personal_data(edge, tagger).collect()

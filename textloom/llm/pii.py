@@ -312,7 +312,8 @@ def labelled_windows(found: dict[int, list[Window]], per_kind: int, seed: int =
             own.append(replaced((f"{text[:at]}? {text[at:]}", [(at, kind, at + 1)]), 0, invented(kind, r)))
         for window in own:
             out.append(window)
-            which = next(i for i, span in enumerate(window[1]) if span[1] == kind)
+            # a window may cut others of the kind at its ends; the one it was chosen for is whole
+            which = next(i for i, (a, k, b) in enumerate(window[1]) if k == kind and a >= 0 and b <= len(window[0]))
             a, _, b = window[1][which]
             out += [replaced(window, which, rewritten(kind, window[0][a:b], r)) for _ in range(4 if kind == 0 else 2)]
     return out
