@@ -74,6 +74,10 @@ def test_markdown():
     assert html_to_markdown(None) == ""
 
 
+def test_markdown_of_references():
+    assert html_to_markdown("<p>a &amp;&amp b &quo c &copy; &#65;&#x42; &lt;i&gt; ?x=1&copy=2") == "a &&amp b &quo c © AB <i> ?x=1&copy=2"
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [

@@ -42,6 +42,15 @@ def test_same_rows(spark, duck, name):
     assert ours == theirs
 
 
+def test_page_words_of_cut_references(spark, tmp_path):
+    pages = ["<p>and&amp</p>", "<h1>&amp;amp; &copy; 1&#65;2</h1>&quo", "x&lt;b&gt;y&nbsp;z &amp;lt; &AMP; &amp"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    ours = sorted(tuple(r) for r in plans.QUERIES["page_markdown_words"](spark, f"file://{tmp_path}").collect())
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert ours == sorted(c.execute(plans.SQL["page_markdown_words"]).fetchall()) and ours[0] == (0, "and amp")
+
+
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0

@@ -83,6 +83,14 @@ class _Blocks:
             self.done.append(f"{fence}\n{raw.strip(chr(10))}\n{fence}")
 
 
+#: A character reference; one without its semicolon, as a cut text ends in, stays as it is written.
+_REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def unescaped(text: str) -> str:
+    return _REFERENCE.sub(lambda m: html.unescape(m.group()), text)
+
+
 def html_to_markdown(page: str | None) -> str:
     """Headings, lists and code of the main region if there is one, else of the page; nothing of what is LEFT_OUT.
 
@@ -104,7 +112,7 @@ def html_to_markdown(page: str | None) -> str:
         return any(own == name for own, _ in opened)
 
     for unit in [*units, None]:
-        text = html.unescape(page[at : unit.start() if unit else len(page)])
+        text = unescaped(page[at : unit.start() if unit else len(page)])
         if text and shows():
             (code if inside("pre") else blocks.text).append(text)
         if unit is None:
