@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.schemas import checked_reply, conforms
 from textloom.operators.bootstrap import paired_interval, paired_means, weights
-from textloom.operators.ranges import first_within, points_in_intervals
+from textloom.operators.ranges import count_and_least, first_within, points_in_intervals
 
 
 def test_points_in_intervals_of_any_length(spark):
@@ -30,6 +30,36 @@ def test_points_in_intervals_of_any_length(spark):
     assert points_in_intervals(left, F.col("t"), right.where("false"), F.col("a"), F.col("b")).count() == 0
 
 
+@pytest.mark.parametrize("top", [1 << 14, 4])
+def test_count_and_least_without_pairs(spark, monkeypatch, top):
+    from textloom.operators import ranges
+
+    monkeypatch.setattr(ranges, "TOP_NODES", top)
+    r = random.Random(4)
+    intervals = [(i % 140, a := r.randint(-300, 300), a + r.choice([0, 1, 5, 63, 64, 1000, 1 << 40, -1])) for i in range(150)] + [(900, None, 5), (901, 5, None), (902, 10**6, 10**7)]
+    for n in (0, 1, 2, 5, 333):
+        points = [(r.randint(0, 10**6), r.randint(-400, 400)) for _ in range(n)] + [(2000, None)]
+        left, right = spark.createDataFrame(points, "p long, t long"), spark.createDataFrame(intervals, "i long, a long, b long")
+        want, first = {}, {}
+        for i, a, b in intervals:
+            inside = [(t, p) for p, t in points if None not in (t, a, b) and a <= t <= b]
+            if inside:
+                known = want.get(i, (0, 10**9))
+                want[i] = (known[0] + len(inside), min(known[1], min(p for _, p in inside)))
+                first[i] = min(first.get(i, (10**9, 0)), min(inside))
+        found = count_and_least(right, "i", F.col("a"), F.col("b"), left, F.col("t"), "p")
+        assert {x.i: (x.n, x.least) for x in found.collect()} == want
+        assert {x.i: x.p for x in first_within(right, "i", F.col("a"), F.col("b"), left, F.col("t"), "p").collect()} == {i: p for i, (_, p) in first.items()}
+
+
+def test_ten_thousand_intervals_over_all_of_ten_thousand_points(spark):
+    """10**8 pairs, of which no join makes one."""
+    rows = spark.range(10_000)
+    found = count_and_least(rows, "id", F.lit(0), F.lit(10_000), rows.withColumnRenamed("id", "p"), F.col("p"), "p")
+    assert found.groupBy("n", "least").count().collect() == [(10_000, 0, 10_000)]
+    assert first_within(rows, "id", F.lit(-1), F.lit(10_000), rows.withColumnRenamed("id", "p"), F.col("p"), "p").groupBy("p").count().collect() == [(0, 10_000)]
+
+
 def test_paired_bootstrap(spark):
     r = random.Random(3)
     rows = [(f"q{i}", "ab"[i % 2], r.random() + (i % 2), r.random()) for i in range(400)] + [("x", "a", None, 1.0), (None, "a", 1.0, 0.5)]

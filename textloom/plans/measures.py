@@ -9,7 +9,7 @@ from textloom.functions.schemas import checked_reply
 from textloom.functions.text import hash_bucket
 from textloom.operators import segment, select
 from textloom.operators.bootstrap import CUTS, paired_interval, paired_means
-from textloom.operators.ranges import first_within, points_in_intervals
+from textloom.operators.ranges import count_and_least, first_within
 from textloom.operators.similarity import greedy_keep
 from textloom.plans.registry import Registry
 from textloom.session import table
@@ -33,7 +33,7 @@ def runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def run_sessions(spark: SparkSession, d: str) -> DataFrame:
     """How many sessions began within each run, of whichever user."""
     own, s = runs(spark, d)
-    return points_in_intervals(s, F.col("t"), own, F.col("a"), F.col("b")).groupBy("run").agg(F.count("*").alias("n_sessions"), F.min("session").alias("least"))
+    return count_and_least(own, "run", F.col("a"), F.col("b"), s, F.col("t"), "session").withColumnRenamed("n", "n_sessions")
 
 
 @R.query(f"with {RUNS} select run, arg_min(session, (t, session)) as session from runs join s on t between a - 5000000 and b group by run")
