@@ -51,6 +51,19 @@ def test_page_words_of_cut_references(spark, tmp_path):
     assert ours == sorted(c.execute(plans.SQL["page_markdown_words"]).fetchall()) and ours[0] == (0, "and amp")
 
 
+@pytest.mark.parametrize("name", ["page_markdown", "page_markdown_words"])
+def test_batches_to_python_are_bounded(spark, name):
+    """Spark's default of 10,000 rows a batch holds as many whole texts in every worker."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "10000")
+    try:
+        plans.QUERIES[name](spark, SF)
+        assert int(spark.conf.get(setting)) <= 256
+    finally:
+        spark.conf.set(setting, before)
+
+
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.urls import resolved
+from textloom.session import arrow_limits
 
 
 def title(html: Column) -> Column:
@@ -149,7 +150,8 @@ def html_to_markdown(page: str | None) -> str:
 
 
 def markdown(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, markdown) of every page, in Arrow batches."""
+    """(key, markdown) of every page, in Arrow batches of bounded size."""
+    arrow_limits(pages.sparkSession)
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -13,32 +13,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.session import spread
+from textloom.session import ARROW_ROWS, arrow_limits, spread  # noqa: F401  (arrow_limits: for the operators)
 
 #: Words as the contracts state them: runs of anything but ASCII blanks.
 BLANK_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: The same on UTF-8 bytes; the bytes of other characters are all above 0x7F.
 BLANK_WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_limits(spark: SparkSession, rows: int = 256, mb: int = 24) -> None:
-    """Bound what one Arrow batch brings into a Python worker: rows and bytes.
-
-    Documents may be very long, so Spark's default of 10,000 rows a batch is no bound on memory.  A DataFrame takes the
-    session's setting when it runs, after its operator has returned, so the bound has to stay; a lower one of the
-    caller's is left alone.
-    """
-    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= rows:
-        spark.conf.set(ARROW_ROWS, str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
-
-
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """So many rows a batch for the jobs run inside, whose rows are short."""
