@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions.canonical import json_digest
 from textloom.operators import replay as P
 from textloom.plans.registry import Registry
-from textloom.session import fresh_path, table
+from textloom.session import arrow_limits, fresh_path, table
 from textloom.sources.seen import SeenSet
 from textloom.streaming.sessions import rocksdb, session_memory
 
@@ -22,6 +22,7 @@ select doc_id, sha256('{"id":' || doc_id || ',"lang":' || coalesce(to_json(lang)
 )
 def json_digests(spark: SparkSession, d: str) -> DataFrame:
     """Digests of documents as JSON whose keys stand in another order, with blanks, escapes and nested objects."""
+    arrow_limits(spark)
     value = lambda c: F.coalesce(F.substring(F.to_json(F.struct(F.col(c).alias("x"))), F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("x")))) - 6), F.lit("null"))
     quoted = {c: F.when(F.col(c).isNull(), "null").otherwise(value(c)) for c in ("text", "source", "lang")}
     text = F.concat(
