@@ -51,6 +51,12 @@ def test_page_words_of_cut_references(spark, tmp_path):
     assert ours == sorted(c.execute(plans.SQL["page_markdown_words"]).fetchall()) and ours[0] == (0, "and amp")
 
 
+def test_calls_are_not_dealt_by_tool(spark):
+    """Held against a schema of a few tools, all calls would be a few tasks'."""
+    plan = plans.QUERIES["argument_problems"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 @pytest.mark.parametrize("name", ["page_markdown", "page_markdown_words", "json_digests", "note_chunks", "doc_chunks", "index_chunks"])
 def test_batches_to_python_are_bounded(spark, name):
     """Spark's default of 10,000 rows a batch holds as many whole texts in every worker."""

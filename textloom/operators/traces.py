@@ -103,12 +103,16 @@ def paired_calls(events: DataFrame) -> DataFrame:
 
 
 def argument_problems(calls: DataFrame, schema: DataFrame) -> DataFrame:
-    """(call_id, problem): calls (call_id, tool, args map<string,string>) held against schema (tool, arg, kind, required, allowed[])."""
-    unknown = calls.join(schema.select("tool").distinct(), "tool", "left_anti").select("call_id", F.lit("unknown_tool").alias("problem"))
-    known = calls.join(schema.select("tool").distinct(), "tool", "left_semi")
-    need = known.join(schema.where("required"), "tool").where(~F.map_contains_key("args", F.col("arg"))).select("call_id", F.concat(F.lit("missing:"), "arg").alias("problem"))
+    """(call_id, problem): calls (call_id, tool, args map<string,string>) held against schema (tool, arg, kind, required, allowed[]).
+
+    The schema, a row an argument, is broadcast: dealt out by tool, the calls of a frequent one would be one task's.
+    """
+    tools = F.broadcast(schema.select("tool").distinct())
+    unknown = calls.join(tools, "tool", "left_anti").select("call_id", F.lit("unknown_tool").alias("problem"))
+    known = calls.join(tools, "tool", "left_semi")
+    need = known.join(F.broadcast(schema.where("required")), "tool").where(~F.map_contains_key("args", F.col("arg"))).select("call_id", F.concat(F.lit("missing:"), "arg").alias("problem"))
     given = known.select("call_id", "tool", F.explode("args").alias("arg", "value"))
-    checked = given.join(schema, ["tool", "arg"], "left")
+    checked = given.join(F.broadcast(schema), ["tool", "arg"], "left")
     typed = (
         F.when(F.col("kind").isNull(), F.concat(F.lit("extra:"), "arg"))
         .when((F.col("kind") == "integer") & ~F.col("value").rlike(r"^-?\d+$"), F.concat(F.lit("type:"), "arg"))
