@@ -74,6 +74,33 @@ def test_markdown():
     assert html_to_markdown(None) == ""
 
 
+@pytest.mark.parametrize("most", [1 << 18, 512])
+def test_near_duplicates_travel_once_a_group(spark, monkeypatch, most):
+    """A cluster's sets come to their groups, not to each of their pairs; small groups deal the cluster to parts."""
+    import random
+
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(60):
+        words = [f"v{i // 40}x{w}" for w in base]
+        for _ in range(r.randint(0, 2)):
+            words[r.randrange(60)] = f"z{r.randrange(1000)}"
+        texts.append((i, " ".join(words)))
+    grams = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, t in texts for w in [t.split()]}
+    classes = {}
+    for i in sorted(grams):
+        classes.setdefault(frozenset(grams[i]), i)
+    first = sorted(classes.values())
+    want = {(a, b): round(s, 12) for a in first for b in first if a < b and (s := len(grams[a] & grams[b]) / len(grams[a] | grams[b])) >= 0.8}
+    monkeypatch.setattr(similarity, "GROUP_MEMBERS", most)
+    sent, compared = [], similarity.compared
+    monkeypatch.setattr(similarity, "compared", lambda one, meet: sent.append(meet.count()) or compared(one, meet))
+    df = spark.createDataFrame(texts, "id long, t string")
+    assert {(x.a, x.b): round(x.similarity, 12) for x in similarity.near_duplicate_pairs(df, "id", "t").collect()} == want and len(want) > 200
+    assert len(want) <= sent[0] <= 2 * len(want)
+
+
 def test_markdown_of_references():
     assert html_to_markdown("<p>a &amp;&amp b &quo c &copy; &#65;&#x42; &lt;i&gt; ?x=1&copy=2") == "a &&amp b &quo c © AB <i> ?x=1&copy=2"
 
