@@ -82,3 +82,37 @@ def test_empty_index_and_no_queries(spark, chunks, queries):
     assert indexed(index, queries, 5) == []
     full = StoredIndex(spark, fresh_path(spark, "index"), 4).write(chunks, "id", "text", "file")
     assert indexed(full, queries.where("false"), 5) == []
+
+
+def test_folders_are_written_by_as_many_tasks_as_there_are_spans(spark, chunks, queries, monkeypatch):
+    """Not by one task a folder, whatever the input."""
+    monkeypatch.setattr(postings, "WINDOW", 8)
+    monkeypatch.setattr(postings, "SPAN", 2)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        index = StoredIndex(spark, fresh_path(spark, "index"), 2).write(chunks, "id", "text", "file")
+        merged = index.merged(fresh_path(spark, "merged"))
+    finally:
+        spark.conf.set(coalesce, before)
+    for made in (index, merged):
+        files = glob.glob(f"{made.path.removeprefix('file://')}/blocks/segment=0/bucket=*/*.parquet")
+        assert len(files) > 2
+        assert indexed(made, queries, 5) == plain(chunks, queries, 5)
+
+
+def test_merged_windows_stay_bounded(spark, chunks, queries, monkeypatch):
+    """Small windows are put together, replaced keys that came again stay, and numbers are those of one chunk."""
+    monkeypatch.setattr(postings, "WINDOW", 16)
+    index, state = StoredIndex(spark, fresh_path(spark, "index"), 4).write(chunks, "id", "text", "file"), chunks
+    for text in ("w1 rare", "w150 w2", "w199 w3 w3"):  # the same keys each time
+        new = spark.createDataFrame([(i, f"{text} " * (i % 3 + 1), "rare") for i in range(1000, 1005)], "id long, text string, file string")
+        index.upsert(new, "id", "text", "file")
+        state = state.where("file <> 'rare'").unionByName(new)
+    for _ in range(2):
+        index = index.merged(fresh_path(spark, "merged"))
+        sizes = index.table("docs").groupBy("window").agg(F.count("*").alias("n"), F.count_distinct("no").alias("d")).collect()
+        assert max(r.n for r in sizes) < 32 and all(r.n == r.d for r in sizes) and sum(r.n for r in sizes) == state.count()
+        assert len(sizes) < 2 * state.count() / 16 + 2
+        assert indexed(index, queries, 7) == plain(state, queries, 7)
