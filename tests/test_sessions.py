@@ -1,9 +1,10 @@
 """Session state over restarts."""
 
 import pytest
+from pyspark.sql import Row
 
 from textloom.session import fresh_path
-from textloom.streaming.sessions import remembered, rocksdb, session_memory
+from textloom.streaming.sessions import SessionMemory, remembered, rocksdb, session_memory
 
 
 @pytest.mark.parametrize(
@@ -36,3 +37,34 @@ def test_restarts_and_separate_conversations(spark):
                 want.append((c, t, kept[0][0] if kept else None, len(kept), sum(m[2] for m in kept)))
     assert sorted(tuple(r) for r in spark.read.schema(stream.schema).parquet(f"{at}/out").collect()) == sorted(want)
     assert any(n < 9 for *_, n, _ in want)
+
+
+def test_a_trigger_fetches_and_stores_a_conversation_once():
+    """Every call on the state is a message to the JVM and back."""
+    calls, store = [], {}
+
+    class State:
+        def get(self):
+            calls.append("get")
+            return store.get("kept")
+
+        def update(self, value):
+            calls.append("update")
+            store["kept"] = value
+
+        def clear(self):
+            calls.append("clear")
+            store.clear()
+
+    class Handle:
+        def getValueState(self, name, schema, ttl):  # noqa: N802
+            return State()
+
+    memory = SessionMemory(10, None)
+    memory.init(Handle())
+    said = lambda *turns: [tuple(r) for r in memory.handleInputRows((7,), iter([Row(turn=t, role=r, chars=n) for t, r, n in turns]), None)]
+    assert said((1, "assistant", 3), (0, "user", 5)) == [(7, 0, 0, 1, 5), (7, 1, 0, 2, 8)]
+    assert said((2, "user", 4)) == [(7, 2, 2, 1, 4)]
+    assert said((3, "user", 20)) == [(7, 3, None, 0, 0)] and not store
+    assert said((4, "user", 20)) == [(7, 4, None, 0, 0)]
+    assert calls == ["get", "update", "get", "update", "get", "clear", "get"]

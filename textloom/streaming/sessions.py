@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MEMORY = "conv_id {id}, turn long, first_kept long, n_kept long, chars_kept long"
@@ -29,21 +28,21 @@ class SessionMemory(StatefulProcessor):
         self.limit, self.idle_ms = limit, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "turn long, role string, chars long", self.idle_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        # a trigger may bring a conversation's turns in any order, in several frames
-        new = sorted((int(t), r, int(n)) for pdf in rows for t, r, n in zip(pdf["turn"], pdf["role"], pdf["chars"], strict=True))
-        kept = [tuple(m) for m in self.kept.get()] if self.kept.exists() else []
-        out = []
+        # one value, not a list: it is fetched and stored by one call each
+        self.kept = handle.getValueState("kept", "turns array<long>, roles array<string>, chars array<long>", self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timer_values) -> Iterator[Row]:
+        # a trigger may bring a conversation's turns in any order
+        new = sorted((r["turn"], r["role"], r["chars"]) for r in rows)
+        had = self.kept.get()
+        kept = list(zip(*had, strict=True)) if had else []
         for message in new:
             kept = remembered([*kept, message], self.limit)
-            out.append((key[0], message[0], kept[0][0] if kept else None, len(kept), sum(m[2] for m in kept)))
+            yield Row(conv_id=key[0], turn=message[0], first_kept=kept[0][0] if kept else None, n_kept=len(kept), chars_kept=sum(m[2] for m in kept))
         if kept:
-            self.kept.put(kept)
-        else:
+            self.kept.update(tuple(list(x) for x in zip(*kept, strict=True)))
+        elif had:
             self.kept.clear()
-        yield pd.DataFrame(out, columns=["conv_id", "turn", "first_kept", "n_kept", "chars_kept"]).astype({"first_kept": "Int64"})
 
     def close(self) -> None:
         pass
@@ -57,7 +56,7 @@ def session_memory(turns: DataFrame, limit: int = 24_000, idle_ms: int | None =
     trigger must follow those of earlier ones.  Needs the RocksDB state store (see rocksdb()).
     """
     own = turns.where("coalesce(role, '') <> 'system'").selectExpr("conv_id", "cast(turn as long) as turn", "coalesce(role, '') as role", "cast(coalesce(length(text), 0) as long) as chars")
-    return own.groupBy("conv_id").transformWithStateInPandas(
+    return own.groupBy("conv_id").transformWithState(
         statefulProcessor=SessionMemory(limit, idle_ms), outputStructType=MEMORY.format(id=own.schema["conv_id"].dataType.simpleString()), outputMode="Append", timeMode="ProcessingTime" if idle_ms else "None"
     )
 
