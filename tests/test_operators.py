@@ -1,6 +1,7 @@
 """Operators on literal rows: edge cases, nulls, order-dependence, faults."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,71 @@ def test_near_duplicates_travel_once_a_group(spark, monkeypatch, most):
     assert len(want) <= sent[0] <= 2 * len(want)
 
 
+def near_texts(seed, families=12, copies=6, n=90, most=14):
+    """(id, text)s: copies with up to `most` changed words, a line that all share, some exact copies, empty and short texts."""
+    import random
+
+    r = random.Random(seed)
+    texts = ["", None, "one two", "One, two!", "three"]
+    for f in range(families):
+        words = [f"v{f}x{i}" for i in range(n)] + [f"shared{i}" for i in range(12)]
+        for _ in range(copies):
+            own = list(words)
+            for _ in range(r.randint(0, most)):
+                own[r.randrange(n)] = f"z{r.randrange(5000)}"
+            texts.append(" ".join(own))
+    return list(enumerate(texts))
+
+
+def brute_pairs(texts, t):
+    grams = {i: {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} for i, x in texts for w in [re.findall(r"\w+", (x or "").lower())]}
+    classes = {}
+    for i in sorted(grams):
+        classes.setdefault(frozenset(grams[i]), i)
+    first = sorted(classes.values())
+    return {(a, b): round(s, 12) for a in first for b in first if a < b and (s := len(grams[a] & grams[b]) / len(grams[a] | grams[b])) >= t}
+
+
+@pytest.mark.parametrize(("t", "limits"), [(0.8, {}), (0.5, {"SENT_IDS": 0}), (0.3, {"FREQUENT": 5, "COMMON": 1, "NOTED_BITS": 19})])
+def test_similar_pairs_within_limits(spark, monkeypatch, t, limits):
+    """Bounds on what is counted, noted and sent to tasks change no result."""
+    for name, value in limits.items():
+        monkeypatch.setattr(similarity, name, value)
+    texts = near_texts(3, most=6)
+    got = similarity.near_duplicate_pairs(spark.createDataFrame(texts, "id long, t string"), "id", "t", t).collect()
+    want = brute_pairs(texts, t)
+    assert {(x.a, x.b): round(x.similarity, 12) for x in got} == want and len(got) == len(want) > 20
+
+
+def test_only_near_sets_are_compared(spark, monkeypatch):
+    """Pairs somewhat below the threshold bring no sets together, and neither words nor sets are written or joined anew."""
+    texts = near_texts(5, families=40, copies=4, n=300, most=20)
+    want, sent, tags, compared, saved = brute_pairs(texts, 0.8), [], {}, similarity.compared, similarity.saved
+    monkeypatch.setattr(similarity, "compared", lambda one, meet: sent.append(meet.count()) or compared(one, meet))
+    monkeypatch.setattr(similarity, "saved", lambda df, tag: tags.setdefault(tag, df.columns) and saved(df, tag))
+    df = spark.createDataFrame(texts, "id long, t string")
+    got = similarity.near_duplicate_pairs(df, "id", "t").collect()
+    assert {(x.a, x.b): round(x.similarity, 12) for x in got} == want
+    assert len(want) <= sent[0] <= 1.3 * len(want) and len(brute_pairs(texts, 0.65)) > 1.3 * len(want)
+    assert [tag for tag, columns in tags.items() if "members" in columns] == ["shingles"] and "words" not in tags
+
+
+def test_bits_apart_bound_the_members_apart(spark):
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    sets = [(i, sorted(r.integers(-(2**63), 2**63, n).tolist())) for i, n in enumerate([1, 60, 70, 300, 1000])]
+    sets += [(10 + i, sorted([*m[: len(m) // 2], *r.integers(-(2**63), 2**63, 40).tolist()])) for i, m in sets]
+    df = spark.createDataFrame(sets, "id long, members array<bigint>").coalesce(1)
+    f = similarity.first_members(df, 0.8).select("id", "n", "bits")
+    both = f.toDF("x", "nx", "bx").crossJoin(f.toDF("y", "ny", "by")).select("x", "y", similarity.bits_apart(F.col("bx"), F.col("by")).alias("apart"))
+    members = {i: set(m) for i, m in sets}
+    for row in both.collect():
+        apart = len(members[row.x] ^ members[row.y])
+        assert row.apart <= apart and (apart - row.apart) % 2 == 0
+        assert row.x != row.y or row.apart == 0
+
+
 def test_markdown_of_references():
     assert html_to_markdown("<p>a &amp;&amp b &quo c &copy; &#65;&#x42; &lt;i&gt; ?x=1&copy=2") == "a &&amp b &quo c © AB <i> ?x=1&copy=2"
 
