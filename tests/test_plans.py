@@ -73,3 +73,15 @@ def test_batches_to_python_are_bounded(spark, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["doc_reject_reasons"])
+def test_near_duplicate_queries_write_sets_once(spark, monkeypatch, name):
+    """Words are not written, members of sets once, and neither they nor texts are shuffled for what is joined by id."""
+    from textloom.operators import similarity
+
+    tags, saved = [], similarity.saved
+    monkeypatch.setattr(similarity, "saved", lambda df, tag: tags.append((tag, "members" in df.columns)) or saved(df, tag))
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert [tag for tag, members in tags if members and tag != "shingles"] == [] and "words" not in dict(tags)
+    assert "length(text" not in plan or plan.index("length(text") > plan.index("Join")
