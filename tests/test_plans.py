@@ -75,7 +75,7 @@ def test_runs(spark, name):
     assert plans.QUERIES[name](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["doc_reject_reasons", "doc_clean_report", "doc_symmetric_dups"])
+@pytest.mark.parametrize("name", ["doc_reject_reasons", "doc_clean_report", "doc_symmetric_dups", "greedy_near_duplicates"])
 def test_near_duplicate_queries_write_sets_once(spark, monkeypatch, name):
     """Words are not written, members of sets once, and neither they nor texts are shuffled for what is joined by id."""
     from textloom.operators import similarity
